@@ -184,7 +184,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             for part in slices(batch):
                 if out is None:
                     out = SharedWriter(f"{folder}/shard-{shard:08d}.rec")
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x.tobytes() + end for x in encoder.ids(part.column(1).to_pylist())]
                 n_tokens += sum(map(len, ids)) // width
                 for f in frame([pack_record(d, x, width) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]):
                     at.append((out.write(f), len(f)))

@@ -3,7 +3,9 @@
 A byte-level pre-tokenizer never joins characters across a single space, so the
 ids of a text are the ids of its space-led chunks one after another, unless white
 space, a space and white space (or the end) follow each other; such texts are
-encoded whole. Frequent chunks are looked up, new ones are encoded together.
+encoded whole. Chunks are told apart by a 64-bit hash and their length; those seen
+before are looked up in a NumPy hash table, new ones are encoded by the library,
+many in one call, and cut before each token that starts with a space.
 """
 
 from __future__ import annotations
@@ -13,12 +15,69 @@ import re
 
 import numpy as np
 
-MEMO_ENTRIES = 400_000
+SLOTS = 1 << 22
+GROUP_BYTES = 1 << 19
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _EDGE = re.compile(r"^\s|\s$|^$")
+_ODD = 0x9E3779B97F4A7C15 | 1
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_HEAD = np.uint64(0x94D049BB133111EB)
 _encoders: dict[tuple, "Encoder"] = {}
 
 
+class Powers:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def need(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), GROUP_BYTES)
+            steps = np.full(n, _ODD, np.uint64)
+            back = np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+            steps[0] = back[0] = 1
+            self.up, self.down = np.multiply.accumulate(steps), np.multiply.accumulate(back)
+
+
+class Memo:
+    """Open-addressing table from hashes to runs of ids in one pool."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.n = np.zeros(1 << 20, self.dtype), 0, 0
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or of the free place it would take."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            held = self.keys[slot[open_]]
+            open_ = open_[(held != 0) & (held != hashes[open_])]
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+        return slot
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct hashes with their ids one after another."""
+        starts = self.used + np.cumsum(sizes) - sizes
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.n += len(hashes)
+        left = np.arange(len(hashes))
+        while len(left):
+            slot = self.slots(hashes[left])
+            self.keys[slot] = hashes[left]  # of two for one slot, the last stays
+            won = self.keys[slot] == hashes[left]
+            self.starts[slot[won]], self.sizes[slot[won]] = starts[left[won]], sizes[left[won]]
+            left = left[~won]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,8 +90,9 @@ class Encoder:
         self.leads = np.zeros(top, bool)
         for token, i in vocabulary.items():
             self.leads[i] = token.startswith("Ġ")
-        self.chunked = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.memo: dict[str, bytes] = {}
+        kind = str(self.tokenizer.pre_tokenizer)
+        self.chunked = "ByteLevel" in kind and "add_prefix_space=False" in kind and self.tokenizer.normalizer is None
+        self.memo, self.powers = Memo(self.dtype), Powers()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -42,50 +102,74 @@ class Encoder:
             _encoders[key] = cls(path)
         return _encoders[key]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        edge = [c for c in new if _EDGE.search(c)]
-        inner = [c for c in new if not _EDGE.search(c)]
-        self.memo.update(zip(edge, self._plain([" " + c for c in edge]), strict=True))
-        for i in range(0, len(inner), 2000):
-            part = inner[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+    def _learn(self, chunks: list[str], hashes: np.ndarray, heads: np.ndarray) -> None:
+        alone = np.array([bool(_EDGE.search(c)) for c in chunks]) | heads
+        at = np.flatnonzero(~alone)
+        for i in range(0, len(at), 2000):
+            part = at[i : i + 2000]
+            ids = self._plain([" " + " ".join([chunks[j] for j in part])])[0]
             cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) == len(part) and (not len(cuts) or cuts[0] == 0):
-                data, size = ids.tobytes(), self.dtype.itemsize
-                ends = np.append(cuts[1:], len(ids)) * size
-                self.memo.update((c, data[a:b]) for c, a, b in zip(part, (cuts * size).tolist(), ends.tolist(), strict=True))
+            if len(cuts) == len(part) and cuts[0] == 0:
+                self.memo.add(hashes[part], ids, np.diff(np.append(cuts, len(ids))))
             else:
-                self.memo.update(zip(part, self._plain([" " + c for c in part]), strict=True))
+                alone[part] = True
+        at = np.flatnonzero(alone)
+        if len(at):
+            ids = self._plain([chunks[j] if heads[j] else " " + chunks[j] for j in at])
+            self.memo.add(hashes[at], np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join(texts)
+        array = np.frombuffer(data, np.uint8)
+        spaces = np.flatnonzero(array == 32)
+        starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(array))
+        sizes = np.array([len(t) for t in texts])
+        first = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1)
+        heads = np.zeros(len(starts), bool)
+        heads[first] = True
+        self.powers.need(len(array) + 1)
+        total = np.zeros(len(array) + 1, np.uint64)
+        np.cumsum((array.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(array)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.powers.down[starts]
+        h = (h ^ (h >> np.uint64(31)) ^ (ends - starts).astype(np.uint64) << np.uint64(40)) * _MIX
+        h = np.where(heads, h * _HEAD, h)
+        h ^= h >> np.uint64(29)
+        h = np.where(h == 0, np.where(heads, np.uint64(2), np.uint64(1)), h)
+        slot = self.memo.slots(h)
+        missing = np.flatnonzero(self.memo.keys[slot] != h)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            if self.memo.n + len(new) > SLOTS // 2:
+                self.memo.clear()
+                new, at = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
+            at = missing[at]
+            self._learn([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], new, heads[at])
+            slot = self.memo.slots(h)
+        n, begin = self.memo.sizes[slot].astype(np.int64), self.memo.starts[slot]
+        after = np.cumsum(n)
+        ids = self.memo.pool[np.repeat(begin - after + n, n) + np.arange(after[-1])]
+        return np.split(ids, (after - n)[first[1:]])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as little-endian integers of `dtype`; null is empty."""
         texts = [t or "" for t in texts]
         if not self.chunked:
             return self._plain(texts)
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[np.ndarray] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        group, size = [], 0
         rest = [i for i in range(len(texts)) if out[i] is None]
-        chunks = {i: texts[i].split(" ") for i in rest}
-        new = set()
-        for c in chunks.values():
-            new.update(c[1:])
-        new.difference_update(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo.clear()
-            new = set()
-            for c in chunks.values():
-                new.update(c[1:])
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        heads = self._plain([chunks[i][0] for i in rest])
-        for i, head in zip(rest, heads, strict=True):
-            out[i] = head + b"".join(map(get, chunks[i][1:]))
+        for k, i in enumerate(rest):
+            group.append((i, texts[i].encode()))
+            size += len(group[-1][1])
+            if size >= GROUP_BYTES or k == len(rest) - 1:
+                for (j, _), ids in zip(group, self._group([b for _, b in group]), strict=True):
+                    out[j] = ids
+                group, size = [], 0
         return out
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(b, self.dtype) for b in self.encode(texts)]
