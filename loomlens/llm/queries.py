@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records
+from . import contamination, html_text, language, neardup, packing, quality, records, rules, urls, warc
 from .common import table
 
 SEQUENCE = 2048
@@ -25,8 +25,51 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=1, capacity=SEQUENCE)
 
 
+#: The rules of the url query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, urls.train(spark))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.identify(docs, language.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.assess(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.round_trip(spark, pages, least=0)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return rules.judge(spark, docs).drop("host")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return contamination.mark(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents", "doc_id", "text"), words=2, num=80, den=100)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_records, op8_packing)}
+    every = (op1_url_filter, op2_token_records, op3_html_text, op4_language, op5_quality, op6_warc, op7_quality_rules, op8_packing, op9_decontamination, op10_near_duplicates)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,79 +23,24 @@ FEATURES = 1 << 13
 SIZES = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The small labelled url table (1: block).
-LABELLED = """
-1 http://cheap-pills.example/buy/viagra
-1 http://www.pharmacy-pills.example/order/no-prescription
-1 http://online-pills-store.example/en/cheap
-1 http://discount-meds.example/pills
-1 http://cheap-watches.example/replica
-1 http://cheap-loans.example/payday
-1 http://payday-loan-fast.example/apply
-1 http://free-casino.example/bonus
-1 http://casino-online.example/slots/free-spins
-1 http://best-slots.example/jackpot
-1 http://poker-bets.example/free
-1 http://free-bets.example/odds
-1 http://sports-bets.example/live/betting
-1 http://www.betting-tips.example/bets
-1 http://bet-win.example/free-bets
-1 http://m.lottery-win.example/claim
-1 http://adult-cams.example/live
-1 http://adult-videos.example/xxx
-1 http://xxx-adult.example/free
-1 http://www.adult-dating.example/x
-1 http://hot-cams.example/adult
-1 http://porn-tube.example/xxx/videos
-1 http://free-porn.example/watch
-1 http://escorts-city.example/adult
-1 http://ads-server.example/banner
-1 http://ads.network.example/track
-1 http://track-ads.example/click
-1 http://adserver-track.example/pixel
-1 http://click-track.example/redirect
-1 http://tracker.example/track?ad=1
-1 http://popup-ads.example/popunder
-1 http://banner-ads.example/impression
-1 http://free-download-crack.example/keygen
-1 http://warez-crack.example/serial
-1 http://phish-login.example/verify/account
-1 http://free-gift-cards.example/claim-prize
-0 http://news.example/en/politics/2024
-0 http://www.daily-news.example/world
-0 http://blog.garden.example/en/roses
-0 http://blog.travel-notes.example/fr/paris
-0 http://blog.mathematics.example/de/12
-0 http://www.university.example/research/papers
-0 http://library.example/catalogue/en/417
-0 http://museum.example/es/collection/55
-0 http://wiki.example/en/History_of_science
-0 http://docs.software.example/reference/index.html
-0 http://m.weather.example/de/forecast
-0 http://m.recipes.example/fr/soup/31
-0 http://www.orchestra.example/en/season
-0 http://science.example/es/biology/101
-0 http://www.hospital.example/en/departments
-0 http://school.example/en/timetable/7
-0 http://forum.bicycles.example/thread/900?page=2
-0 http://www.theatre.example/en/programme
-0 http://thorndon.example/en/676
-0 http://theration.example/en/328/
-0 http://www.thatherin.example/fr/176.html
-0 http://m.ristonath.example/es/217?page=2
-0 http://blog.tionhere.example/en/929#top
-0 http://www.anderlich.example/de/804?utm_source=feed
-0 http://ereandth.example/en/41
-0 http://oucherment.example/fr/590/
-0 http://m.ciontado.example/es/33.html
-0 http://histaing.example/en/1002
-0 http://www.mountains.example/en/peaks/8
-0 http://railways.example/de/fahrplan
-0 http://www.cathedral.example/en/visit
-0 http://parliament.example/en/debates/2020
-0 http://data.statistics.example/en/tables/4
-0 http://journal.history.example/articles/77
+#: Hosts to block and to allow, and paths. The small labelled url
+#: table pairs every host with every path.
+BLOCK_HOSTS = """
+cheap-pills discount-meds online-pharmacy viagra-store diet-pills replica-watches payday-loans quick-loans
+free-casino casino-win best-slots slots-bonus poker-room free-bets sports-bets betting-odds lottery-win
+adult-cams adult-x xxx-videos adult-dating porn-tube escort-girls hot-cams ads-server ads-track click-track
+tracker-pixel banner-ads popunder-ads spam-farm link-farm spam-links crack-serials warez-keygen phish-login
+verify-account claim-prize free-gift malware-drop make-money-fast crypto-doubler
 """
+ALLOW_HOSTS = """
+daily-news world-times garden-notes travel-journal mathematics university city-library museum wiki-history
+docs-reference weather-report kitchen-recipes orchestra biology-today hospital school-board bicycle-forum
+theatre railway cathedral parliament statistics history-journal mountain-peaks river-guide science-review
+thorndon theration thatherin ristonath tionhere anderlich ereandth oucherment ciontado histaing
+nderstand reasoned interth onlything theirs otherwise
+"""
+PATHS = "/ /en/101 /fr/22.html /de/303/ /es/44 /index.html"
+ENDINGS = ("com", "net", "org")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -117,10 +62,15 @@ def rule_of(rules: dict[str, str], host: Column, path: Column) -> Column:
     return out
 
 
+def runs(text: Column, n: int, mark: str) -> Column:
+    """All runs of n characters (the text itself if it is shorter), marked."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.concat(F.lit(f"{mark}{n}"), F.substring(text, i, F.lit(n))))
+
+
 def grams(text: Column, mark: str) -> Column:
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(f"{mark}{n}"), F.substring(padded, i, F.lit(n)))) for n in SIZES]
-    return F.concat(*each)
+    return F.concat(*(runs(padded, n, mark) for n in SIZES))
 
 
 def featured(df: DataFrame, host: str, path: str) -> DataFrame:
@@ -128,14 +78,20 @@ def featured(df: DataFrame, host: str, path: str) -> DataFrame:
     return HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True).transform(letters)
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(label, url): the small labelled table."""
+    hosts = F.array(*(F.struct(F.lit(y).alias("label"), F.concat_ws(".", F.lit(h), F.lit("example"), F.lit(ENDINGS[i % 3])).alias("host")) for y, names in ((1.0, BLOCK_HOSTS), (0.0, ALLOW_HOSTS)) for i, h in enumerate(names.split())))
+    rows = spark.range(1).select(F.inline(hosts)).withColumn("path", F.explode(F.split(F.lit(PATHS), " ")))
+    return rows.select("label", F.concat(F.lit("http://"), "host", "path").alias("url"))
+
+
 def train(spark: SparkSession, labelled: DataFrame | None = None, penalty: float = 0.01) -> LogisticRegressionModel:
-    """labelled: (label 0/1, url); by default the table above."""
+    """labelled: (label 0/1, url); by default the small table of this module."""
     if labelled is None:
-        lines = F.explode(F.split(F.lit(LABELLED.strip()), "\n"))
-        labelled = spark.range(1).select(lines.alias("line")).select(F.substring("line", 1, 1).cast("double").alias("label"), F.expr("substring(line, 3)").alias("url"))
+        labelled = labelled_urls(spark)
     host, path = split_url(F.col("url"))
     rows = featured(labelled.select("label", host.alias("_host"), path.alias("_path")), "_host", "_path")
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=penalty, maxIter=50).fit(rows)
+    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=penalty, maxIter=50, standardization=False).fit(rows)
 
 
 def judge(pages: DataFrame, rules: dict[str, str], model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
