@@ -8,10 +8,12 @@ rank under the k-fold shift. BANDS groups of ROWS coordinates give bucket keys.
 Documents with equal sets are one class; only class representatives (the smallest
 doc_id) go on. In each bucket every member is compared with the bucket's hub (the
 member that meets most others) and never with all others, so a bucket of n members
-costs n comparisons. Verified links give components. Buckets whose members then lie
-in several components hold pairs not yet judged; those are found by an exact prefix
-and position filter between the members outside the hub's component and all others
-of such buckets, verified, and joined to the components. No bucket is capped.
+costs n comparisons. Verified links give components. Members that then lie outside
+their hub's component meet the hubs of PARTS parts of the bucket in the same way.
+Buckets whose members still lie in several components hold pairs not yet judged;
+those are found by an exact prefix and position filter between the members outside
+the hub's component and all others of such buckets, verified, and joined to the
+components. No bucket is capped.
 
 Defined cases: words are runs without ASCII white space, A-Z lower-cased; with
 fewer words than a shingle, the whole sequence is one shingle; null or empty texts
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
@@ -43,7 +45,7 @@ from .tokens import Powers
 UNIVERSE = 1 << 20
 ROWS = 5
 BANDS = 25
-SLOTS = 1 << 16
+PARTS = 8
 SET_BYTES = 6  # of each hash, where two full sets are compared: 48 bits
 _C = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -208,39 +210,28 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 def rest_pairs(scratch: Scratch, sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different labels, a outside its bucket's hub component, that
-    can reach the similarity: exact prefix and position filter under any fixed
-    order of the hashes; ours puts those of rare count slots first.
+    can reach the similarity: exact prefix and position filter with each set ordered
+    by how many of these sets hold a hash, rare ones first. Hashes of one set only
+    cannot be shared; they just count as places.
     nodes: (node, label, outside)."""
-    known = scratch.save(sets.join(nodes, "node"), "rest-sets")
+    known = scratch.save(sets.join(nodes, "node").withColumn("n", (F.octet_length("shingles") / SET_BYTES).cast("long")), "rest-sets")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.column(0):
-                total += np.bincount((unpacked(s.as_py()) % SLOTS).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    slots = known.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
-    weight = np.zeros(SLOTS, np.int64)
-    weight[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = unpacked(batch.column(1)[i].as_py())
-                n = len(s)
-                take = n - -(-num * n // den) + 1
-                order = np.lexsort((s, weight[(s % SLOTS).astype(np.int64)]))[:take]
-                k = len(order)
-                fields = [pa.array(s[order].view(np.int64)), pa.array(np.arange(k)), pa.array(np.full(k, n))]
-                fields += [pa.array([batch.column(c)[i].as_py()] * k, t) for c, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.bool_()))]
-                yield pa.RecordBatch.from_arrays(fields, names=["token", "at", "n", "node", "label", "outside"])
-
-    tokens = scratch.save(known.select("node", "shingles", "label", "outside").mapInArrow(prefixes, "token long, at long, n long, node long, label long, outside boolean"), "rest-prefixes")
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = unpacked(data.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], names=["node", "token"])
+
+    tokens = scratch.save(known.select("node", "shingles").mapInArrow(flatten, "node long, token long"), "rest-tokens")
+    held = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "rest-held")
+    own = Window.partitionBy("node")  # bounded by a document's own set
+    placed = tokens.join(held, "token").join(known.select("node", "label", "outside", "n"), "node")
+    placed = placed.withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1)
+    prefix = placed.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    tokens = scratch.save(prefix.select("token", "at", "n", "node", "label", "outside"), "rest-prefixes")
     x = tokens.filter("outside").select("token", *(F.col(c).alias(f"{c}_a") for c in ("at", "n", "node", "label")))
     y = tokens.select("token", *(F.col(c).alias(f"{c}_b") for c in ("at", "n", "node", "label")))
-    reach = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fit = (
         (F.col("label_a") != F.col("label_b"))
         & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
@@ -250,6 +241,35 @@ def rest_pairs(scratch: Scratch, sets: DataFrame, nodes: DataFrame, num: int, de
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def hubs_of(members: DataFrame, parts: int) -> DataFrame:
+    """(key, hub): of each bucket, or of each of `parts` parts of it by a hash, the
+    heaviest member (the smallest of equals)."""
+    part = F.pmod(F.xxhash64("node"), F.lit(parts))
+    top = members.groupBy("key", part.alias("_part")).agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("_top"))
+    return top.select("key", (-F.col("_top.minus")).alias("hub"))
+
+
+def relabelled(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels (node, label) after the links (a, b) join components."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+    edges = scratch.save(ends.filter("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), f"{name}-edges")
+    if not edges.limit(1).count():
+        return labels
+    joined = components(scratch, edges, name).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return scratch.save(labels.join(joined, "label", "left").select("node", F.coalesce("_new", "label").alias("label")), name)
+
+
+def unsettled(scratch: Scratch, members: DataFrame, hubs: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label) of all members, and (key, main) of the buckets with several
+    labels, main being the hub's."""
+    spread = scratch.save(members.select("key", "node").join(labels, "node"), f"spread-{name}")
+    mixed = spread.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    own = labels.select(F.col("node").alias("hub"), F.col("label").alias("main"))
+    return spread, scratch.save(mixed.join(hubs, "key").join(own, "hub").select("key", "main"), f"mixed-{name}")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document (doc_id, text)."""
     scratch = Scratch(spark, "neardup")
@@ -264,36 +284,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
 
     # the hub of a bucket: the member whose buckets are largest
     weight = scratch.save(members.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
-    weighed = members.join(weight, "node")
-    hubs = scratch.save(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub")), "hubs")
+    members = scratch.save(members.select("key", "node").join(weight, "node"), "weighed")
+    scratch.drop("members")
     sets = scratch.save(sets_of(docs, weight.select("node"), words), "sets")
-    pairs = members.join(hubs, "key").filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs")
-    links = scratch.save(verified(pairs, sets, num, den), "links")
-    labels = components(scratch, links, "first")
+    labels = weight.select("node", F.col("node").alias("label"))
 
-    # buckets that still hold several components
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        return df.join(own, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", column)).drop("_node", "_label")
-
-    spread = scratch.save(labelled(members.select("key", "node"), "node", "label"), "spread")
-    mixed = spread.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    mixed = scratch.save(labelled(mixed.join(hubs, "key"), "hub", "main").select("key", "main"), "mixed")
-    unsettled = spread.join(mixed, "key").groupBy("node", "label").agg(F.max(F.col("label") != F.col("main")).alias("outside"))
-    unsettled = scratch.save(unsettled, "unsettled")
-    scratch.drop("members", "spread", "weight", "hubs", "mixed")
-    if unsettled.limit(1).count():
-        more = rest_pairs(scratch, sets, unsettled, num, den)
-        judged = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.save(more.join(judged, ["a", "b"], "left_anti"), "more")
-        further = scratch.save(verified(more, sets, num, den), "further")
-        if further.limit(1).count():
-            labels = components(scratch, links.union(further), "second")
+    hubs = scratch.save(hubs_of(members, 1).select("key", "hub"), "hubs")
+    pairs = members.join(hubs, "key").filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    judged = scratch.save(pairs, "pairs-0")
+    labels = relabelled(scratch, labels, scratch.save(verified(judged, sets, num, den), "links-0"), "labels-0")
+
+    # members outside their hub's component meet the hubs of PARTS parts of the bucket
+    spread, mixed = unsettled(scratch, members, hubs, labels, "1")
+    several = hubs_of(members.join(mixed, "key", "left_semi"), PARTS).join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
+    outside = spread.join(mixed, "key").filter("label != main")
+    pairs = outside.join(several, "key").filter("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = scratch.save(pairs.join(judged, ["a", "b"], "left_anti"), "pairs-1")
+    labels = relabelled(scratch, labels, scratch.save(verified(pairs, sets, num, den), "links-1"), "labels-1")
+    judged = judged.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # all pairs that are left between components
+    spread, mixed = unsettled(scratch, members, hubs, labels, "2")
+    rest = scratch.save(spread.join(mixed, "key").groupBy("node", "label").agg(F.max(F.col("label") != F.col("main")).alias("outside")), "rest")
+    scratch.drop("weighed", "hubs", "spread-1", "mixed-1", "spread-2", "mixed-2")
+    if rest.limit(1).count():
+        more = scratch.save(rest_pairs(scratch, sets, rest, num, den).join(judged, ["a", "b"], "left_anti"), "pairs-2")
+        labels = relabelled(scratch, labels, scratch.save(verified(more, sets, num, den), "links-2"), "labels-2")
 
     own = labels.select("node", "label")
     by_class = scratch.save(classes.join(own, "node", "left").select(*marks, F.coalesce("label", "node").alias("_component")), "components")
-    scratch.drop("sets", "rest-sets", "rest-prefixes")
+    scratch.drop("sets", "rest-sets", "rest-tokens", "rest-held", "rest-prefixes")
     out = sketch.select("doc_id", *marks).join(by_class, marks, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
