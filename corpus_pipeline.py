@@ -16,7 +16,7 @@ from loomlens.llm.common import Scratch, table
 from loomlens.llm.queries import SEQUENCE, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
