@@ -1,4 +1,5 @@
 """Catalog of the engine's own queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
