@@ -78,3 +78,12 @@ def evidence_hits(evidence: DataFrame, phrases: list[str]) -> DataFrame:
 
     made = F.array(*(F.struct(F.lit(p).alias("phrase"), hit(p).alias("context")) for p in phrases))
     return evidence.select("obs_id", F.inline(made)).filter(F.col("context").isNotNull()).select("phrase", "obs_id", "context")
+
+
+def similar_sentences(items: DataFrame, queries: list[tuple[int, list[float]]], k: int = 3, least: float = 0.4, width: int = 250) -> DataFrame:
+    """Nearest sentences (sentence_id, sentence, vector) per stated query: of those
+    whose first 50 characters agree without case the best stays; texts are cut to
+    `width` characters."""
+    keyed = items.withColumn("_near", F.lower(F.substring("sentence", 1, 50)))
+    found = nearest(keyed, queries, k, least, "sentence_id", "vector", "_near")
+    return found.join(items.select("sentence_id", F.substring("sentence", 1, width).alias("sentence")), "sentence_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotate, ensemble, linear, residual, select, split
+from ..shipping import ship
 from .config import EnsembleConfig, Phase
 from .history import History
 from .state import Checkpoints, State
@@ -36,6 +37,7 @@ class WordProposer:
 
 class Trainer:
     def __init__(self, spark: SparkSession, config: EnsembleConfig, folder: str, annotator: annotate.Annotator | None = None, proposer: Proposer | None = None):
+        ship(spark)
         self.spark, self.config, self.folder = spark, config, folder
         self.annotator, self.proposer = annotator or annotate.PatternAnnotator(), proposer or WordProposer()
         self.history, self.concepts = History(), {}

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Concepts of the catalog (patterns are common to Java and RE2).
 CONCEPTS = [
     {"concept_id": 0, "name": "insult", "concept": "Does the note mention an insult?", "pattern": "idiot|stupid|pathetic|worthless|moron|scum|loser|clown|trash|disgusting", "words": ["idiot", "stupid", "scum", "trash"], "is_risk_factor": True},
@@ -32,6 +34,7 @@ REPLICATES = 200
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -133,3 +133,14 @@ def read_config(text: str) -> dict:
         except ValueError:
             out[name] = None if value in ("", "~") else value.strip("'\"")
     return out
+
+
+def common_keys(left: DataFrame, right: DataFrame, key: str = "obs_id") -> DataFrame:
+    """Distinct keys that both hold."""
+    return left.select(key).intersect(right.select(key))
+
+
+def without_excluded(notes: DataFrame, decisions: DataFrame, key: str = "obs_id") -> DataFrame:
+    """Notes but for those whose decision (key, exclude) says so; a note without one stays."""
+    out = decisions.filter(F.coalesce("exclude", F.lit(False))).select(key).distinct()
+    return notes.join(out, key, "left_anti")

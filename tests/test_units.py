@@ -255,7 +255,7 @@ def test_train_resume_predict(spark, tmp_path):
         y = int(rng.random() < (0.85 if pain else 0.15))
         rows.append((i, ", ".join((["pain"] if pain else []) + (["calm"] if calm else []) + [f"word{rng.integers(0, 4)}"]), y, 1.0))
     notes = spark.createDataFrame(rows, "obs_id long, text string, y int, sample_weight double")
-    config = EnsembleConfig.from_args(init_seeds=[1, 2], goal_num_meta_concepts=2, max_meta_concepts=4, num_greedy_epochs=1, num_epochs=1, cv=2)
+    config = EnsembleConfig.from_args(init_seeds=[1, 2], goal_num_meta_concepts=2, max_meta_concepts=4, num_greedy_epochs=1, cv=2, final_model_type="l2")
     trainer = Trainer(spark, config, str(tmp_path / "run"))
     history = trainer.fit(notes)
     assert trainer.state.phase == Phase.COMPLETE and history.length(1) == history.length(2) == 3
@@ -289,3 +289,69 @@ def test_stream_scores(spark, tmp_path):
 def test_ensemble_window(spark):
     h = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "seed int, iter int")
     assert ensemble.window(h, 1).count() == 2 and ensemble.window(h, baseline=True).count() == 2
+
+
+def test_features(spark):
+    from loomlens.operators import features
+
+    df = spark.createDataFrame([(1, 1.0, 5.0, 0), (2, 3.0, 5.0, 1)], "obs_id long, a double, b double, y int")
+    scaler = features.Scaler.load(features.Scaler.fit(df, ["a", "b"]).dump())
+    rows = features.feature_table(df, ["y"], ["a", "b"], scaler).orderBy("obs_id").collect()
+    assert [(r.a, r.b) for r in rows] == [(-1.0, 0.0), (1.0, 0.0)] and rows[0].asDict().keys() == {"obs_id", "a", "b", "y"}
+    answers = features.tabular_answers(df, [{"concept": "Tabular feature: a", "concept_id": 7}, {"concept": "other", "concept_id": 8}])
+    assert {(r.obs_id, r.concept_id, r.answer) for r in answers.collect()} == {(1, 7, 1.0), (2, 7, 3.0)}
+    with pytest.raises(ValueError):
+        features.tabular_answers(df, [{"concept": "Tabular feature: no", "concept_id": 7}])
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b), int(rng.random() < (0.9 if a else 0.1)), i % 2) for i, (a, b) in enumerate(rng.integers(0, 2, (200, 2)))]
+    ranked = features.ranked_coefficients(spark.createDataFrame(rows, "a int, b int, y int, fold int"), ["a", "b"]).orderBy("rank").collect()
+    assert ranked[0].concept == "a" and ranked[0].coef > 0
+
+
+def test_keyphrases(spark):
+    from loomlens.operators import keyphrases
+
+    def ask(prompts):
+        return [None if "none" in p else p.split(":")[1] + "!" for p in prompts]
+
+    notes = spark.createDataFrame([(1, "abcd"), (2, "none")], "obs_id long, text string")
+    rows = {r.obs_id: r.llm_output for r in keyphrases.extract(notes, "q:{note}", ask, limit=2).collect()}
+    assert rows == {1: "ab!,cd!", 2: "no!,ne!"}
+    assert {r.obs_id: r.llm_output for r in keyphrases.extract(notes, "q:{note}", ask).collect()} == {1: "abcd!", 2: ""}
+    said = lambda prompts: ['{"phrases": [{"phrase": "a, b", "evidence": "e"}]}' if p.startswith("two") else "s" for p in prompts]
+    row = keyphrases.two_step(notes, "one {note}", "two {note}", said, evidence=True).filter("obs_id = 1").first()
+    assert (row.llm_summary, row.llm_output, row.evidence) == ("s", "a, b", {"a": "e", "b": "e"})
+    calls = spark.createDataFrame([(1, "q:x"), (2, "q:x"), (3, "q:y")], "id long, prompt string")
+    cache = spark.createDataFrame([], "prompt_key string, response string")
+    answered, fresh = keyphrases.ask_cached(calls, cache, ask, "prompt", "said")
+    assert fresh.count() == 2 and {r.id: r.said for r in answered.collect()} == {1: "x!", 2: "x!", 3: "y!"}
+
+
+def test_evaluate(spark):
+    from loomlens.plans import evaluate
+
+    rows = [(i, i % 2, 0.1 + 0.8 * ((i * 7) % 10) / 10 * (0.5 + 0.5 * (i % 2)), 1.0, "ab"[i % 3 > 0], i) for i in range(60)]
+    df = spark.createDataFrame(rows, "obs_id long, y int, prob double, sample_weight double, lang string, age int")
+    out = {r.domain_slice: r for r in evaluate.evaluate(df, 0.9, "lang", "age", 30, replicates=20).collect()}
+    assert set(out) == {"all", "a", "b", "age_below_30", "age_above_30"}
+    assert all(r.auc_low <= r.auc_high and r.auc_str.count(",") == 1 for r in out.values())
+    one = evaluate.simple_metrics(df).first()
+    assert one.n_samples == 60 and one.auc == pytest.approx(out["all"].auc)
+    assert evaluate.predictions(df, df.select("obs_id"), df.filter("obs_id < 10")).count() == 50
+
+
+def test_cli(spark, tmp_path):
+    from loomlens import cli
+
+    df = spark.createDataFrame([(i, f"note {i}") for i in range(20)], "obs_id long, text string")
+    df.write.parquet(f"{tmp_path}/notes.parquet")
+    cli.main(["split", "--data", f"{tmp_path}/notes.parquet", "--out", f"{tmp_path}/index", "--test-frac", "0.25"], spark)
+    index = tables.read_csv(spark, f"{tmp_path}/index")
+    assert index.filter("partition = 'test'").count() == 5 and index.count() == 20
+
+
+def test_sources_sets(spark):
+    a, b = spark.range(4).withColumnRenamed("id", "obs_id"), spark.range(2, 6).withColumnRenamed("id", "obs_id")
+    assert sorted(r.obs_id for r in tables.common_keys(a, b).collect()) == [2, 3]
+    said = spark.createDataFrame([(0, True), (1, None)], "obs_id long, exclude boolean")
+    assert sorted(r.obs_id for r in tables.without_excluded(a, said).collect()) == [1, 2, 3]
