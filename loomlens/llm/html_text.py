@@ -37,12 +37,14 @@ SECTION = set("article main section div body td blockquote".split())
 DROPPED = set("head title script style noscript template nav header footer aside form button select textarea menu dialog iframe object svg canvas audio video".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 DROPPED_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice gdpr comment comments disqus respond replies popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright".split()
+    "ad ads adsense nav navbar navigation menu menus header headers masthead footer footers aside notice notices alert announcement disclaimer consent gdpr respond reply replies modal overlay signup login share sharing social related recommended widget toolbar pagination pager copyright".split()
 )
+#: Beginnings of class words.
+DROPPED_STARTS = tuple("advert banner breadcrumb comment cookie disqus newsletter popup promo sidebar sponsor subscri".split())
 P_ENDS = BLOCK - {"br", "body", "html", "head", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "title"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_STOPS = set("ul ol menu dl table".split())
-MAIN = {"article", "main"}
+MAIN = {"main": 1, "article": 2}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -52,16 +54,16 @@ def boilerplate(tag: str, attrs: dict[str, str | None]) -> bool:
     if tag in MAIN or tag in ("body", "html"):
         return False
     named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return len(named) > 1 and any(w.lower() in DROPPED_WORDS for w in _WORD.findall(named))
+    return len(named) > 1 and any(w in DROPPED_WORDS or w.startswith(DROPPED_STARTS) for w in map(str.lower, _WORD.findall(named)))
 
 
 class Lines(HTMLParser):
-    """Events to lines: texts, tags, region of each line, and which are article."""
+    """Events to lines: texts, tags, region of each line, and where it lies."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, region, within an article
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, region, within main (1) or an article (2)
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags, self.regions = 0, 0
 
@@ -69,7 +71,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, main = self.stack[-1] if self.stack else ("", False, 0, False)
+                _, _, region, main = self.stack[-1] if self.stack else ("", False, 0, 0)
                 self.lines.append((text, self.tags, region, main))
                 self.tags = 0
             self.parts = []
@@ -103,11 +105,11 @@ class Lines(HTMLParser):
                     break
                 if self.stack[i][0] in LIST_STOPS:
                     break
-        _, dropped, region, main = self.stack[-1] if self.stack else ("", False, 0, False)
+        _, dropped, region, main = self.stack[-1] if self.stack else ("", False, 0, 0)
         if tag in SECTION:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, dropped or boilerplate(tag, dict(attrs)), region, main or tag in MAIN))
+        self.stack.append((tag, dropped or boilerplate(tag, dict(attrs)), region, max(main, MAIN.get(tag, 0))))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCK:
@@ -132,7 +134,7 @@ class Lines(HTMLParser):
         if not (self.stack and self.stack[-1][1]):
             self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, bool]]:
+    def finish(self) -> list[tuple[str, int, int, int]]:
         self.close()
         self.end_line()
         return self.lines
@@ -145,9 +147,10 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel, "full")[radius : radius + len(x)] / weight
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]], sigma: float, factor: float, prior: float, gap: int) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, int, int]], sigma: float, factor: float, prior: float, gap: int) -> np.ndarray:
     """Which lines lie in a content region."""
-    article = np.array([m for *_, m in lines])
+    level = np.array([m for *_, m in lines])
+    article = level == max(1, int(level.max()))  # the articles, or else the main element
     region = np.array([r for _, _, r, _ in lines])
     ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]) * np.where(article, prior, 1.0)
     smoothed = smooth(ratio, sigma)
