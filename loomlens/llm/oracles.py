@@ -60,8 +60,8 @@ s AS (SELECT h.*, greatest(0, -shift) AS low, least(len(c), len(a) - shift) AS h
 u AS (SELECT *, greatest(low, least(pos - 1 + {_C.SPAN}, high) - need) AS l, greatest(low, least(pos - 1, high - need)) AS r FROM s WHERE high - low >= need),
 g AS (SELECT u.doc_id, u.item_id, u.shift, u.pos, low, high, need, l, r, sum((c[k + 1] = a[k + 1 + shift])::INT) AS every, sum((k >= l AND k < least(l + need, high) AND c[k + 1] = a[k + 1 + shift])::INT) AS nl, sum((k >= r AND k < least(r + need, high) AND c[k + 1] = a[k + 1 + shift])::INT) AS nr FROM (SELECT *, unnest(range(low, high)) AS k FROM u) u GROUP BY ALL),
 f AS (SELECT DISTINCT doc_id, item_id FROM g WHERE every >= {_C.SHARE} * (high - low) OR nl >= {_C.SHARE} * need OR nr >= {_C.SHARE} * need),
-n AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
-SELECT d.doc_id, n.item_ids IS NOT NULL AS contaminated, coalesce(len(n.item_ids), 0)::BIGINT AS n_items, coalesce(n.item_ids, []::BIGINT[]) AS item_ids FROM d LEFT JOIN n USING (doc_id)
+n AS (SELECT doc_id, count(*) AS k, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
+SELECT d.doc_id, n.item_ids IS NOT NULL AS contaminated, coalesce(n.k, 0) AS n_items, coalesce(n.item_ids, '') AS item_ids FROM d LEFT JOIN n USING (doc_id)
 """
 
 OP10 = r"""

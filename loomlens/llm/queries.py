@@ -61,7 +61,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return contamination.mark(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
+    found = contamination.mark(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
+    return found.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda i: i.cast("string"))))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
