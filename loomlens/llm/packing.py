@@ -13,8 +13,8 @@ repeated doc_ids or rows are each packed; an empty table gives no piece; other
 columns of the input, whatever their names, are not read.
 
 Plan: one narrow pass encodes and cuts (texts are never shuffled); ranks come from
-windows over (length, salt) and a running sum over the bounded table of their
-counts, so one very common length spreads over `salts` tasks; only the histogram
+windows over (length, salt) and a running sum over the table of their counts, so
+one very common length spreads over `salts` tasks, more with more pieces; only the histogram
 (at most capacity/grid + grid rows) reaches the driver.
 """
 
@@ -33,6 +33,8 @@ from .tokens import Encoder
 
 GRID = 64
 SALTS = 64
+ROWS_PER_SALT = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def cuts(n: int, capacity: int, grid: int) -> list[int]:
@@ -146,8 +148,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
+def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS, grid: int = GRID) -> DataFrame:
     """Adds sequence_id and offset to the (materialised) pieces."""
+    salts = max(salts, cut.count() // ROWS_PER_SALT + 1)
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,8 +160,10 @@ def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS) -
     table: dict[int, np.ndarray] = {}
     for x in {s[0] for s in segments}:
         table[x] = np.array([s[1:] for s in segments if s[0] == x], np.int64)
-    # at most (lengths x salts) rows, whatever the input
-    ranked = salted.join(F.broadcast(counts.select("length", "_salt", "_base")), ["length", "_salt"])
+    base = counts.select("length", "_salt", "_base")
+    if (capacity // grid + grid) * salts <= BROADCAST_ROWS:  # that many rows at most
+        base = F.broadcast(base)
+    ranked = salted.join(base, ["length", "_salt"])
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1).drop("_salt", "_base")
     names = [c for c in ranked.columns if c != "_rank"]
@@ -181,4 +186,4 @@ def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS) -
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, grid: int = GRID, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves."""
     scratch = Scratch(spark, "packing")
-    return place(scratch, scratch.save(pieces(docs, tokenizer_path, end_id, capacity, grid, with_ids), "pieces"), capacity)
+    return place(scratch, scratch.save(pieces(docs, tokenizer_path, end_id, capacity, grid, with_ids), "pieces"), capacity, grid=grid)
