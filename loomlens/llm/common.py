@@ -9,11 +9,27 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship_package
+
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, and lets Arrow batches hold BATCH_ROWS rows
+    where the session has Spark's default of 10000: batches carry whole texts here,
+    and an executor holds several at a time."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -38,6 +54,7 @@ class Scratch:
     and reads it back, which cuts the lineage at files that outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -97,8 +114,10 @@ def even(df: DataFrame, rows: int) -> DataFrame:
 
 
 def slices(batch, size: int = 256):
+    """Parts of an Arrow batch; memory that Arrow keeps goes back after each batch."""
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)
+    pa.default_memory_pool().release_unused()
 
 
 def crc_bucket(n: int):
@@ -106,12 +125,14 @@ def crc_bucket(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
-def dual_descent(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 20, weight: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+def dual_descent(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 20, weight: np.ndarray | None = None, seed: int = 7, rows: np.ndarray | None = None) -> np.ndarray:
     """Linear hinge-loss model without intercept (append a column of ones for one)
-    by dual coordinate descent: min 1/2 w.w + sum c_i max(0, 1 - y_i w.x_i)."""
+    by dual coordinate descent: min 1/2 w.w + sum c_i max(0, 1 - y_i w.x_i).
+    `rows`: the rows of x that y and weight are about (all by default)."""
+    rows = np.arange(len(y)) if rows is None else rows
     n, upper = len(y), c * (np.ones(len(y)) if weight is None else weight)
     alpha, w = np.zeros(n), np.zeros(x.shape[1])
-    square = np.einsum("ij,ij->i", x, x).astype(float)
+    square = np.array([float(x[r] @ x[r]) for r in rows])
     order, rng = np.arange(n), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
@@ -119,10 +140,11 @@ def dual_descent(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 20,
         for i in order:
             if square[i] <= 0:
                 continue
-            gradient = y[i] * (x[i] @ w) - 1
+            v = x[rows[i]]
+            gradient = y[i] * (v @ w) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), upper[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * v
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4 * c:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, dual_descent, logistic_scale, slices
 
-SAMPLE = 1000  # documents of each language to learn from, on average
+SAMPLE = 600  # documents of each language to learn from, on average
 FEATURES = 2048
 SIZES = (1, 2, 3)
 UNKNOWN = "und"
@@ -89,21 +89,23 @@ class Model:
         weights, scales = [], []
         for f in self.families if len(self.families) > 1 else []:
             self.tasks.append((f,))
-            self._fit(x, np.where(fam == f, 1.0, -1.0), c, weights, scales)
+            self._fit(x, np.arange(len(y)), fam == f, c, weights, scales)
         for f in self.families:
             for a, b in combinations([v for v in self.langs if family(v) == f], 2):
                 self.tasks.append((a, b))
-                rows = (y == a) | (y == b)
-                self._fit(x[rows], np.where(y[rows] == a, 1.0, -1.0), c, weights, scales)
+                rows = np.flatnonzero((y == a) | (y == b))
+                self._fit(x, rows, y[rows] == a, c, weights, scales)
         self.weights = np.array(weights, np.float32).T if weights else np.zeros((FEATURES + 1, 0), np.float32)
         self.scales = np.array(scales).reshape(-1, 2)
 
     @staticmethod
-    def _fit(x, y, c, weights, scales):
-        share = np.where(y > 0, len(y) / 2 / max(1, (y > 0).sum()), len(y) / 2 / max(1, (y < 0).sum()))
-        w = dual_descent(x.astype(float), y, c, 30, share)
+    def _fit(x, rows, first, c, weights, scales):
+        """One machine: `first` against the others of `rows`, classes weighing the same."""
+        y = np.where(first, 1.0, -1.0)
+        share = np.where(first, len(y) / 2 / max(1, first.sum()), len(y) / 2 / max(1, (~first).sum()))
+        w = dual_descent(x, y, c, 30, share, rows=rows)
         weights.append(w)
-        scales.append(logistic_scale(x @ w, y))
+        scales.append(logistic_scale((x @ w.astype(np.float32))[rows].astype(float), y))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not self.langs:
@@ -153,8 +155,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ok, pa.int64())), pa.array([x[i, :-1].tobytes() for i in ok], pa.binary())], names=["lang", "x"])
 
     got = known.filter(wanted).select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * sample * len(rows)).toArrow()
-    x = np.array([np.frombuffer(b.as_py(), np.float32) for b in got.column("x").combine_chunks()]).reshape(-1, FEATURES)
-    return Model(np.hstack([x, np.ones((len(x), 1), np.float32)]), got.column("lang").to_pylist())
+    x = np.ones((got.num_rows, FEATURES + 1), np.float32)
+    i = 0
+    for chunk in got.column("x").chunks:
+        for b in chunk:
+            x[i, :-1] = np.frombuffer(b.as_buffer(), np.float32)
+            i += 1
+    return Model(x, got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:

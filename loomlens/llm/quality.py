@@ -94,17 +94,17 @@ class Model:
             if not h:
                 counts[s][x] += 1
         ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-        scaled = []
-        for x in rows:
+        def unit(x: np.ndarray) -> np.ndarray:
             v = ratio[x]
-            scaled.append(v / max(np.sqrt(v @ v), 1e-9))
+            return v / max(np.sqrt(v @ v), 1e-9)
+
         w, b = np.zeros(SIZE), 0.0
         alpha, rng, order = np.zeros(len(y)), np.random.default_rng(5), np.flatnonzero(~held)
         for _ in range(epochs):
             rng.shuffle(order)
             moved = 0.0
             for i in order:
-                x, v = rows[i], scaled[i]
+                x, v = rows[i], unit(rows[i])
                 new = min(max(alpha[i] - (y[i] * (w[x] @ v + b) - 1) / (v @ v + 1), 0.0), c)
                 step = (new - alpha[i]) * y[i]
                 if step:
@@ -115,7 +115,7 @@ class Model:
             if moved < 1e-3:
                 break
         self.ratio, self.w, self.b = ratio, w, b
-        margins = np.array([w[x] @ v + b for x, v in zip(rows, scaled, strict=True)])
+        margins = np.array([w[x] @ unit(x) + b for x in rows])
         use = held if len(set(y[held].tolist())) == 2 else ~held
         a, shift = logistic_scale(margins[use], y[use])
         drawn = (y[use] > 0).mean()
