@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,24 +58,35 @@ def boilerplate(tag: str, attrs: dict[str, str | None]) -> bool:
     return len(named) > 1 and any(w in DROPPED_WORDS or w.startswith(DROPPED_STARTS) for w in map(str.lower, _WORD.findall(named)))
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    level: int  # 1 within the main element, 2 within an article
+    linked: float  # share of its text in links
+
+
+TOP = ("", False, 0, 0, False)
+
+
 class Lines(HTMLParser):
     """Events to lines: texts, tags, region of each line, and where it lies."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, region, within main (1) or an article (2)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.stack: list[tuple[str, bool, int, int, bool]] = []  # tag, dropped, region, within main (1) or an article (2), within a link
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
+        self.tags, self.regions, self.linked = 0, 0, 0
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, main = self.stack[-1] if self.stack else ("", False, 0, 0)
-                self.lines.append((text, self.tags, region, main))
+                _, _, region, main, _ = self.stack[-1] if self.stack else TOP
+                self.lines.append(Line(text, self.tags, region, main, self.linked / len(text)))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
 
     def pop_to(self, i: int) -> None:
         del self.stack[i:]
@@ -87,7 +99,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in MAIN:
-            for i, (name, dropped, _, _) in enumerate(self.stack):
+            for i, (name, dropped, *_) in enumerate(self.stack):
                 if dropped and name not in ("script", "style", "template", "noscript"):
                     self.pop_to(i)
                     break
@@ -105,11 +117,11 @@ class Lines(HTMLParser):
                     break
                 if self.stack[i][0] in LIST_STOPS:
                     break
-        _, dropped, region, main = self.stack[-1] if self.stack else ("", False, 0, 0)
+        _, dropped, region, main, link = self.stack[-1] if self.stack else TOP
         if tag in SECTION:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, dropped or boilerplate(tag, dict(attrs)), region, max(main, MAIN.get(tag, 0))))
+        self.stack.append((tag, dropped or boilerplate(tag, dict(attrs)), region, max(main, MAIN.get(tag, 0)), link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCK:
@@ -131,10 +143,12 @@ class Lines(HTMLParser):
                 break  # an inline end tag does not reach out of its block
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][1]):
+        *_, link = state = self.stack[-1] if self.stack else TOP
+        if not state[1]:
             self.parts.append(data)
+            self.linked += len(data.strip()) if link else 0
 
-    def finish(self) -> list[tuple[str, int, int, int]]:
+    def finish(self) -> list[Line]:
         self.close()
         self.end_line()
         return self.lines
@@ -147,12 +161,13 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel, "full")[radius : radius + len(x)] / weight
 
 
-def content_lines(lines: list[tuple[str, int, int, int]], sigma: float, factor: float, prior: float, gap: int) -> np.ndarray:
+def content_lines(lines: list[Line], sigma: float, factor: float, prior: float, gap: int, links: float) -> np.ndarray:
     """Which lines lie in a content region."""
-    level = np.array([m for *_, m in lines])
+    level = np.array([x.level for x in lines])
     article = level == max(1, int(level.max()))  # the articles, or else the main element
-    region = np.array([r for _, _, r, _ in lines])
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]) * np.where(article, prior, 1.0)
+    region = np.array([x.region for x in lines])
+    prose = np.array([x.linked < links for x in lines])
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines]) * np.where(article, prior, np.where(prose, 1.0, 0.0))
     smoothed = smooth(ratio, sigma)
     dense = smoothed >= factor * smoothed.mean()
     if (dense & article).any():
@@ -164,7 +179,7 @@ def content_lines(lines: list[tuple[str, int, int, int]], sigma: float, factor:
         while last + 1 < len(lines) and article[last + 1]:
             last += 1
         return article & (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
-    keep = np.isin(region, np.unique(region[dense]))
+    keep = np.isin(region, np.unique(region[dense & (prose | ~prose.any())])) & (prose | ~prose.any())
     at = np.flatnonzero(keep)
     for i, j in zip(at, at[1:], strict=False):
         if j - i - 1 <= gap:
@@ -172,10 +187,11 @@ def content_lines(lines: list[tuple[str, int, int, int]], sigma: float, factor:
     return keep
 
 
-def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: float = 4.0, gap: int = 2) -> str:
+def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: float = 4.0, gap: int = 2, links: float = 0.8) -> str:
     """factor: the threshold as a multiple of the smoothed ratios' mean; prior:
     weight of ratios within an article or main element; gap: lines between two
-    content regions that are content too."""
+    content lines that are content too; links: outside of articles, lines with that
+    share of their text in links are no content (unless all are)."""
     if not html:
         return ""
     parser = Lines()
@@ -186,8 +202,8 @@ def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: fl
     lines = parser.finish()
     if not lines:
         return ""
-    keep = content_lines(lines, sigma, factor, prior, gap)
-    return " ".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
+    keep = content_lines(lines, sigma, factor, prior, gap, links)
+    return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
