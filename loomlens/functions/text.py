@@ -16,11 +16,14 @@ QUESTION_PARTS = (("Does the note mention the patient ", ""), ("Does the note me
 def sections(df: DataFrame, text: str, limit: int | None, keep: list[str]) -> DataFrame:
     """Rows of `keep` with section_id and section: slices of `limit` code points
     without overlap; one section where the text is no longer (also if empty)."""
+    return df.select(*keep, F.posexplode(section_array(F.col(text), limit)).alias("section_id", "section"))
+
+
+def section_array(text: Column, limit: int | None) -> Column:
     if limit is None:
-        return df.select(*keep, F.lit(0).alias("section_id"), F.col(text).alias("section"))
+        return F.array(text)
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(limit))
-    parts = F.transform(starts, lambda s: F.substring(F.col(text), s + 1, F.lit(limit)))
-    return df.select(*keep, F.posexplode(parts).alias("section_id", "section"))
+    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(limit)))
 
 
 def fold(text: Column) -> Column:

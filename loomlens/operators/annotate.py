@@ -26,6 +26,18 @@ class PatternAnnotator:
         return sections.select(*keep, F.inline(F.array(*said)))
 
 
+    def annotate_whole(self, notes: DataFrame, concepts: list[dict], text: str, limit: int | None, keep: list[str]) -> DataFrame:
+        """Collated answers of notes that are one row each: sections stay inside the
+        row, so the largest answer over them needs no exchange."""
+        cut = T.section_array(F.col(text), limit)
+
+        def held(pattern: str) -> Column:
+            return F.exists("_sections", lambda s: F.regexp_like(s, F.lit(pattern))).cast("double")
+
+        said = [F.struct(F.lit(c["concept_id"]).alias("concept_id"), held(c["pattern"]).alias("answer")) for c in concepts]
+        return notes.filter(F.col(text).isNotNull()).select(*keep, F.transform(cut, lambda s: F.lower(s)).alias("_sections")).select(*keep, F.inline(F.array(*said)))
+
+
 class ModelAnnotator:
     """Remote or local model behind a function of (prompts) -> responses, run in
     batches of rows on the executors. `batch_concepts` questions share a prompt."""
@@ -72,9 +84,14 @@ def join_sections(summaries: DataFrame, key: str, order: str, text: str, separat
     return kept.groupBy(key).agg(F.array_join(parts, separator).alias(text))
 
 
-def annotate_notes(notes: DataFrame, concepts: list[dict], annotator: Annotator | None = None, text: str = "text", limit: int | None = 1000, key: str = "obs_id") -> DataFrame:
+def annotate_notes(notes: DataFrame, concepts: list[dict], annotator: Annotator | None = None, text: str = "text", limit: int | None = 1000, key: str = "obs_id", one_row: bool = False) -> DataFrame:
+    """(key, concept_id, answer). one_row: each key has one row, which lets the
+    pattern annotator collate within it."""
+    annotator = annotator or PatternAnnotator()
+    if one_row and isinstance(annotator, PatternAnnotator):
+        return annotator.annotate_whole(notes, concepts, text, limit, [key])
     cut = T.sections(notes, text, limit, [key])
-    return collate((annotator or PatternAnnotator()).annotate(cut, concepts, [key]), [key])
+    return collate(annotator.annotate(cut, concepts, [key]), [key])
 
 
 def uncached(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

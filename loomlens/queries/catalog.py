@@ -31,13 +31,13 @@ def r6(x: Column) -> Column:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS, limit=S.SECTION)
+    return annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS, limit=S.SECTION, one_row=True)
 
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the labelled notes; unlabelled texts are dropped before annotation."""
     notes = S.notes(spark, sf_dir)
-    answers = annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION)
+    answers = annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION, one_row=True)
     return ensemble.scores(answers, *S.history(spark))
 
 
@@ -64,7 +64,7 @@ def q02_section_annotations(spark, sf_dir):
 
 @query(f"SELECT obs_id, concept_id, answer FROM {S.ANNOTATIONS_SQL}")
 def q03_collated_annotations(spark, sf_dir):
-    return annotated(spark, sf_dir)
+    return annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS, limit=S.SECTION)
 
 
 @query(f"SELECT concept_id, count(*) AS n, round(avg(answer), 6) AS prevalence, round(avg(answer) - 1.959963985 * stddev_samp(answer) / sqrt(count(*)), 6) AS low, round(avg(answer) + 1.959963985 * stddev_samp(answer) / sqrt(count(*)), 6) AS high FROM {S.ANNOTATIONS_SQL} GROUP BY concept_id")
@@ -76,7 +76,7 @@ def q04_prevalence(spark, sf_dir):
 def q05_class_conditional_freq(spark, sf_dir):
     labels = S.labels(spark, sf_dir)
     notes = S.documents(spark, sf_dir).join(labels.select("obs_id"), "obs_id", "left_semi")
-    answers = annotate.annotate_notes(notes, S.CONCEPTS, limit=S.SECTION)
+    answers = annotate.annotate_notes(notes, S.CONCEPTS, limit=S.SECTION, one_row=True)
     out = annotate.class_frequency(answers, labels, S.POSITIVE_SHARE)
     return out.select("concept_id", *(r6(F.col(c)).alias(c) for c in ("positive_frequency", "negative_frequency", "total_frequency")))
 
@@ -106,7 +106,7 @@ def q07_concept_attach(spark, sf_dir):
 def q08_sample_mapping_zero_fill(spark, sf_dir):
     draws = F.explode(F.sequence(F.lit(0), F.when(F.col("obs_id") % 2 == 0, 1).otherwise(0)))
     sample = S.documents(spark, sf_dir).select("obs_id", draws.alias("draw"))
-    held = annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS[:1], limit=S.SECTION).filter("answer > 0")
+    held = annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS[:1], limit=S.SECTION, one_row=True).filter("answer > 0")
     return annotate.sample_answers(sample, held, 0).select("obs_id", "draw", "concept_id", "answer")
 
 
@@ -186,7 +186,7 @@ CELLS_SQL = f"(SELECT concept_id, sum(w) FILTER (answer = 1 AND y = 1) AS a, sum
 
 def labelled_answers(spark, sf_dir) -> DataFrame:
     notes = S.notes(spark, sf_dir)
-    answers = annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION)
+    answers = annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION, one_row=True)
     return answers.join(notes.select("obs_id", "y", "sample_weight"), "obs_id")
 
 
@@ -377,7 +377,7 @@ def q36_context_lookup(spark, sf_dir):
 @query(f"SELECT d.doc_id AS obs_id, d.lang AS domain FROM documents d JOIN {INDEX_SQL} i ON i.obs_id = d.doc_id WHERE (contains(lower(d.text), 'the') OR contains(lower(d.source), 'the')) AND i.partition = 'train' AND EXISTS (SELECT 1 FROM {S.ANNOTATIONS_SQL} a WHERE a.obs_id = d.doc_id AND a.concept_id = 0 AND a.answer > 0.5) ORDER BY obs_id LIMIT 20 OFFSET 20")
 def q37_viewer_filter_page(spark, sf_dir):
     rows = S.documents(spark, sf_dir).join(index(spark, sf_dir), "obs_id")
-    held = annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS[:1], limit=S.SECTION)
+    held = annotate.annotate_notes(S.documents(spark, sf_dir), S.CONCEPTS[:1], limit=S.SECTION, one_row=True)
     found = viewer.filtered(rows, "the", ["text", "source"], "train", held, 0).select("obs_id", "domain")
     return viewer.page(found, 2)
 
@@ -442,7 +442,7 @@ def x01_sparse_baseline(spark, sf_dir):
 def x02_residual_words(spark, sf_dir):
     """Phrases that the insult concept leaves unexplained."""
     notes = S.notes(spark, sf_dir)
-    answers = annotate.wide(annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS[:1], limit=S.SECTION), S.CONCEPTS[:1])
+    answers = annotate.wide(annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS[:1], limit=S.SECTION, one_row=True), S.CONCEPTS[:1])
     return residual.fit_residual(notes.join(answers, "obs_id"), ["insult"], "text", weight="sample_weight", least=0.005)
 
 

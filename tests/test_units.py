@@ -163,6 +163,17 @@ def test_cache(spark):
     assert rows == {1: 0.25, 2: 0.0, 3: 1.0}
 
 
+def test_collation_within_a_row(spark):
+    concepts = [{"concept_id": 0, "pattern": "ab"}, {"concept_id": 1, "pattern": "z"}]
+    notes = spark.createDataFrame([(1, "xxaB"), (2, "a" * 9 + "b"), (3, ""), (4, None), (5, "zzz")], "obs_id long, text string")
+    for limit in (2, 3, None):
+        rows = [sorted(map(tuple, annotate.annotate_notes(notes.filter("text is not null"), concepts, limit=limit, one_row=one).collect())) for one in (True, False)]
+        assert rows[0] == rows[1] and len(rows[0]) == 8
+        assert annotate.annotate_notes(notes, concepts, limit=limit, one_row=True).count() == 8
+    plan = annotate.annotate_notes(notes, concepts, one_row=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_model_annotator(spark):
     def ask(prompts):
         return ['{"extractions": [{"question": 2, "answer": 1}]}' if "yes" in p else None for p in prompts]
