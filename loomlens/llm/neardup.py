@@ -46,6 +46,7 @@ UNIVERSE = 1 << 20
 ROWS = 5
 BANDS = 25
 PARTS = 8
+FILTER_IDS = 2_000_000
 SET_BYTES = 6  # of each hash, where two full sets are compared: 48 bits
 _C = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -162,12 +163,24 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(s) for s in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.select(*columns).join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return docs.select(*columns).join(bounded(nodes), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """Ids to filter by: up to FILTER_IDS of them (8 bytes each) go to the tasks that
+    hold the rows, so that other rows are not exchanged; more are joined by exchange."""
+    return F.broadcast(ids) if ids.count() <= FILTER_IDS else ids
+
+
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the given nodes."""
+    return sets.join(bounded(ids.distinct()), "node", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) whose sets reach the similarity num / den."""
-    own, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    own = only(sets, pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    other = only(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     sized = pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +227,7 @@ def rest_pairs(scratch: Scratch, sets: DataFrame, nodes: DataFrame, num: int, de
     by how many of these sets hold a hash, rare ones first. Hashes of one set only
     cannot be shared; they just count as places.
     nodes: (node, label, outside)."""
-    known = scratch.save(sets.join(nodes, "node").withColumn("n", (F.octet_length("shingles") / SET_BYTES).cast("long")), "rest-sets")
+    known = scratch.save(only(sets, nodes.select("node")).join(nodes, "node").withColumn("n", (F.octet_length("shingles") / SET_BYTES).cast("long")), "rest-sets")
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
