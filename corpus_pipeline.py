@@ -38,7 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "dedup-stage")
     found = scratch.save(neardup.near_duplicates(spark, docs.select("doc_id", "text"), words=5, num=80, den=100).select("doc_id", "kept"), "found")
-    out = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = neardup.bounded(found.filter("not kept").select("doc_id").distinct())
+    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         first = Window.partitionBy("doc_id").orderBy("text")
         rank = F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1)
