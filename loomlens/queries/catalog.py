@@ -349,13 +349,14 @@ def q34_first_owner(spark, sf_dir):
     return split.first_owner(S.history(spark)[1], F.col("concept"), ["seed", "iter", "concept_id"]).select("seed", "iter", "concept_id")
 
 
-QUERY_VECTORS = 3
+QUERY_VECTORS = 3  # of the twin
+QUERY_STEP = 100  # every row whose id is divisible by it is a query
 
 
 @query(f"SELECT query_id, rank, vec_id, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < {QUERY_VECTORS}) WHERE rank <= 3 AND s >= 0.4")
 def q35_similar_vectors(spark, sf_dir):
     items = S.load(spark, sf_dir, "embeddings")
-    stated = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in items.filter(F.col("vec_id") < QUERY_VECTORS).collect()]  # the stated queries
+    stated = items.filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     return context.nearest(items, stated).withColumn("similarity", F.round("similarity", 5))
 
 

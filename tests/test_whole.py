@@ -1,0 +1,51 @@
+"""Whole results where queries or operators once gave a part."""
+
+import math
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from loomlens.operators import context
+from loomlens.queries import QUERIES
+
+
+def brute_nearest(items, queries, k=3, least=0.4):
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    out = []
+    for q, v in queries:
+        found = []
+        for i, w, near in items:
+            if w and len(w) == len(v) and any(w):
+                s = sum(x * y for x, y in zip(unit(v), unit(w), strict=True))
+                if s >= least:
+                    found.append((-s, i, near))
+        seen, kept = set(), []
+        for s, i, near in sorted(found):
+            if near is None or near not in seen:
+                seen.add(near)
+                kept.append((-s, i))
+        out += [(q, n + 1, i, round(s, 9)) for n, (s, i) in enumerate(kept[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("near", [None, "near"])
+def test_nearest_in_blocks(spark, monkeypatch, near):
+    monkeypatch.setattr(context, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(context, "QUERY_BLOCK", 3)
+    items = [(i, [float((i * 7 + d * d * 3) % 11) - 4 for d in range(4)], f"k{i % 13}") for i in range(100)]
+    items += [(100 + i, items[5][1], "same") for i in range(30)] + [(200, None, "a"), (201, [0.0] * 4, "b"), (202, [1.0, 2.0], "c"), (203, [1.0, None, 2.0, 3.0], "d")]
+    table = spark.createDataFrame(items, "vec_id long, embedding array<double>, near string").repartition(5)
+    stated = table.filter("vec_id % 10 = 0 AND vec_id < 130").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.similarity, 9)) for r in context.nearest(table, stated, near_key=near).collect())
+    usable = [(i, v, n if near else None) for i, v, n in items if i < 202]
+    assert got == brute_nearest(usable, [(i, v) for i, v, _ in items if i % 10 == 0 and i < 130])
+
+
+def test_all_stated_vectors_are_searched(spark, sf_dir):
+    got = sorted((r.query_id, r.rank, r.vec_id, r.similarity) for r in QUERIES["q35_similar_vectors"](spark, sf_dir).collect())
+    sql = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM '{sf_dir}/embeddings.parquet'),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) AS s FROM e, e q WHERE q.vec_id % 100 = 0)
+    SELECT query_id, rank, vec_id, round(s, 5) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 3 AND s >= 0.4 ORDER BY ALL"""
+    assert got == [tuple(r) for r in duckdb.sql(sql).fetchall()]
+    assert len({r[0] for r in got}) > 3
