@@ -10,7 +10,8 @@ threshold are the dense cluster: their regions are content with all their lines,
 short ones too; where the cluster lies in an article, the whole article is.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are
-closed as browsers do for blocks; an article or main element ends boilerplate that
+closed as browsers do for blocks; marked sections that the parser does not know are
+skipped up to `>`; an article or main element ends boilerplate that
 was left open; repeated rows are each extracted; an empty table gives an empty
 result; null ids are kept; other columns are not read.
 
@@ -148,6 +149,12 @@ class Lines(HTMLParser):
             self.parts.append(data)
             self.linked += len(data.strip()) if link else 0
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind is a bogus comment up to `>`
+            return self.parse_bogus_comment(i)
+
     def finish(self) -> list[Line]:
         self.close()
         self.end_line()
@@ -195,10 +202,7 @@ def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: fl
     if not html:
         return ""
     parser = Lines()
-    try:
-        parser.feed(html)
-    except AssertionError:  # the parser gives up on some broken declarations; what came before it counts
-        pass
+    parser.feed(html)
     lines = parser.finish()
     if not lines:
         return ""

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomlens.llm import html_text
 from loomlens.operators import context
 from loomlens.queries import QUERIES
 
@@ -49,3 +50,14 @@ def test_all_stated_vectors_are_searched(spark, sf_dir):
     SELECT query_id, rank, vec_id, round(s, 5) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 3 AND s >= 0.4 ORDER BY ALL"""
     assert got == [tuple(r) for r in duckdb.sql(sql).fetchall()]
     assert len({r[0] for r in got}) > 3
+
+
+@pytest.mark.parametrize("declaration", ["<![foo[x]]>", "<![ endif]>", "<![1]>", "<![]>", "<![if !IE]>", "<![endif]>"])
+def test_text_behind_marked_sections(declaration):
+    html = f"<article><p>Before it there are words.</p>{declaration}<p>Behind it there are more words.</p></article>"
+    assert html_text.extract(html) == "Before it there are words. Behind it there are more words."
+
+
+@pytest.mark.parametrize("tail", ["<![foo[x", "<![", "<![1", "<![ "])
+def test_unclosed_marked_sections(tail):
+    assert html_text.extract(f"<article><p>Before it there are words.</p>{tail}").startswith("Before it there are words.")
