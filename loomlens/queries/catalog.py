@@ -93,7 +93,7 @@ def index(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT n.obs_id, i.partition, n.sample_weight, n.control FROM (SELECT d.doc_id AS obs_id, 1.0::DOUBLE AS sample_weight, d.text, d.n_chars AS control FROM documents d) n JOIN {INDEX_SQL} i USING (obs_id) WHERE i.partition = 'train' AND n.text IS NOT NULL ORDER BY obs_id LIMIT 50")
 def q06_partition_load(spark, sf_dir):
-    return tables.load_partition(S.documents(spark, sf_dir), index(spark, sf_dir), "train", most=50).select("obs_id", "partition", "sample_weight", "control")
+    return tables.load_partition(S.documents(spark, sf_dir), index(spark, sf_dir), "train").select("obs_id", "partition", "sample_weight", "control")
 
 
 @query("SELECT d.doc_id AS obs_id, d.lang AS domain, 'quality ' || l.quality AS llm_output FROM documents d JOIN labels l ON d.doc_id = l.doc_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomlens.llm import html_text
 from loomlens.operators import context
 from loomlens.queries import QUERIES
+from loomlens.sources import tables
 
 
 def brute_nearest(items, queries, k=3, least=0.4):
@@ -61,3 +62,18 @@ def test_text_behind_marked_sections(declaration):
 @pytest.mark.parametrize("tail", ["<![foo[x", "<![", "<![1", "<![ "])
 def test_unclosed_marked_sections(tail):
     assert html_text.extract(f"<article><p>Before it there are words.</p>{tail}").startswith("Before it there are words.")
+
+
+def test_partition_load_is_whole(spark, sf_dir):
+    got = sorted((r.obs_id, r.partition, r.sample_weight, r.control) for r in QUERIES["q06_partition_load"](spark, sf_dir).collect())
+    sql = f"""SELECT doc_id, 'train', 1.0::DOUBLE, n_chars FROM '{sf_dir}/documents.parquet' WHERE text IS NOT NULL AND substr(md5('7:' || doc_id), 1, 1) < '8' ORDER BY ALL"""
+    assert got == [tuple(r) for r in duckdb.sql(sql).fetchall()]
+    assert len(got) > 50
+
+
+def test_first_rows_of_a_partition(spark):
+    notes = spark.createDataFrame([(i, None if i == 2 else f"t{i}") for i in range(9, -1, -1)], "obs_id long, text string")
+    index = spark.createDataFrame([(i, "test" if i == 0 else "train") for i in range(10)], "obs_id long, partition string")
+    first = tables.load_partition(notes, index, "train", most=3)
+    assert sorted(r.obs_id for r in first.collect()) == [1, 3, 4]
+    assert tables.load_partition(notes, index, "train").count() == 8
