@@ -8,8 +8,8 @@ the hit's diagonal: the overlap is the benchmark text as far as it can lie withi
 the document there. A document is contaminated if at least `share` of an overlap
 of at least `least` tokens (or of the whole item, if that is shorter) is equal.
 
-Tokens: lower-cased runs without ASCII white space. Overlaps are judged on windows
-of `least` tokens around the hit too, so that a long item of which only a part was
+Tokens: lower-cased runs without ASCII white space. Overlaps are judged on every
+window of `least` tokens around the hit too, so that a long item of which only a part was
 copied is found.
 
 Defined cases: null or empty texts have no tokens and are clean; items of SHORTEST
@@ -87,11 +87,11 @@ def verified(hits: DataFrame, least: int, share: float) -> DataFrame:
     out = hits.withColumns({"_shift": shift, "_low": F.greatest(F.lit(0), -shift), "_high": F.least(size, words - shift), "_need": F.least(F.lit(least), size)})
     span = F.col("_high") - F.col("_low")
     out = out.filter(span >= F.col("_need")).withColumn("matched", equal_between(F.col("_low"), F.col("_high"), F.col("_shift"), "words", "item"))
-    # windows of `_need` tokens that hold the seed, as far left and as far right as they go
+    # every window of `_need` tokens that holds the seed, from as far left to as far right as they go
     left = F.greatest(F.col("_low"), F.least(F.col("at") + SPAN, F.col("_high")) - F.col("_need"))
     right = F.greatest(F.col("_low"), F.least(F.col("at"), F.col("_high") - F.col("_need")))
-    near = [equal_between(w, F.least(w + F.col("_need"), F.col("_high")), F.col("_shift"), "words", "item") >= share * F.col("_need") for w in (left, right)]
-    passes = F.when(F.col("matched") >= share * span, F.lit(True)).when(near[0], F.lit(True)).when(near[1], F.lit(True)).otherwise(F.lit(False))
+    near = F.exists(F.sequence(left, right), lambda w: equal_between(w, F.least(w + F.col("_need"), F.col("_high")), F.col("_shift"), "words", "item") >= share * F.col("_need"))
+    passes = F.when(F.col("matched") >= share * span, F.lit(True)).when(near, F.lit(True)).otherwise(F.lit(False))
     return out.withColumn("overlap", span.cast("long")).filter(passes).withColumn("matched", F.col("matched").cast("long"))
 
 

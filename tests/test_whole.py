@@ -1,12 +1,13 @@
 """Whole results where queries or operators once gave a part."""
 
+import itertools
 import math
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from loomlens.llm import html_text
+from loomlens.llm import contamination, html_text
 from loomlens.operators import context
 from loomlens.queries import QUERIES
 from loomlens.sources import tables
@@ -77,3 +78,19 @@ def test_first_rows_of_a_partition(spark):
     first = tables.load_partition(notes, index, "train", most=3)
     assert sorted(r.obs_id for r in first.collect()) == [1, 3, 4]
     assert tables.load_partition(notes, index, "train").count() == 8
+
+
+@pytest.mark.parametrize("limit", [contamination.BROADCAST_TOKENS, 0])
+def test_part_of_a_long_item_at_every_placement(spark, limit):
+    """13 copied tokens with 2 substitutions: found wherever a seed hits."""
+    item = [f"w{i}" for i in range(60)]
+    rows, want = [], {}
+    for n, odd in enumerate(itertools.combinations(range(13), 2)):
+        part = [f"x{i}" if i in odd else w for i, w in enumerate(item[20:33])]
+        rows.append((n, " ".join([*(f"a{i}" for i in range(40)), *part, *(f"b{i}" for i in range(40))])))
+        want[n] = any(all(at + i not in odd for i, bit in enumerate(m) if bit == "1") for m in contamination.MASKS for at in range(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in contamination.mark(spark, docs, bench, broadcast_tokens=limit).collect()}
+    assert got == want
+    assert got[[*itertools.combinations(range(13), 2)].index((1, 3))]
