@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Protocol
 
 import numpy as np
@@ -57,15 +58,29 @@ class Trainer:
         return [p["concept"] for p in proposals]
 
     def _annotate(self, notes: DataFrame, names: list[str]) -> None:
-        """Adds the answers that the cache lacks; each call writes a new table."""
+        """Adds the answers of (note, concept) pairs that the cache lacks; each call
+        writes a new table."""
+        asked = [self.concepts[n] for n in dict.fromkeys(names)]
+        d = self.config.data
+        ask = (self.annotator, d.text_summary_column, d.max_section_length)
         have = set() if self.cache is None else {r[0] for r in self.cache.select("concept_id").distinct().collect()}
-        new = [self.concepts[n] for n in dict.fromkeys(names) if self.concepts[n]["concept_id"] not in have]
-        if not new:
+        new = [c for c in asked if c["concept_id"] not in have]
+        known = [c for c in asked if c["concept_id"] in have]
+        merged = self.cache
+        if known:
+            ids = F.array(*(F.lit(c["concept_id"]) for c in known))
+            pairs = notes.select("obs_id", F.explode(ids).alias("concept_id"))
+            short = {r[0] for r in annotate.uncached(pairs, self.cache, ["obs_id", "concept_id"]).select("concept_id").distinct().collect()}
+            known = [c for c in known if c["concept_id"] in short]
+        if not new and not known:
             return
-        d = self.config.data
-        fresh = annotate.annotate_notes(notes, new, self.annotator, d.text_summary_column, d.max_section_length)
-        merged = fresh if self.cache is None else self.cache.unionByName(fresh)
-        path = f"{self.folder}/answers-{len(have) + len(new)}"
+        for c in known:  # each by itself: no pair is asked twice
+            own, rest = merged.filter(F.col("concept_id") == c["concept_id"]), merged.filter(F.col("concept_id") != c["concept_id"])
+            merged = rest.select("obs_id", "concept_id", "answer").unionByName(annotate.annotate_uncached(notes, [c], own, *ask))
+        if new:
+            fresh = annotate.annotate_notes(notes, new, *ask)
+            merged = fresh if merged is None else merged.unionByName(fresh)
+        path = f"{self.folder}/answers-{uuid.uuid4().hex[:12]}"  # never the table that is being read
         merged.write.mode("overwrite").parquet(path)
         self.cache = self.spark.read.parquet(path)
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlens.llm import contamination, html_text
-from loomlens.operators import context
+from loomlens.operators import annotate, context
+from loomlens.plans.config import EnsembleConfig
+from loomlens.plans.trainer import Trainer
 from loomlens.queries import QUERIES
 from loomlens.sources import tables
 
@@ -94,3 +96,25 @@ def test_part_of_a_long_item_at_every_placement(spark, limit):
     got = {r.doc_id: r.contaminated for r in contamination.mark(spark, docs, bench, broadcast_tokens=limit).collect()}
     assert got == want
     assert got[[*itertools.combinations(range(13), 2)].index((1, 3))]
+
+
+def test_trainer_asks_about_new_notes(spark, tmp_path):
+    """Notes that the cache lacks are answered for cached concepts too, each pair once."""
+    asked = []
+
+    class Counting(annotate.PatternAnnotator):
+        def annotate(self, sections, concepts, keep):
+            asked.append((sorted(r[0] for r in sections.select(keep[0]).distinct().collect()), [c["name"] for c in concepts]))
+            return super().annotate(sections, concepts, keep)
+
+    trainer = Trainer(spark, EnsembleConfig.from_args(init_seeds=[1]), str(tmp_path), Counting())
+    text = trainer.config.data.text_summary_column
+    notes = lambda ids: spark.createDataFrame([(i, 1, 1.0, "red" if i % 2 else "blue") for i in ids], f"obs_id long, y int, sample_weight double, `{text}` string")
+    names = trainer._register([{"concept": w, "pattern": w} for w in ("red", "blue")])
+    trainer._annotate(notes([1, 2]), names[:1])
+    trainer._annotate(notes([1, 2, 3, 4]), names)
+    trainer._annotate(notes([1, 2, 3, 4]), names)
+    assert sorted(asked) == [([1, 2], ["c0"]), ([1, 2, 3, 4], ["c1"]), ([3, 4], ["c0"])]
+    rows = {r.obs_id: (r.c0, r.c1) for r in trainer._matrix(notes([1, 2, 3, 4]), names).collect()}
+    assert rows == {1: (1.0, 0.0), 2: (0.0, 1.0), 3: (1.0, 0.0), 4: (0.0, 1.0)}
+    assert trainer.cache.count() == 8
