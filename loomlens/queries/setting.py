@@ -30,7 +30,7 @@ POSITIVE_SHARE = 0.2
 SEED = 7
 CUTOFF = 2000
 SENSITIVITY = 0.9
-REPLICATES = 200
+REPLICATES = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

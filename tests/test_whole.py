@@ -118,3 +118,7 @@ def test_trainer_asks_about_new_notes(spark, tmp_path):
     rows = {r.obs_id: (r.c0, r.c1) for r in trainer._matrix(notes([1, 2, 3, 4]), names).collect()}
     assert rows == {1: (1.0, 0.0), 2: (0.0, 1.0), 3: (1.0, 0.0), 4: (0.0, 1.0)}
     assert trainer.cache.count() == 8
+
+
+def test_bootstrap_has_all_replicates(spark, sf_dir):
+    assert [r.n_replicates for r in QUERIES["q27_bootstrap_ci"](spark, sf_dir).collect()] == [1000]
