@@ -43,12 +43,14 @@ def top_words(coefs: DataFrame, k: int = 40) -> DataFrame:
 
 def fit_residual(df: DataFrame, concepts: list[str], phrases: str, label: str = "y", weight: str | None = None, factor: float = FACTOR_GREEDY, controls: list[str] | None = None, scale_controls: bool = True, least: float = 0.0, c: float = 1.0, kind: str = "count", k: int = 40, synonyms: list[str] | None = None) -> DataFrame:
     """(feature, coef, freq) of the top residual phrases. Concept columns are scaled
-    by `factor`, which leaves them nearly unpenalised; phrases stay sparse."""
+    by `factor`, which leaves them nearly unpenalised; phrases stay sparse, and all of them (of
+    at least `least` of the notes) take part."""
     tokenised = df.withColumn("_tokens", F.array_distinct(T.comma_tokens(T.fold(F.col(phrases)))))
     if synonyms:
         hit = [s.lower() for s in synonyms if len(s) > 2]
         tokenised = tokenised.withColumn("_tokens", F.filter("_tokens", lambda t: ~F.exists(F.array(*map(F.lit, hit)), lambda s: F.contains(t, s)) if hit else F.lit(True)))
-    vectorizer = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, minDF=max(least, 1e-12) if least else 1.0, vocabSize=1 << 20).fit(tokenised)
+    distinct = tokenised.select(F.explode("_tokens").alias("token")).distinct().count()
+    vectorizer = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, minDF=max(least, 1e-12) if least else 1.0, vocabSize=max(1, distinct)).fit(tokenised)
     words = vectorizer.transform(tokenised)
     if kind == "tfidf":
         words = IDF(inputCol="_words", outputCol="_idf").fit(words).transform(words).drop("_words").withColumnRenamed("_idf", "_words")

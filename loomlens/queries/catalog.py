@@ -444,7 +444,7 @@ def x02_residual_words(spark, sf_dir):
     """Phrases that the insult concept leaves unexplained."""
     notes = S.notes(spark, sf_dir)
     answers = annotate.wide(annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS[:1], limit=S.SECTION, one_row=True), S.CONCEPTS[:1])
-    return residual.fit_residual(notes.join(answers, "obs_id"), ["insult"], "text", weight="sample_weight", least=0.005)
+    return residual.fit_residual(notes.join(answers, "obs_id"), ["insult"], "text", weight="sample_weight")
 
 
 @query()

@@ -5,10 +5,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
 from loomlens.llm import contamination, html_text
-from loomlens.operators import annotate, context
+from loomlens.operators import annotate, context, residual
 from loomlens.plans.config import EnsembleConfig
 from loomlens.plans.trainer import Trainer
 from loomlens.queries import QUERIES
@@ -122,3 +123,17 @@ def test_trainer_asks_about_new_notes(spark, tmp_path):
 
 def test_bootstrap_has_all_replicates(spark, sf_dir):
     assert [r.n_replicates for r in QUERIES["q27_bootstrap_ci"](spark, sf_dir).collect()] == [1000]
+
+
+def test_residual_fit_takes_all_phrases(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    def vectorizer(**settings):
+        seen.update(settings)
+        return CountVectorizer(**settings)
+
+    monkeypatch.setattr(residual, "CountVectorizer", vectorizer)
+    assert QUERIES["x02_residual_words"](spark, sf_dir).count() == 40
+    sql = f"SELECT d.text FROM '{sf_dir}/documents.parquet' d JOIN '{sf_dir}/labels.parquet' l USING (doc_id)"
+    notes = spark.createDataFrame(duckdb.sql(sql).fetchall(), "text string").withColumn("obs_id", F.monotonically_increasing_id())
+    assert (seen["minDF"], seen["vocabSize"]) == (1.0, residual.phrase_rows(notes, "text").select("token").distinct().count())
