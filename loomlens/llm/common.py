@@ -3,29 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import os
 import posixpath
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship as ship_package
+from ..shipping import ship
 
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the workers, and lets Arrow batches hold BATCH_ROWS rows
-    where the session has Spark's default of 10000: batches carry whole texts here,
-    and an executor holds several at a time."""
-    ship_package(spark)
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,11 +32,13 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only
-    where that is unset, as in tests on one machine) a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that
+    is unset, a temporary folder if all runs in one process, and an error if not."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="loomlens-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -51,7 +47,12 @@ def shared_root(spark: SparkSession) -> str:
 
 class Scratch:
     """A folder of this call inside the shared root. `save` writes a table there
-    and reads it back, which cuts the lineage at files that outlive executors."""
+    and reads it back, which cuts the lineage at files that outlive executors.
+
+    Lifetime: results of an operator read tables of its folder, so it stays until the
+    result is used. Operators drop the tables that their result does not read; the
+    folder itself goes with `close`, with the end of a `with` block, or with the
+    folder in spark.checkpoint.dir (a temporary one goes when the process ends)."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
@@ -66,11 +67,22 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def _delete(self, uri: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        self._delete(self.uri)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def shared_fs(uri: str):
@@ -113,13 +125,69 @@ def even(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, min(rows, 20_000)))
 
 
-def slices(batch, size: int = 256):
-    """Parts of an Arrow batch; memory that Arrow keeps goes back after each batch."""
-    for i in range(0, batch.num_rows, size):
-        yield batch.slice(i, size)
+def slices(batch: pa.RecordBatch, rows: int = 256, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of at most `rows` rows and about `size` bytes of text
+    (one row at least); memory that Arrow keeps goes back after each batch."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            weight += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    total, i = np.cumsum(weight), 0
+    while i < batch.num_rows:
+        before = total[i - 1] if i else 0
+        j = max(i + 1, min(i + rows, int(np.searchsorted(total, before + size, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
     pa.default_memory_pool().release_unused()
 
 
+_resident: dict = {}
+
+
+def resident(key: tuple, build: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps between tasks: workers are
+    used again by other operators, whose own object then takes its place."""
+    key = (os.getpid(), *key)
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
+class Bloom:
+    """A filter of keys of at most 2**most bits (16 MB by default), whatever their
+    number: never misses one of them, and lets few others pass (1.4 % at 16 bits a
+    key, 0.1 % at 64; all of them, at worst, if there are far more keys than bits). Native: bits
+    are set by an aggregate, and looked up in an array that a scalar subquery holds;
+    only words of the filter reach the driver, never keys."""
+
+    LEAST, MOST = 16, 27
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 16, most: int = MOST):
+        self.log = min(most, max(self.LEAST, (bits * keys.count()).bit_length()))
+        places = F.array(*(self._place(F.col(column), i) for i in range(2)))
+        at = keys.filter(F.col(column).isNotNull()).select(F.explode(places).alias("at"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+        got = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(1 << (self.log - 6), np.int64)
+        words[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+        offsets = pa.array([0, len(words)], pa.int32())
+        self.words = keys.sparkSession.createDataFrame(pa.table({"words": pa.ListArray.from_arrays(offsets, pa.array(words))}))
+
+    def _place(self, key: Column, i: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(i), key.cast("long")), 64 - self.log)
+
+    def may_hold(self, key: Column | str) -> Column:
+        """Whether the key may be one of the filter's (false for null)."""
+        key = F.col(key) if isinstance(key, str) else key
+        out = key.isNotNull()
+        for i in range(2):
+            place = self._place(key, i)
+            word = F.get(self.words.scalar(), F.shiftright(place, 6).cast("int"))
+            out = out & (F.getbit(word, place.bitwiseAND(63).cast("int")) == 1)
+        return F.coalesce(out, F.lit(False))
+
+
 def crc_bucket(n: int):
     """crc32 of the document id as text, modulo n: the rule of the fixed folds."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))

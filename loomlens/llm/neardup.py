@@ -22,8 +22,9 @@ several sets; a null doc_id links with nothing, its component is null and it is
 kept; an empty table gives an empty result; other columns are not read.
 
 Plan: one narrow pass writes sketches (about 250 bytes a document). Bucket keys are
-counted with map-side sums; keys of one member end there. Texts are read again for
-members of shared buckets only. Sets travel with pairs that are linear in the
+counted with map-side sums; keys of one member end there. Texts are read again and
+the members of shared buckets are picked by a filter of fixed size (`Bloom`), without
+an exchange: other rows that it lets pass only make the table of sets longer. Sets travel with pairs that are linear in the
 number of bucket memberships. Joins on possibly hot keys (bucket, hub, class) have
 tables read back from files on both sides, so AQE can split them. Components are
 found by rounds of smallest labels with pointer jumps, each written to the shared
@@ -32,6 +33,7 @@ folder; nothing of them reaches the driver but a count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Bloom, Scratch, resident, slices
 from .tokens import Powers
 
 UNIVERSE = 1 << 20
 ROWS = 5
 BANDS = 25
 PARTS = 8
-FILTER_IDS = 2_000_000
+BLOCK_BYTES = 1 << 19
 SET_BYTES = 6  # of each hash, where two full sets are compared: 48 bits
 _C = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _powers = Powers()
-_circle: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -60,19 +62,47 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _blocks(raw: list[bytes]) -> Iterator[bytes]:
+    """The texts of one line each, in blocks that end at white space, so that work
+    arrays stay small for very long texts (a word longer than a block stays whole)."""
+    held: list[bytes] = []
+    size = 0
+    for text in raw:
+        begin = 0
+        while len(text) - begin > BLOCK_BYTES:
+            cut = _SPACE.search(text, begin + BLOCK_BYTES)
+            if cut is None:
+                break
+            held.append(text[begin : cut.end()])
+            begin = cut.end()
+            yield b"".join(held)
+            held, size = [], 0
+        held.append(text[begin:] + b"\n")
+        size += len(held[-1])
+        if size > BLOCK_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    yield b"".join(held) + b"\n"
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the words of each text."""
     raw = [(t or "").encode().translate(_LOWER) for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
-    _powers.need(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers.up[: len(data)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * _powers.down[starts] + (ends - starts).astype(np.uint64) * _C[2])
+    hashes, starts_of, begin = [], [], 0
+    for block in _blocks(raw):
+        data = np.frombuffer(block, np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        ends = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
+        powers = _powers if len(data) <= 4 * BLOCK_BYTES else Powers()  # those of one huge word are not kept
+        powers.need(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[: len(data)], out=total[1:])
+        hashes.append(mix((total[ends] - total[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64) * _C[2]))
+        starts_of.append(starts + begin)
+        begin += len(data)
     edges = np.cumsum([0] + [len(r) + 1 for r in raw])
-    return h, np.diff(np.searchsorted(starts, edges))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts_of), edges))
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -101,10 +131,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 def circle(coordinates: int) -> np.ndarray:
     """Row i: ranks of place i under each shift of the second permutation."""
-    if not _circle:
-        ranks = np.random.default_rng(20).permutation(UNIVERSE).astype(np.int32)
-        _circle.append(ranks)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([_circle[0], _circle[0][: coordinates - 1]]), coordinates)
+    ranks = resident(("circle",), lambda: np.random.default_rng(20).permutation(UNIVERSE).astype(np.int32))
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[: coordinates - 1]]), coordinates)
 
 
 def signatures(sets: list[np.ndarray], coordinates: int, table: np.ndarray) -> np.ndarray:
@@ -153,8 +181,9 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the documents in `nodes`."""
+def sets_of(docs: DataFrame, nodes: Bloom, words: int) -> DataFrame:
+    """(node, shingles) of the documents in the filter: all nodes, and few others.
+    Rows are chosen before their shingles are made; no text is exchanged."""
     columns = [F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,24 +192,16 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed(s) for s in sets], pa.binary())], names=["node", "shingles"])
 
-    return docs.select(*columns).join(bounded(nodes), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
-
-
-def bounded(ids: DataFrame) -> DataFrame:
-    """Ids to filter by: up to FILTER_IDS of them (8 bytes each) go to the tasks that
-    hold the rows, so that other rows are not exchanged; more are joined by exchange."""
-    return F.broadcast(ids) if ids.count() <= FILTER_IDS else ids
-
-
-def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the given nodes."""
-    return sets.join(bounded(ids.distinct()), "node", "left_semi")
+    return docs.select(*columns).filter(nodes.may_hold("node")).mapInArrow(run, "node long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) whose sets reach the similarity num / den."""
-    own = only(sets, pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    other = only(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The (a, b) whose sets reach the similarity num / den. A fixed-size filter
+    leaves out sets of other nodes where they are read; the join itself is exact."""
+    ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"ends-{name}")
+    near = sets.filter(Bloom(ends, "node").may_hold("node"))
+    own = near.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    other = near.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     sized = pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +248,8 @@ def rest_pairs(scratch: Scratch, sets: DataFrame, nodes: DataFrame, num: int, de
     by how many of these sets hold a hash, rare ones first. Hashes of one set only
     cannot be shared; they just count as places.
     nodes: (node, label, outside)."""
-    known = scratch.save(only(sets, nodes.select("node")).join(nodes, "node").withColumn("n", (F.octet_length("shingles") / SET_BYTES).cast("long")), "rest-sets")
+    near = sets.filter(Bloom(nodes, "node").may_hold("node"))
+    known = scratch.save(near.join(nodes, "node").withColumn("n", (F.octet_length("shingles") / SET_BYTES).cast("long")), "rest-sets")
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,15 +264,16 @@ def rest_pairs(scratch: Scratch, sets: DataFrame, nodes: DataFrame, num: int, de
     placed = placed.withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1)
     prefix = placed.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * num / den) + 1)
     tokens = scratch.save(prefix.select("token", "at", "n", "node", "label", "outside"), "rest-prefixes")
-    x = tokens.filter("outside").select("token", *(F.col(c).alias(f"{c}_a") for c in ("at", "n", "node", "label")))
-    y = tokens.select("token", *(F.col(c).alias(f"{c}_b") for c in ("at", "n", "node", "label")))
+    size = F.floor(F.log("n") / F.log(F.lit(den / num)))  # sets that reach the similarity differ by one class at most
+    x = tokens.filter("outside").select("token", size.alias("class"), *(F.col(c).alias(f"{c}_a") for c in ("at", "n", "node", "label")))
+    y = tokens.select("token", F.explode(F.array(size - 1, size, size + 1)).alias("class"), *(F.col(c).alias(f"{c}_b") for c in ("at", "n", "node", "label")))
     reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fit = (
         (F.col("label_a") != F.col("label_b"))
         & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
         & ((num + den) * reach >= num * (F.col("n_a") + F.col("n_b")))
     )
-    found = x.join(y, (x["token"] == y["token"]) & fit)
+    found = x.join(y, (x["token"] == y["token"]) & (x["class"] == y["class"]) & fit)
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -299,13 +322,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
     weight = scratch.save(members.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
     members = scratch.save(members.select("key", "node").join(weight, "node"), "weighed")
     scratch.drop("members")
-    sets = scratch.save(sets_of(docs, weight.select("node"), words), "sets")
+    sets = scratch.save(sets_of(docs, Bloom(weight, "node"), words), "sets")
     labels = weight.select("node", F.col("node").alias("label"))
 
     hubs = scratch.save(hubs_of(members, 1).select("key", "hub"), "hubs")
     pairs = members.join(hubs, "key").filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     judged = scratch.save(pairs, "pairs-0")
-    labels = relabelled(scratch, labels, scratch.save(verified(judged, sets, num, den), "links-0"), "labels-0")
+    labels = relabelled(scratch, labels, scratch.save(verified(scratch, judged, sets, num, den, "0"), "links-0"), "labels-0")
 
     # members outside their hub's component meet the hubs of PARTS parts of the bucket
     spread, mixed = unsettled(scratch, members, hubs, labels, "1")
@@ -313,7 +336,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
     outside = spread.join(mixed, "key").filter("label != main")
     pairs = outside.join(several, "key").filter("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = scratch.save(pairs.join(judged, ["a", "b"], "left_anti"), "pairs-1")
-    labels = relabelled(scratch, labels, scratch.save(verified(pairs, sets, num, den), "links-1"), "labels-1")
+    labels = relabelled(scratch, labels, scratch.save(verified(scratch, pairs, sets, num, den, "1"), "links-1"), "labels-1")
     judged = judged.union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # all pairs that are left between components
@@ -322,11 +345,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, num: i
     scratch.drop("weighed", "hubs", "spread-1", "mixed-1", "spread-2", "mixed-2")
     if rest.limit(1).count():
         more = scratch.save(rest_pairs(scratch, sets, rest, num, den).join(judged, ["a", "b"], "left_anti"), "pairs-2")
-        labels = relabelled(scratch, labels, scratch.save(verified(more, sets, num, den), "links-2"), "labels-2")
+        labels = relabelled(scratch, labels, scratch.save(verified(scratch, more, sets, num, den, "2"), "links-2"), "labels-2")
 
     own = labels.select("node", "label")
     by_class = scratch.save(classes.join(own, "node", "left").select(*marks, F.coalesce("label", "node").alias("_component")), "components")
-    scratch.drop("sets", "rest-sets", "rest-tokens", "rest-held", "rest-prefixes")
-    out = sketch.select("doc_id", *marks).join(by_class, marks, "left")
+    scratch.drop("sets", "rest-sets", "rest-tokens", "rest-held", "rest-prefixes", "ends-0", "ends-1", "ends-2", "classes", "weight")
+    some = F.col("n_shingles") > 0  # documents without a set, however many, meet no key
+    out = sketch.filter(some).select("doc_id", *marks).join(by_class, marks, "left").select("doc_id", "n_shingles", "_component")
+    out = out.unionByName(sketch.filter(~some).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -55,11 +55,9 @@ WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '
 b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS c FROM benchmark),
 x AS ({_seeds('d', 'doc_id', 'a')}),
 y AS ({_seeds('b', 'item_id', 'c')}),
-h AS (SELECT DISTINCT x.doc_id, y.item_id, y.i AS pos, x.i - y.i AS shift FROM x JOIN y ON x.m = y.m AND x.seed = y.seed),
-s AS (SELECT h.*, greatest(0, -shift) AS low, least(len(c), len(a) - shift) AS high, least({_C.LEAST}, len(c)) AS need, a, c FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-u AS (SELECT *, greatest(low, least(pos - 1 + {_C.SPAN}, high) - need) AS l, greatest(low, least(pos - 1, high - need)) AS r FROM s WHERE high - low >= need),
-g AS (SELECT u.doc_id, u.item_id, u.shift, u.pos, low, high, need, l, r, sum((c[k + 1] = a[k + 1 + shift])::INT) AS every, sum((k >= l AND k < least(l + need, high) AND c[k + 1] = a[k + 1 + shift])::INT) AS nl, sum((k >= r AND k < least(r + need, high) AND c[k + 1] = a[k + 1 + shift])::INT) AS nr FROM (SELECT *, unnest(range(low, high)) AS k FROM u) u GROUP BY ALL),
-f AS (SELECT DISTINCT doc_id, item_id FROM g WHERE every >= {_C.SHARE} * (high - low) OR nl >= {_C.SHARE} * need OR nr >= {_C.SHARE} * need),
+h AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS shift FROM x JOIN y ON x.m = y.m AND x.seed = y.seed),
+s AS (SELECT h.doc_id, h.item_id, greatest(0, -shift) AS low, least(len(c), len(a) - shift) AS high, least({_C.LEAST}, len(c)) AS need, list_transform(range(greatest(0, -shift), least(len(c), len(a) - shift)), lambda k: (c[k + 1] = a[k + 1 + shift])::INT) AS e FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+f AS (SELECT DISTINCT doc_id, item_id FROM s WHERE high - low >= need AND (list_sum(e) >= {_C.SHARE} * (high - low) OR list_max(list_transform(range(1, high - low - need + 2), lambda w: list_sum(e[w:w + need - 1]))) >= {_C.SHARE} * need)),
 n AS (SELECT doc_id, count(*) AS k, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
 SELECT d.doc_id, n.item_ids IS NOT NULL AS contaminated, coalesce(n.k, 0) AS n_items, coalesce(n.item_ids, '') AS item_ids FROM d LEFT JOIN n USING (doc_id)
 """

@@ -56,10 +56,11 @@ def indicators(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
     n = len(starts)
-    _powers.need(len(data) + 1)
+    powers = _powers if len(data) < 1 << 21 else Powers()  # those of a huge text are not kept
+    powers.need(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers.up[: len(data)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * _powers.down[starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[: len(data)], out=total[1:])
+    h = mix((total[ends] - total[starts]) * powers.down[starts])
     kind = _KIND[data]
     bits = np.bitwise_or.reduceat(kind, starts)
     size = np.searchsorted([3, 6, 10], ends - starts, "right")

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from .common import resident
+
 SLOTS = 1 << 22
 GROUP_BYTES = 1 << 19
 _UNSAFE = re.compile(r"\s (?:\s|$)")
@@ -22,7 +24,6 @@ _EDGE = re.compile(r"^\s|\s$|^$")
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _HEAD = np.uint64(0x94D049BB133111EB)
-_encoders: dict[tuple, "Encoder"] = {}
 
 
 class Powers:
@@ -97,10 +98,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> "Encoder":
         """One encoder per worker process."""
-        key = (os.getpid(), path)
-        if key not in _encoders:
-            _encoders[key] = cls(path)
-        return _encoders[key]
+        return resident(("encoder", path), lambda: cls(path))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -121,7 +119,19 @@ class Encoder:
             ids = self._plain([chunks[j] if heads[j] else " " + chunks[j] for j in at])
             self.memo.add(hashes[at], np.concatenate(ids), np.array([len(x) for x in ids]))
 
-    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _parts(self, text: bytes) -> list[bytes]:
+        """The text cut before single spaces into parts of about GROUP_BYTES."""
+        parts, begin = [], 0
+        while len(text) - begin > 2 * GROUP_BYTES:
+            cut = text.find(b" ", begin + GROUP_BYTES)
+            if cut < 0:
+                break
+            parts.append(text[begin:cut])
+            begin = cut + 1
+        return [*parts, text[begin:]]
+
+    def _group(self, texts: list[bytes], begins: list[bool]) -> list[np.ndarray]:
+        """Ids of the texts; one that does not begin a text follows a space."""
         data = b" ".join(texts)
         array = np.frombuffer(data, np.uint8)
         spaces = np.flatnonzero(array == 32)
@@ -129,7 +139,7 @@ class Encoder:
         sizes = np.array([len(t) for t in texts])
         first = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1)
         heads = np.zeros(len(starts), bool)
-        heads[first] = True
+        heads[first] = begins
         self.powers.need(len(array) + 1)
         total = np.zeros(len(array) + 1, np.uint64)
         np.cumsum((array.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(array)], out=total[1:])
@@ -163,13 +173,13 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        rest = [(i, part, k == 0) for i in range(len(texts)) if out[i] is None for k, part in enumerate(self._parts(texts[i].encode()))]
         group, size = [], 0
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        for k, i in enumerate(rest):
-            group.append((i, texts[i].encode()))
-            size += len(group[-1][1])
+        for k, (_, part, _) in enumerate(rest):
+            group.append(rest[k])
+            size += len(part)
             if size >= GROUP_BYTES or k == len(rest) - 1:
-                for (j, _), ids in zip(group, self._group([b for _, b in group]), strict=True):
-                    out[j] = ids
+                for (j, _, head), ids in zip(group, self._group([b for _, b, _ in group], [h for *_, h in group]), strict=True):
+                    out[j] = ids if head else np.concatenate([out[j], ids])
                 group, size = [], 0
         return out
