@@ -8,11 +8,11 @@ each stage by their own text. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlens.llm import contamination, language, neardup, packing, quality
-from loomlens.llm.common import Scratch, table
+from loomlens.llm.common import Bloom, Scratch, table
 from loomlens.llm.queries import SEQUENCE, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,26 +34,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays, with one row (its first text)."""
+    """The smallest doc_id of each group stays, with one row (its first text).
+
+    Rows whose id may have to be looked at (ids of copies and ids that repeat, by a
+    filter of fixed size) are joined with the verdicts; the others are not exchanged."""
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "dedup-stage")
     found = scratch.save(neardup.near_duplicates(spark, docs.select("doc_id", "text"), words=5, num=80, den=100).select("doc_id", "kept"), "found")
-    gone = neardup.bounded(found.filter("not kept").select("doc_id").distinct())
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        rank = F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1)
-        out = out.withColumn("_rank", rank).filter("_rank = 1").select(*COLUMNS)
-    return out
+    known = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    odd = scratch.save(known.filter("not _kept or _rows > 1"), "odd")
+    may = Bloom(odd, "doc_id").may_hold("doc_id")
+    judged = docs.filter(may).join(odd, "doc_id", "left").filter(F.coalesce("_kept", F.lit(True)))
+    single = judged.filter(F.coalesce("_rows", F.lit(1)) == 1).select(*COLUMNS)
+    first = judged.filter("_rows > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_first"))
+    return docs.filter(~may).unionByName(single).unionByName(first.select("doc_id", "_first.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage stay."""
+    """Documents that hold no benchmark passage stay; a row with a null id is judged
+    by its own text, rows that share an id by the worst of them."""
     docs = docs.select(*COLUMNS)
     scratch = Scratch(spark, "leak-stage")
     found = contamination.leaks(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    ids = scratch.save(found.select(F.col("doc_id").alias("_leaked")).distinct(), "ids")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(*COLUMNS)
+    keys = found.select(F.col("doc_id").alias("_id"), F.col("_own").alias("_leaked"), F.coalesce("doc_id", "_own").alias("_key")).distinct()
+    keys = scratch.save(keys, "keys")
+    docs = docs.withColumn("_own", contamination.own_key("doc_id", "text"))
+    may = Bloom(keys, "_key").may_hold(F.coalesce("doc_id", "_own"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_leaked"))
+    return docs.filter(~may).unionByName(docs.filter(may).join(keys, same, "left_anti")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i > 1:
-            scratch.drop(f"{i - 2}-{STAGES[i - 2][0]}")
+            scratch.drop(f"{i - 2}-{STAGES[i - 2][0]}")  # read by the stage before last only
     return docs
