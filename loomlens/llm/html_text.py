@@ -4,10 +4,14 @@ Gaussian and clustered by a threshold, selects content regions.
 
 A line is the text between two block boundaries; a region is all lines whose
 nearest sectioning ancestor is the same element. Elements that are boilerplate by
-tag, role or class (the word lists below) never give lines. Lines within an
-article or main element weigh more. Lines whose smoothed ratio reaches the
-threshold are the dense cluster: their regions are content with all their lines,
-short ones too; where the cluster lies in an article, the whole article is.
+tag, role or class (the word lists below) give no lines. A class of several words
+only raises a suspicion (`has-sidebar` may stand on the whole page): a suspect block
+goes unless it holds far more prose than all that is above suspicion. Lines whose
+smoothed ratio reaches the threshold are the dense cluster; ratios within an article
+or main element weigh more. The cluster's text in articles is weighed against that
+outside of them: where articles win, they are content with all their lines, short
+ones too, from the first to the last dense line's; else the regions of the dense
+lines are.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are
 closed as browsers do for blocks; marked sections that the parser does not know are
@@ -15,7 +19,8 @@ skipped up to `>`; an article or main element ends boilerplate that
 was left open; repeated rows are each extracted; an empty table gives an empty
 result; null ids are kept; other columns are not read.
 
-Plan: one narrow pass, no exchange; a worker holds one slice of pages.
+Plan: one narrow pass, no exchange; a worker holds one slice of pages, bounded by
+bytes.
 """
 
 from __future__ import annotations
@@ -43,6 +48,12 @@ DROPPED_WORDS = set(
 )
 #: Beginnings of class words.
 DROPPED_STARTS = tuple("advert banner breadcrumb comment cookie disqus newsletter popup promo sidebar sponsor subscri".split())
+#: First words of class names about something else than the element,
+#: words that make a header one of the content, and beginnings that leave no doubt.
+NOT_ITSELF = set("has have with without no not".split())
+TITLES = set("header headers".split())
+CONTENT = set("article story post entry content".split())
+NEVER_CONTENT = tuple("advert breadcrumb comment cookie disqus newsletter popup promo sponsor subscri".split())
 P_ENDS = BLOCK - {"br", "body", "html", "head", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "title"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_STOPS = set("ul ol menu dl table".split())
@@ -50,13 +61,22 @@ MAIN = {"main": 1, "article": 2}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def boilerplate(tag: str, attrs: dict[str, str | None]) -> bool:
+def boilerplate(tag: str, attrs: dict[str, str | None]) -> int:
+    """1: boilerplate; 2: suspect by a class of several words; 0: neither."""
     if tag in DROPPED or (attrs.get("role") or "").lower() in DROPPED_ROLES or "hidden" in attrs:
-        return True
+        return 1
     if tag in MAIN or tag in ("body", "html"):
-        return False
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return len(named) > 1 and any(w in DROPPED_WORDS or w.startswith(DROPPED_STARTS) for w in map(str.lower, _WORD.findall(named)))
+        return 0
+    suspect = 0
+    for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        bad = [w for w in words if w in DROPPED_WORDS or w.startswith(DROPPED_STARTS)]
+        if not bad or words[0] in NOT_ITSELF or (TITLES.issuperset(bad) and not CONTENT.isdisjoint(words)):
+            continue
+        if len(words) == 1 or tag not in BLOCK or any(w.startswith(NEVER_CONTENT) for w in bad):
+            return 1
+        suspect = 2
+    return suspect
 
 
 class Line(NamedTuple):
@@ -65,9 +85,10 @@ class Line(NamedTuple):
     region: int
     level: int  # 1 within the main element, 2 within an article
     linked: float  # share of its text in links
+    suspect: int = 0  # number of the innermost suspect block it lies in
 
 
-TOP = ("", False, 0, 0, False)
+TOP = ("", False, 0, 0, False, 0)
 
 
 class Lines(HTMLParser):
@@ -75,7 +96,8 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int, bool]] = []  # tag, dropped, region, within main (1) or an article (2), within a link
+        self.stack: list[tuple[str, bool, int, int, bool, int]] = []  # tag, dropped, region, within main (1) or an article (2), within a link, suspect
+        self.suspects = [0]  # of each suspect block, the one around it
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags, self.regions, self.linked = 0, 0, 0
@@ -84,8 +106,8 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, main, _ = self.stack[-1] if self.stack else TOP
-                self.lines.append(Line(text, self.tags, region, main, self.linked / len(text)))
+                _, _, region, main, _, suspect = self.stack[-1] if self.stack else TOP
+                self.lines.append(Line(text, self.tags, region, main, self.linked / len(text), suspect))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
@@ -118,11 +140,15 @@ class Lines(HTMLParser):
                     break
                 if self.stack[i][0] in LIST_STOPS:
                     break
-        _, dropped, region, main, link = self.stack[-1] if self.stack else TOP
+        _, dropped, region, main, link, suspect = self.stack[-1] if self.stack else TOP
         if tag in SECTION:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, dropped or boilerplate(tag, dict(attrs)), region, max(main, MAIN.get(tag, 0)), link or tag == "a"))
+        kind = boilerplate(tag, dict(attrs))
+        if kind == 2:
+            self.suspects.append(suspect)
+            suspect = len(self.suspects) - 1
+        self.stack.append((tag, dropped or kind == 1, region, max(main, MAIN.get(tag, 0)), link or tag == "a", suspect))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCK:
@@ -144,8 +170,8 @@ class Lines(HTMLParser):
                 break  # an inline end tag does not reach out of its block
 
     def handle_data(self, data):
-        *_, link = state = self.stack[-1] if self.stack else TOP
-        if not state[1]:
+        _, dropped, _, _, link, _ = self.stack[-1] if self.stack else TOP
+        if not dropped:
             self.parts.append(data)
             self.linked += len(data.strip()) if link else 0
 
@@ -168,24 +194,41 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel, "full")[radius : radius + len(x)] / weight
 
 
+def above_suspicion(lines: list[Line], suspects: list[int], links: float, factor: float = 2.0) -> list[Line]:
+    """The lines in no suspect block, and those of suspect blocks (outer ones are
+    judged first) whose own prose is over `factor` times all that is clear so far."""
+    if len(suspects) == 1:
+        return lines
+    prose = np.bincount([x.suspect for x in lines], [len(x.text) * (x.linked < links) for x in lines], len(suspects))
+    clear = [0]
+    for i, outer in enumerate(suspects):
+        if i and outer in clear and prose[i] > factor * prose[clear].sum():
+            clear.append(i)
+    return [x for x in lines if x.suspect in clear]
+
+
 def content_lines(lines: list[Line], sigma: float, factor: float, prior: float, gap: int, links: float) -> np.ndarray:
     """Which lines lie in a content region."""
     level = np.array([x.level for x in lines])
+    size = np.array([len(x.text) for x in lines])
     article = level == max(1, int(level.max()))  # the articles, or else the main element
     region = np.array([x.region for x in lines])
     prose = np.array([x.linked < links for x in lines])
-    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines]) * np.where(article, prior, np.where(prose, 1.0, 0.0))
-    smoothed = smooth(ratio, sigma)
+    ratio = size / np.array([max(1, x.tags) for x in lines])
+    smoothed = smooth(ratio * np.where(article, prior, np.where(prose, 1.0, 0.0)), sigma)
     dense = smoothed >= factor * smoothed.mean()
-    if (dense & article).any():
-        dense &= article
+    inside, outside = (size[dense & part].sum() for part in (article, ~article & prose))
+    if inside and prior * inside >= outside:
         # all of an article belongs to its cluster, and nothing outside it
-        first, last = np.flatnonzero(dense)[[0, -1]]
+        first, last = np.flatnonzero(dense & article)[[0, -1]]
         while first > 0 and article[first - 1]:
             first -= 1
         while last + 1 < len(lines) and article[last + 1]:
             last += 1
         return article & (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
+    if inside:  # what is around the articles outweighs them: they count like any other region
+        smoothed = smooth(ratio * prose, sigma)
+        dense = smoothed >= factor * smoothed.mean()
     keep = np.isin(region, np.unique(region[dense & (prose | ~prose.any())])) & (prose | ~prose.any())
     at = np.flatnonzero(keep)
     for i, j in zip(at, at[1:], strict=False):
@@ -203,7 +246,7 @@ def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: fl
         return ""
     parser = Lines()
     parser.feed(html)
-    lines = parser.finish()
+    lines = above_suspicion(parser.finish(), parser.suspects, links)
     if not lines:
         return ""
     keep = content_lines(lines, sigma, factor, prior, gap, links)
