@@ -31,9 +31,10 @@ j AS MATERIALIZED (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM j GROUP BY source),
 o AS (SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) AS q, count(*) / sum(n) AS s FROM h),
 b AS (SELECT mean, q - mean * mean - mean * (1 - mean) * s AS between_ FROM o),
-p AS (SELECT mean, CASE WHEN between_ > 1e-12 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1.0), 1e6) ELSE 1.0 END AS weight FROM b),
-v AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, p)
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v.rate, 6) AS host_rate, v.rate <= {rules.HOST_LIMIT} AS host_ok, NOT base_failed AND v.rate <= {rules.HOST_LIMIT} AS kept
+p AS (SELECT mean, CASE WHEN between_ > 1e-12 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1.0), {rules.HEAVIEST}) ELSE {rules.HEAVIEST} END AS weight FROM b),
+t9 AS (SELECT least({rules.HIGHEST}, greatest({rules.FACTOR} * mean, mean + {rules.TAIL} * sqrt(mean * (1 - mean) / (weight + 1)))) AS most FROM p),
+v AS (SELECT source, (f + mean * weight) / (n + weight) AS rate, (f + mean * weight) / (n + weight) <= most AS ok FROM h, p, t9)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v.rate, 6) AS host_rate, v.ok AS host_ok, NOT base_failed AND v.ok AS kept
 FROM j JOIN v ON v.source IS NOT DISTINCT FROM j.source
 """
 

@@ -3,7 +3,9 @@
 Each document gets counts over its whole text and a base verdict. Failures are
 then summed by host, a beta prior is fitted to the hosts' rates (moments, weighted
 by size), every host's rate is shrunk towards it, and hosts whose shrunk rate is
-over a limit fail with all their documents.
+over a limit fail with all their documents. The limit follows the prior: TAIL of its
+standard deviations over its mean, and at least FACTOR times the mean (so that hosts
+that differ by little keep their good documents), but never over HIGHEST.
 
 Words are runs without the ASCII white space characters. n_repeat_words counts the
 words that lie in a 3-word window found at least twice in the text, each once.
@@ -30,7 +32,10 @@ from .common import Scratch, slices
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of the words
-HOST_LIMIT = 0.5
+TAIL = 3.0
+FACTOR = 2.0
+HIGHEST = 0.9
+HEAVIEST = 1e6  # documents that the prior weighs at most: where hosts differ no more than by chance
 
 SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -83,25 +88,26 @@ def counts(docs: DataFrame, host_col: str = "source") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(judged: DataFrame) -> DataFrame:
     """(host, n, failed, host_rate, host_ok) from rows with host and base_failed.
-    With one host or no spread between hosts the prior is that of the mean rate
-    with the weight of one document."""
+    With one host or no spread between hosts beyond chance the prior is the mean rate
+    with the weight of HEAVIEST documents."""
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
     h, m, f, q = hosts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("failed"), F.sum(F.col("n") * rate * rate)).first()  # one row
     mean = (f / m) if m else 0.0
     # moments of a beta-binomial: the hosts' spread less what sampling alone gives
     between = (q / m - mean * mean - mean * (1 - mean) * h / m) if m else 0.0
-    weight = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 1e-12 and 0 < mean < 1 else 1.0
+    weight = min(max(mean * (1 - mean) / between - 1, 1.0), HEAVIEST) if between > 1e-12 and 0 < mean < 1 else HEAVIEST
+    limit = min(HIGHEST, max(FACTOR * mean, mean + TAIL * (mean * (1 - mean) / (weight + 1)) ** 0.5))
     shrunk = (F.col("failed") + mean * weight) / (F.col("n") + weight)
     return hosts.select("host", "n", "failed", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
 
 
-def judge(spark: SparkSession, docs: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, host_col: str = "source") -> DataFrame:
     scratch = Scratch(spark, "rules")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     judged = scratch.save(counts(docs, host_col).withColumn("base_failed", failed), "counts")
-    hosts = scratch.save(host_verdicts(judged, limit).select(F.col("host").alias("_host"), "host_rate", "host_ok"), "hosts")
+    hosts = scratch.save(host_verdicts(judged).select(F.col("host").alias("_host"), "host_rate", "host_ok"), "hosts")
     both = judged.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True)))
