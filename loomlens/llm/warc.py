@@ -12,7 +12,8 @@ writes no archive; other columns are not read.
 Plan: digests are native and grouped with map-side sums; only digests that occur
 twice or more are kept and joined back, so a payload that a third of the rows
 share is one row there (the join's large side may be split by AQE). Each task
-writes one archive; reading takes one task per archive and holds one record.
+writes one archive; reading takes one task per archive and holds one record. What
+was read is one narrow table; revisits are then held against their responses there.
 """
 
 from __future__ import annotations
@@ -60,7 +61,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http + (payload if refers_to is None else b"")
     fields = [("WARC-Type", kind), ("WARC-Record-ID", page_urn(page_id)), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", _NOT_IN_HEADER.sub(lambda m: f"%{ord(m[0]):02X}", url)))
+        target = _NOT_IN_HEADER.sub(lambda m: f"%{ord(m[0]):02X}", url)
+        fields.append(("WARC-Target-URI", target))
+        if target != url:  # read back as it was
+            fields.append(("X-Target-As-Given", base64.b64encode(url.encode()).decode()))
     fields += [("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
         fields += [("WARC-Refers-To", page_urn(refers_to)), ("WARC-Profile", PROFILE)]
@@ -107,6 +111,11 @@ def verified(content: bytes) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, size
 
 
+def given(fields: dict[str, str]) -> str | None:
+    raw = fields.get("x-target-as-given")
+    return base64.b64decode(raw).decode() if raw else fields.get("warc-target-uri")
+
+
 MANIFEST = "path string, n_records long, n_bytes long"
 
 
@@ -152,7 +161,7 @@ def read_archives(manifest: DataFrame, n_files: int, with_payload: bool = False)
                     for content in members(f):
                         fields, payload, size = verified(content)
                         refers = fields.get("warc-refers-to")
-                        rows.append((page_of(fields["warc-record-id"]), size, fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], page_of(refers) if refers else None, fields.get("warc-target-uri"), payload)[:width])
+                        rows.append((page_of(fields["warc-record-id"]), size, fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], page_of(refers) if refers else None, given(fields), payload)[:width])
                         if len(rows) >= 500:
                             yield flush()
                             rows.clear()
@@ -165,4 +174,18 @@ def read_archives(manifest: DataFrame, n_files: int, with_payload: bool = False)
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0, with_payload: bool = False) -> DataFrame:
     scratch = Scratch(spark, "warc")
     manifest = scratch.save(write_archives(spark, pages, scratch.path("archives"), least, scratch=scratch), "manifest")
-    return read_archives(manifest, manifest.count(), with_payload)
+    rows = scratch.save(read_archives(manifest, manifest.count(), with_payload), "rows")
+    check_revisits(rows)
+    scratch.drop("seen", "archives", "manifest")
+    return rows
+
+
+def check_revisits(rows: DataFrame) -> None:
+    """Raises ValueError unless each revisit refers to a response of its own digest
+    and length. Equal references meet before the join, so a payload that a third of
+    the rows share is one row there."""
+    what = ["payload_digest", "payload_bytes"]
+    said = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *what).distinct()
+    odd = said.join(rows.filter("record_type = 'response'").select("page_id", *what), ["page_id", *what], "left_anti").limit(1).collect()
+    if odd:
+        raise ValueError(f"a revisit of page {odd[0].page_id} does not match its response")
