@@ -14,12 +14,15 @@ columns of the input, whatever their names, are not read.
 
 Plan: one narrow pass encodes and cuts (texts are never shuffled); ranks come from
 windows over (length, salt) and a running sum over the table of their counts, so
-one very common length spreads over `salts` tasks, more with more pieces; only the histogram
+one very common length (of equal rows, too) spreads over `salts` tasks, more with
+more pieces; the table of bases is broadcast if it has at most BROADCAST_ROWS rows by
+construction; only the histogram
 (at most capacity/grid + grid rows) reaches the driver.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -65,8 +68,9 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
 
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, limit: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Optimal basis (patterns as columns) and its real-valued counts."""
-    basis = np.diag(capacity // lengths).astype(float)
+    """Optimal basis (patterns as columns) and its real-valued counts. Should `limit`
+    steps not reach the optimum, the gap is warned of; the basis packs all the same."""
+    basis, value = np.diag(capacity // lengths).astype(float), np.inf
     for _ in range(limit):
         amount = np.linalg.solve(basis, demand.astype(float))
         price = np.linalg.solve(basis.T, np.ones(len(lengths)))
@@ -79,6 +83,8 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, li
             break
         ratio = np.where(can, np.maximum(amount, 0) / np.where(can, direction, 1), np.inf)
         basis[:, int(ratio.argmin())] = pattern
+    else:
+        warnings.warn(f"packing stopped short of the optimum: at most {value - 1:.2%} more sequences than it", stacklevel=2)
     return basis.round().astype(np.int64), np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
 
 
@@ -127,23 +133,24 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, grid: int = GRID, with_ids: bool = False) -> DataFrame:
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _nr long" + (", ids array<long>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer_path)
+        encoder, nr = Encoder.of(tokenizer_path), 0
         for batch in batches:
             for part in slices(batch):
-                rows = [[] for _ in range(6)]
+                rows = [[] for _ in range(7)]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, end_id).astype("<u4")
                     start = 0
                     for n in cuts(len(ids), capacity, grid):
                         piece = ids[start : start + n]
-                        for column, x in zip(rows, (doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int64) if with_ids else None), strict=True):
+                        for column, x in zip(rows, (doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), nr, piece.astype(np.int64) if with_ids else None), strict=True):
                             column.append(x)
                         start += n
-                arrays = [pa.array(x, pa.int64()) for x in rows[:5]] + ([pa.array(rows[5], pa.list_(pa.int64()))] if with_ids else [])
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+                        nr += 1
+                arrays = [pa.array(x, pa.int64()) for x in rows[:6]] + ([pa.array(rows[6], pa.list_(pa.int64()))] if with_ids else [])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_nr", "ids"][: len(arrays)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
@@ -151,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, gri
 def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS, grid: int = GRID) -> DataFrame:
     """Adds sequence_id and offset to the (materialised) pieces."""
     salts = max(salts, cut.count() // ROWS_PER_SALT + 1)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_nr"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.save(counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "ranks")
@@ -164,8 +171,8 @@ def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS, g
     if (capacity // grid + grid) * salts <= BROADCAST_ROWS:  # that many rows at most
         base = F.broadcast(base)
     ranked = salted.join(base, ["length", "_salt"])
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1).drop("_salt", "_base")
+    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "_nr")
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1).drop("_salt", "_base", "_nr")
     names = [c for c in ranked.columns if c != "_rank"]
     fields = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names)
 

@@ -7,11 +7,12 @@ Index file: per record uint64 offset of its frame, uint64 length of its frame.
 
 Defined cases: null text is an empty text (its record holds the end id alone); a
 null doc_id sorts first and comes back null; repeated doc_ids or rows are each
-written, ordered by (doc_id, text); an empty table gives no record and no file;
+written, ordered by doc_id and then a hash of the text; an empty table gives no record and no file;
 other columns of the input, whatever their names, are not read.
 
-Plan: one range exchange on doc_id (the files must be in id order), one task per
-file for encoding and writing, a running sum over one row per file, one task per
+Plan: one range exchange on doc_id (the files must be in id order; ties are split by
+text and place, so a very common id takes many files), into files that follow the
+input's size, one task per file for encoding and writing, a running sum over one row per file, one task per
 file for reading. Tasks hold one slice of documents at a time.
 """
 
@@ -34,6 +35,7 @@ _HEAD = struct.Struct("<qBBI")
 _MASK_DELTA = 0xA282EAD8
 _POLY = 0x82F63B78
 _BLOCK = 1024
+FILE_BYTES, MOST_FILES = 256 << 20, 1 << 20  # of input for each file
 
 
 def _byte_table() -> np.ndarray:
@@ -168,12 +170,13 @@ MANIFEST = "shard long, path string, index_path string, n_docs long, n_tokens lo
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per file written: files follow one another in ascending doc_id order."""
-    ordered = (
-        docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    """One row per file written: files follow one another in ascending doc_id order.
+    Equal ids are dealt over files by their text, and equal rows by their place."""
+    rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
+    ties = [F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_place")]
+    ordered = rows.select("*", *ties).repartitionByRange(files, "doc_id", "_tie", "_place").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder.of(tokenizer_path), TaskContext.get().partitionId()
