@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     wanted = F.lit(False)
     for y, n in rows.items():
         wanted = wanted | ((F.col("y") == y) & (ticket < int(min(1.0, sample / n) * 1_000_000 + 1)))
-    drawn = known.filter(wanted).limit(2 * sample * len(rows))
+    drawn = known.filter(wanted).limit(2 * sample * len(rows)).persist()
+    asked = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
-    return Model([np.frombuffer(b.as_py(), "<i4") for b in got.column("x").combine_chunks()], np.array(got.column("y").to_pylist(), int), rows.get(1, 0) / sum(rows.values()))
+    drawn.unpersist()
+    y = np.array(got.column("y").to_pylist(), int)
+    there = {k: n * (y == k).sum() / max(1, asked.get(k, 0)) for k, n in rows.items()}  # labels whose documents are not in docs don't count
+    share = there.get(1, 0) / max(sum(there.values()), 1e-9) if len(y) else rows.get(1, 0) / sum(rows.values())
+    return Model([np.frombuffer(b.as_py(), "<i4") for b in got.column("x").combine_chunks()], y, float(share))
 
 
 def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD, extra: list[str] | None = None) -> DataFrame:
