@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import posixpath
 import re
@@ -125,9 +126,16 @@ def even(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, min(rows, 20_000)))
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+
+    def _trim(pad: int) -> None: ...
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch of at most `rows` rows and about `size` bytes of text
-    (one row at least); memory that Arrow keeps goes back after each batch."""
+    (one row at least); memory that the C library or Arrow keeps goes back after each."""
     weight = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -138,6 +146,7 @@ def slices(batch: pa.RecordBatch, rows: int = 256, size: int = SLICE_BYTES) -> I
         j = max(i + 1, min(i + rows, int(np.searchsorted(total, before + size, "right"))))
         yield batch.slice(i, j - i)
         i = j
+        _trim(0)
     pa.default_memory_pool().release_unused()
 
 

@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import resident
 
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 GROUP_BYTES = 1 << 19
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _EDGE = re.compile(r"^\s|\s$|^$")
