@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlens.llm import contamination, html_text, language, neardup, packing, quality, queries, records, rules, tokens, urls, warc
+from loomlens.llm.common import Bloom, dual_descent, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -42,9 +43,51 @@ def real(spark, sf_dir, n=None):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# ---- helpers
+
+
+def test_bloom_never_misses(spark):
+    keys = spark.range(0, 30_000, 3).select(F.when(F.col("id") > 5, F.col("id") * 7919).alias("k"))
+    for most in (27, 10):  # roomy, and far too small
+        bloom = Bloom(keys, "k", most=most)
+        rows = spark.range(30_000).withColumn("k", F.when(F.col("id") > 5, F.col("id") * 7919)).withColumn("may", bloom.may_hold("k"))
+        got = {r.id: r.may for r in rows.collect()}
+        assert all(got[i] for i in range(6, 30_000, 3)) and not any(got[i] for i in range(6))
+        if most == 27:
+            assert sum(got[i] for i in range(7, 30_000) if i % 3) < 0.03 * 20_000
+    assert not spark.range(9).filter(Bloom(keys.limit(0), "k").may_hold("id")).count()
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 0, 5000, 1, 1, 1, 9000, 2)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], names=["i", "t"])
+    parts = list(slices(batch, rows=3, size=4000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(9))
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 4000) for p in parts)
+
+
+def test_word_hashes_in_blocks(monkeypatch):
+    texts = [LONG[:9000], None, "", "one", "a\tb\x0bC " * 50, "x" * 700, " lead and trail "]
+    hashes, counts = neardup.word_hashes(texts)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 64)
+    again, same = neardup.word_hashes(texts)
+    assert (hashes == again).all() and (counts == same).all()
+    assert counts.tolist() == [len(WORD.findall(t or "")) for t in texts]
+
+
 # ---- tokens
 
 
+def test_encoder_cuts_long_texts(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 300)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "word,", "x9", "\u00e9t\u00e9", "long" * 40, "a\nb"]) for _ in range(n)) for n in (1, 500, 40, 3000)] + ["y" * 5000]
+    got = tokens.Encoder(queries.tokenizer_path()).ids(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_encoder_equals_library(tokenizer):
     rng = random.Random(1)
     texts = ["".join(rng.choice([" ", "\n", "\t", "a", "b", ".", ",", "1", "é", "'s", "ü", "|", "!!", "\u00a0", "漢", "<|endoftext|>"]) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
@@ -201,7 +244,7 @@ def brute_url(url, ruleset):
 
 def test_url_rules(spark):
     model = urls.train(spark)
-    listed = [None, "", "nothing", "http://", "http://A.Example.NET/en/1?x#y", "https://example.net/de/", "http://xnet/", "http://a.net", "http://a.net?q=/", "http://b.example.com/de/1", "http://b.example.com/fr", "http://x.org/fr/2", "http://a://b/c", "http://É.org/fr/", "http://h\n.org/fr/a", "http://cheap-pills.example.org/x", "http://nderstand.example.org/x", "http://" + "a" * 50_000 + ".org/fr/"]
+    listed = [None, "", "nothing", "http://", "http://A.Example.NET/en/1?x#y", "https://example.net/de/", "http://xnet/", "http://a.net", "http://a.net?q=/", "http://b.example.com/de/1", "http://b.example.com/fr", "http://x.org/fr/2", "http://a://b/c", "http://É.org/fr/", "http://h\n.org/fr/a", "http://poker-casino-slots.example.org/casino/bonus.html", "http://library-museum.example.org/wiki/History", "http://" + "a" * 50_000 + ".org/fr/"]
     df = spark.createDataFrame([*enumerate(listed), (None, listed[4]), (4, listed[4])], "page_id long, url string").withColumn("host", F.lit("x")).withColumn("label", F.lit("y"))
     rows = urls.judge(df, queries.URL_RULES, model).collect()
     assert len(rows) == len(listed) + 2
@@ -215,12 +258,57 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0), queries.URL_RULES, model).count() == 0
 
 
-def test_url_model_on_its_table(spark):
+def test_url_model_on_held_out_urls(spark):
+    """Five folds by host: no host of the fold that is judged was learned from."""
+    table = urls.labelled_urls(spark).withColumn("page_id", F.col("label").cast("long")).cache()
+    fold = F.pmod(F.xxhash64(urls.split_url(F.col("url"))[0]), F.lit(5))
+    hits = collections.Counter()
+    for k in range(5):
+        for r in urls.judge(table.filter(fold == k), {}, urls.train(spark, table.filter(fold != k))).collect():
+            hits[r.page_id == 1, r.verdict == "block"] += 1
+    assert hits[True, True] + hits[False, False] >= 0.8 * sum(hits.values())
+    assert hits[False, True] <= 0.1 * (hits[False, True] + hits[False, False])
+    weights = urls.train(spark).coefficients.toArray()
+    assert all(np.abs(weights[brute_features("", f"/{w}/x", only="p")]).max() > 0.05 for w in ("casino", "recipes"))  # paths count
+
+
+def murmur3(data, seed=42):
+    """32-bit hash as the hashing of terms defines it (tail bytes are signed and mixed one by one)."""
+    u = lambda x: x & 0xFFFFFFFF
+    turn = lambda x, r: u(x << r | x >> 32 - r)
+
+    def mix(h, k):
+        return u(turn(h ^ u(turn(u(k * 0xCC9E2D51), 15) * 0x1B873593), 13) * 5 + 0xE6546B64)
+
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = mix(h, int.from_bytes(data[i : i + 4], "little"))
+    tail = 0
+    for i, c in enumerate(data[whole:]):
+        tail ^= c << 8 * i
+    if len(data) > whole:
+        h ^= u(turn(u(tail * 0xCC9E2D51), 15) * 0x1B873593)
+    h ^= len(data)
+    h = u((h ^ h >> 16) * 0x85EBCA6B)
+    h = u((h ^ h >> 13) * 0xC2B2AE35)
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def brute_features(host, path, only="hp"):
+    path = re.sub("[0-9]", "0", path)
+    grams = {f"{mark}{n}" + t[i : i + n] for mark, t in (("h", f"^{host}$"), ("p", f"^{path}$")) if mark in only for n in urls.SIZES for i in range(max(1, len(t) - n + 1))}
+    return sorted({murmur3(g.encode()) % urls.FEATURES for g in grams})
+
+
+def test_url_probability_brute_force(spark, sf_dir):
     model = urls.train(spark)
-    table = urls.labelled_urls(spark).withColumn("page_id", F.monotonically_increasing_id())
-    judged = urls.judge(table, {}, model).join(table, "page_id")
-    wrong = judged.filter((F.col("verdict") == "block") != (F.col("label") == 1)).count()
-    assert wrong <= 0.02 * table.count()
+    weights, intercept = model.coefficients.toArray(), model.intercept
+    rows = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), queries.URL_RULES, model).collect()
+    for r in rows[:100]:
+        p = 1 / (1 + np.exp(-(weights[brute_features(r.host, r.path)].sum() + intercept)))
+        assert abs(p - r.block_probability) < 1e-9
+        assert r.rule or (r.verdict == "block") == (p >= urls.THRESHOLD)
 
 
 def test_url_plan_is_native(spark, sf_dir):
@@ -251,6 +339,34 @@ def test_extract(html, text):
     assert html_text.extract(html) == text
 
 
+BODY = " ".join(f"Sentence {i} of the long body is here." for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("html", "has", "lacks"),
+    [
+        (f"<body><article><h2>Teaser one</h2></article><article><h2>Teaser two</h2></article><div><p>{BODY}</p></div>", BODY, "Teaser one"),
+        (f"<article>a</article><div><p>{BODY}</p></div>", BODY, "@"),
+        (f"<div class='content has-sidebar'><p>{BODY}</p><div class='sidebar'><p>side text</p></div></div>", BODY, "side text"),
+        (f"<div class='page-sidebar-left'><p>{BODY}</p><div class='left-menu'><p>side text</p></div></div>", BODY, "side text"),
+        (f"<div class='story-header'><h1>The title</h1></div><p>{BODY}</p><div class='site-header'><p>brand</p></div>", f"The title {BODY}", "brand"),
+        (f"<div class='post-comments'><p>{BODY}</p></div><p>short body</p>", "short body", "Sentence"),
+        (f"<p>{BODY}</p><![foo[bar]]><p>after the section</p><![ endif]><p>{BODY}</p>", "after the section", "bar"),
+        (f"<table><tr><td><a>one</a></td><td><a>two</a></td></tr></table><div><p>{BODY}</p></div><ul><li><a>x link</a></ul>", BODY, "x link"),
+    ],
+)
+def test_extract_chooses_by_density(html, has, lacks):
+    text = html_text.extract(html)
+    assert has in text and lacks not in text
+
+
+def test_extract_never_raises():
+    rng = random.Random(9)
+    bits = ["<p>", "</p>", "<div class='nav-x'>", "</div>", "<![", "]]>", "<!--", "-->", "<!DOCTYPE", "<?", ">", "<", "&#x110000;", "&amp", "text", "<article>", "</article>", "<script>", "</script", "\x00", "<a href='", "'"]
+    for _ in range(3000):
+        html_text.extract("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))))
+
+
 def test_extract_pages(spark, sf_dir):
     import html as std
 
@@ -322,6 +438,93 @@ def test_quality_cases(spark):
     assert quality.train(base, labels.filter("quality = 1")).score(np.zeros(0, int)) > 0.99
 
 
+# ---- brute force of the two classifiers: features in plain dictionaries, fitted weights
+
+
+def brute_language(text, model):
+    data = [c if c >= 128 or chr(c).isalpha() else 32 for c in (" " + text.lower() + " ").encode()]
+    count = collections.Counter()
+    for size in language.SIZES:
+        for i in range(len(data)):
+            h = size * 7919
+            for k in range(size):
+                h = (h ^ (data[i + k] if i + k < len(data) else 32)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            count[(h * 0x85EBCA77 & 0xFFFFFFFF) >> 21] += 1
+    norm = sum(count.values()) ** 0.5  # of the square roots
+    margin = [sum(n**0.5 / norm * float(model.weights[f, t]) for f, n in count.items()) + float(model.weights[language.FEATURES, t]) for t in range(len(model.tasks))]
+    p = {task: 1 / (1 + np.exp(-(a * m + b))) for task, m, (a, b) in zip(model.tasks, margin, model.scales.tolist(), strict=True)}
+    of = {f: p.get((f,), 1.0) for f in model.families}
+    chosen = max(model.families, key=lambda f: of[f])
+    own = [v for v in model.langs if language.family(v) == chosen]
+    against = lambda v, w: p[v, w] if (v, w) in p else 1 - p[w, v]
+    chance = {v: sum(against(v, w) for w in own if w != v) for v in own}
+    votes = {v: sum(against(v, w) >= 0.5 if v < w else against(w, v) < 0.5 for w in own if w != v) for v in own}
+    best = max(own, key=lambda v: votes[v] + chance[v] / max(1, len(own)))
+    return best, of[chosen] / sum(of.values()) * (chance[best] / (len(own) - 1) if len(own) > 1 else 1.0)
+
+
+def test_language_brute_force(spark, sf_dir):
+    model = language.train(real(spark, sf_dir))
+    rows = language.identify(real(spark, sf_dir), model, extra=["source"]).limit(60).collect()
+    for r in rows:
+        if language.has_letter(r.text):
+            lang, score = brute_language(r.text[:20_000] if len(r.text) < 20_000 else r.text, model)
+            assert lang == r.lang_pred and abs(score - r.score) < 2e-3, (lang, score, r)
+
+
+def test_language_ties():
+    x = np.ones((6, language.FEATURES + 1), np.float32)  # nothing tells the languages apart
+    langs, score = language.Model(x, ["fr", "es", "it"] * 2).predict(x[:1])
+    assert langs == ["es"] and 0 <= score[0] <= 1
+
+
+def brute_indicators(text):
+    words = WORD.findall(text)
+    seen, before, shapes, out = set(), None, [], set()
+    for w in words:
+        raw = w.encode()
+        bits = 0
+        for c in raw:
+            bits |= 0 if c >= 128 else 1 if chr(c).islower() else 2 if chr(c).isupper() else 4 if chr(c).isdigit() else 8 if chr(c) in ".,;:'\"-()" else 16 if c > 32 else 0
+        size = sum(len(raw) >= n for n in (3, 6, 10))
+        shapes.append((bits * 4 + size) * 3 + (2 if w == before else 1 if w in seen else 0))
+        seen.add(w)
+        before = w
+        out.add(int(quality.mix(np.array([sum((c + 1) * pow(0x9E3779B97F4A7C15 | 1, i, 1 << 64) for i, c in enumerate(raw)) % (1 << 64)], np.uint64))[0]) % quality.WORDS)
+    for k in (1, 2, 3):
+        runs = list(zip(*(shapes[i:] for i in range(k)), strict=False))
+        count = collections.Counter()
+        for run in runs:
+            key = np.zeros(1, np.uint64)
+            for j, x in enumerate(run, 1):
+                key = quality.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x + 1), j)
+            count[int(key[0]) % quality.SHAPES] += 1
+        out |= {quality.WORDS + quality.SHAPES * i + f for i, least in enumerate(quality.DENSITIES) for f, n in count.items() if n >= least * len(runs)}
+    return out
+
+
+def test_quality_brute_force(spark, sf_dir):
+    documents = real(spark, sf_dir)
+    model = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for r in quality.assess(documents.filter("length(text) < 3000"), model, extra=["source"]).limit(60).collect():
+        found = brute_indicators(r.text)
+        norm = sum(float(model.ratio[i]) ** 2 for i in found) ** 0.5
+        margin = sum(float(model.ratio[i]) / norm * float(model.w[i]) for i in found) + model.b if found else model.b
+        score = 1 / (1 + np.exp(-(model.scale[0] * margin + model.scale[1])))
+        assert abs(score - r.score) < 1e-9 and r.predicted == int(score >= quality.THRESHOLD)
+
+
+def test_dual_descent_closes_the_gap():
+    rng = np.random.default_rng(1)
+    x = np.hstack([rng.normal(size=(200, 5)), np.ones((200, 1))])
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=200) > 0, 1.0, -1.0)
+    w = dual_descent(x, y, 1.0, 2000)
+    value = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    best = value(w)
+    assert all(best <= value(w + step * rng.normal(size=6)) + 1e-3 * best for step in (0.3, 0.1, 0.03, 0.01) for _ in range(200))
+
+
 # ---- warc
 
 
@@ -350,6 +553,18 @@ def test_warc_round_trip(spark, sf_dir):
     assert sorted(got, key=key) == sorted(brute_warc(pages), key=key)
 
 
+def test_warc_urls_come_back_as_given_and_revisits_are_checked(spark):
+    given = ["http://a/b c", "http://a/b%20c", "http://a/\u00e9\r\n", None, ""]
+    rows = [(i, u, "same") for i, u in enumerate(given)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.url for r in got.collect()} == dict(enumerate(given))
+    warc.check_revisits(got)
+    for column, wrong in (("payload_bytes", F.lit(5).cast("long")), ("payload_digest", F.lit("X")), ("refers_to", F.lit(4).cast("long"))):
+        broken = got.withColumn(column, F.when(F.col("page_id") == 2, wrong).otherwise(F.col(column)))
+        with pytest.raises(ValueError):
+            warc.check_revisits(broken)
+
+
 def test_warc_small_payloads_stay(spark):
     df = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (3, None, "abc"), (4, None, "abc")], "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.round_trip(spark, df, least=3).collect()}
@@ -414,9 +629,67 @@ def test_rules_hosts(spark):
     assert 0 < out[400].host_rate < 1
 
 
+def test_rules_twin_where_hosts_fail(spark):
+    """On rows where the host method decides, the SQL twin agrees."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(6)
+    rows, good, bad = [], " ".join(f"w{i}" for i in range(60)), "too short"
+    for host, n, rate in [(f"h{i}", 150, 0.04) for i in range(30)] + [("junk", 120, 0.7), ("small", 2, 1.0), ("third", 2500, 0.05)]:
+        rows += [(len(rows) + i, bad if rng.random() < rate else good, host) for i in range(n)]
+    out = rules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    want = {r[0]: r[1:] for r in c.execute(f"SELECT doc_id, base_failed, host_ok, kept, host_rate FROM ({queries.oracle_sql()['op7_quality_rules']})").fetchall()}
+    got = {r.doc_id: (r.base_failed, r.host_ok, r.kept, round(r.host_rate, 6)) for r in out.collect()}
+    assert all(got[d][:3] == want[d][:3] and abs(got[d][3] - want[d][3]) < 2e-6 for d in want) and len(got) == len(want)
+    host = {d: h for d, _, h in rows}
+    assert {host[d] for d, r in got.items() if not r[1]} == {"junk"}
+
+
 # ---- decontamination
 
 
+def brute_leaks(words, item, least=13, share=0.8):
+    """Whether a window passes, or a whole overlap, on any diagonal."""
+    need = min(least, len(item))
+    for shift in range(-len(item) + need, len(words) - need + 1):
+        low, high = max(0, -shift), min(len(item), len(words) - shift)
+        equal = [item[k] == words[k + shift] for k in range(low, high)]
+        if len(equal) >= need and (sum(equal) >= share * len(equal) or any(sum(equal[i : i + need]) >= share * need for i in range(len(equal) - need + 1))):
+            return True
+    return False
+
+
+def test_leaks_recall_under_substitution(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice([12, 15, 20, 40]))] for _ in range(40)]
+    rows, made = [], []
+    for d in range(1200):
+        item = rng.choice(items)
+        begin = rng.randint(0, len(item) - 12)
+        part = item[begin : begin + rng.randint(12, len(item))]
+        part = [w if rng.random() > rng.choice([0, 0.1, 0.2, 0.3]) else rng.choice(vocabulary) for w in part]
+        made.append([rng.choice(vocabulary) for _ in range(rng.randint(0, 25))] + part + [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))])
+        rows.append((d, " ".join(made[-1])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, w in enumerate(made) for i, item in enumerate(items) if brute_leaks(w, item)}
+    for limit in (200_000, 0):
+        found = contamination.leaks(spark, spark.createDataFrame(rows, DOCS), bench, broadcast_tokens=limit)
+        got = {(r.doc_id, r.item_id) for r in found.collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) > 300
+
+
+def test_leaks_of_rows_without_an_id(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"start {item} end"), (None, "quite clean text here"), (None, None), (5, f"x {item}"), (5, "clean"), (6, "clean")]
+    got = contamination.mark(spark, spark.createDataFrame(rows, DOCS), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)[:5], r.contaminated) for r in got) == sorted([("None", "start", True), ("None", "quite", False), ("None", "None", False), ("5", f"x {item}"[:5], True), ("5", "clean", True), ("6", "clean", False)])
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(3000)]

@@ -41,6 +41,40 @@ def test_stage(spark, sf_dir, mixed, name, stage):
     assert stage(spark, mixed.limit(0), sf_dir).count() == 0
 
 
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 100").first().text
+    rows = [(None, f"some words {item} and more", "en", "s", 1), (None, "a clean text of its own", "en", "s", 1), (None, None, "en", "s", 1), (3, f"{item} again", "en", "s", 1), (4, "clean", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    left = {(r.doc_id, r.text) for r in dict(P.STAGES)["decontamination"](spark, df, sf_dir).collect()}
+    assert left == {(d, t) for d, t, *_ in rows[1:3] + rows[4:]}
+    both = df.unionByName(df.filter("doc_id is null or doc_id = 4"))  # rows that repeat: without an id each stays
+    near = [(r.doc_id, r.text) for r in dict(P.STAGES)["near_dedup"](spark, both, sf_dir).collect()]
+    assert sorted(map(str, near)) == sorted(map(str, [(d, t) for d, t, *_ in rows[:3] * 2 + rows[4:] + rows[3:4]]))
+
+
+def test_packing_stage(spark, sf_dir, mixed):
+    stage = dict(P.STAGES)["packing"]
+    out = stage(spark, mixed, sf_dir)
+    assert sorted(out.columns) == ["doc_id", "doc_tokens", "ids_crc32", "length", "offset", "sequence_id", "start"]
+    rows = out.collect()
+    assert collections.Counter(r.doc_id for r in rows if r.start == 0) == collections.Counter(r.doc_id for r in mixed.collect())
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert stage(spark, mixed.limit(0), sf_dir).count() == 0
+
+
+def test_quality_stage_keeps_good_and_drops_bad(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r.doc_id for r in dict(P.STAGES)["quality_classifier"](spark, base, sf_dir).select("doc_id").collect()}
+    good, bad = ([d for d, q in labels.items() if q == v] for v in (1, 0))
+    assert sum(d in kept for d in good) >= 0.97 * len(good) and sum(d in kept for d in bad) <= 0.1 * len(bad)
+
+
 def test_whole_run(spark, sf_dir):
     pieces = P.run(spark, sf_dir).collect()
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(pieces[0].asDict())
