@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -64,8 +66,16 @@ class Scratch:
         return f"{self.uri}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        """While this one table is written, Arrow batches hold BATCH_ROWS rows: rows
+        carry whole texts or sets, and an executor holds several batches at a time.
+        The session's own setting is back when it returns."""
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(_BATCH)
+        conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(_BATCH, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def _delete(self, uri: str) -> None:
