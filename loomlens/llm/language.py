@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, dual_descent, logistic_scale, slices
+from .common import crc_bucket, dual_descent, logistic_scale, resident, slices
 
 SAMPLE = 600  # documents of each language to learn from, on average
 FEATURES = 2048
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, model: Model, extra: list[str] | None = None) -> D
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text" or keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(("none",), lambda: None)  # frees what another operator left in this worker
         for batch in batches:
             for part in slices(batch, 64):
                 texts = part.column(1).to_pylist()

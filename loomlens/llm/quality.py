@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, logistic_scale, slices
+from .common import crc_bucket, logistic_scale, resident, slices
 from .neardup import mix
 from .tokens import Powers
 
@@ -168,6 +168,7 @@ def assess(docs: DataFrame, model: Model, threshold: float = THRESHOLD, extra: l
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text" or keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(("none",), lambda: None)  # frees what another operator left in this worker
         for batch in batches:
             for part in slices(batch, 128):
                 scores = np.array([model.score(indicators(t)) for t in part.column(1).to_pylist()])

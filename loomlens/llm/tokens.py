@@ -17,8 +17,8 @@ import numpy as np
 
 from .common import resident
 
-SLOTS = 1 << 21
-GROUP_BYTES = 1 << 19
+SLOTS = 1 << 20
+GROUP_BYTES = 1 << 18
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _EDGE = re.compile(r"^\s|\s$|^$")
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -34,7 +34,7 @@ class Powers:
 
     def need(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up), GROUP_BYTES)
+            n = max(n, GROUP_BYTES)
             steps = np.full(n, _ODD, np.uint64)
             back = np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
             steps[0] = back[0] = 1
