@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     notes = read(a.data)
     if a.command == "split":
         rows = notes.orderBy("obs_id").limit(a.max_obs) if a.max_obs else notes
-        tables.write_csv(split.global_split(rows.select("obs_id"), "obs_id", a.test_frac, a.seed), a.out)
+        tables.write_csv(split.global_split(rows.select("obs_id"), "obs_id", a.test_frac, a.seed).orderBy("partition", "obs_id"), a.out)
         return
     if a.command == "train":
         settings = tables.read_config(tables.read_template(spark, a.config)) if a.config else {}

@@ -95,8 +95,12 @@ def valid_value_type(kind: Column) -> Column:
 
 
 def with_priors(candidates: DataFrame, priors: DataFrame, default: float = 0.1) -> DataFrame:
-    """candidates (candidate_id, ...) with prior from priors (candidate_id, prior)."""
-    named = priors.groupBy("candidate_id").agg(F.last("prior", ignorenulls=True).alias("prior"))
+    """candidates (candidate_id, ...) with prior from priors (candidate_id, prior
+    [, position]): of several for a candidate the one of the last position, and
+    without positions the largest."""
+    known = priors.filter("prior is not null")
+    best = F.max_by("prior", "position") if "position" in priors.columns else F.max("prior")
+    named = known.groupBy("candidate_id").agg(best.alias("prior"))
     return candidates.drop("prior").join(named, "candidate_id", "left").withColumn("prior", F.coalesce("prior", F.lit(default)))
 
 

@@ -10,7 +10,20 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčď
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 #: Literal replacements of question texts, in order.
-QUESTION_PARTS = (("Does the note mention the patient ", ""), ("Does the note mention ", ""), ("Does the patient have ", ""), ("Does the patient ", ""), ("Is the patient ", ""), ("Has the patient ", ""), ("?", ""))
+QUESTION_PARTS = (
+    ("Does the note mention that the patient", "Does the note mention the patient"),
+    ("Does the note mention ", ""),
+    ("that the patient ", ""),
+    ("the patient ", ""),
+    ("engaging in ", ""),
+    ("experiencing ", ""),
+    ("having a ", ""),
+    ("having ", ""),
+    ("undergoing ", ""),
+    ("requiring ", ""),
+    ("needing ", ""),
+    ("?", ""),
+)
 
 
 def sections(df: DataFrame, text: str, limit: int | None, keep: list[str]) -> DataFrame:
@@ -63,7 +76,7 @@ def coefficient_lines(rows: Column) -> Column:
 def clean_concept(name: Column) -> Column:
     for old, new in QUESTION_PARTS:
         name = F.replace(name, F.lit(old), F.lit(new))
-    return F.trim(name)
+    return name
 
 
 def display_name(name: Column) -> Column:
@@ -77,8 +90,9 @@ def normalized_concept(name: Column) -> Column:
 
 
 def value_type(question: Column) -> Column:
+    """With a bound (> or ≥): a duration if an h or a d (hours, days) occurs, else a count."""
     bound = question.contains(">") | question.contains("≥")
-    period = F.regexp_like(F.lower(question), F.lit(r"[0-9] *[hd]"))
+    period = question.contains("h") | question.contains("d")
     return F.when(bound & period, "duration_days").when(bound, "count").otherwise("binary")
 
 

@@ -25,12 +25,14 @@ def ask_column(df: DataFrame, ask: Ask, prompt: str, out: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def ask_cached(df: DataFrame, cache: DataFrame, ask: Ask, prompt: str, out: str) -> tuple[DataFrame, DataFrame]:
+def ask_cached(df: DataFrame, cache: DataFrame, ask: Ask, prompt: str, out: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """(answered rows, fresh cache rows): prompts are told apart by their SHA-256, and
-    each that the cache (prompt_key, response) lacks is asked once."""
+    each that the cache (prompt_key, response) lacks is asked once: fresh answers are
+    written to `folder` (one that all executors share) first and read back from there."""
     keyed = df.withColumn("prompt_key", F.sha2(prompt, 256))
     new = keyed.select("prompt_key", prompt).dropDuplicates(["prompt_key"]).join(cache.select("prompt_key"), "prompt_key", "left_anti")
-    fresh = ask_column(new, ask, prompt, "response")
+    ask_column(new, ask, prompt, "response").select("prompt_key", "response").write.mode("overwrite").parquet(folder)
+    fresh = df.sparkSession.read.schema("prompt_key string, response string").parquet(folder)
     known = cache.select("prompt_key", "response").unionByName(fresh)
     return keyed.join(known.withColumnRenamed("response", out), "prompt_key", "left").drop("prompt_key", prompt), fresh
 

@@ -6,25 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip
-from .order import running, with_rank
-from .split import bootstrap_weights
+from .order import running
+from .split import cell_draws
 
 
-def auc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+def auc(df: DataFrame, by: list[str], weight: str | None = None, buckets: int = 1024) -> DataFrame:
     """Weighted area under the ROC curve: pairs of a positive and a negative, ties
     half. Null where a slice has one class only."""
     w = F.lit(1.0) if weight is None else F.col(weight)
     sums = df.select(*by, "prob", F.when(F.col("y") == 1, w).otherwise(0.0).alias("_pos"), F.when(F.col("y") == 0, w).otherwise(0.0).alias("_neg"))
-    cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"})
+    cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, buckets)
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return cells.groupBy(*by).agg(F.try_divide(won, F.max("pos_total") * F.max("neg_total")).alias("auc"))
 
 
-def specificity_at(df: DataFrame, by: list[str], sensitivity: float) -> DataFrame:
+def multiclass_auc(df: DataFrame, by: list[str], classes: dict, weight: str | None = None) -> DataFrame:
+    """Mean over the classes of the area of each against the rest. classes: value of
+    y -> column with its score (in [0, 1]). Null if a class lacks rows or has all.
+    All classes are group keys of one plan."""
+    each = F.array(*(F.struct(F.lit(str(c)).alias("_class"), (F.col("y") == F.lit(c)).cast("int").alias("_is"), F.col(p).cast("double").alias("_p")) for c, p in classes.items()))
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    rows = df.select(*by, w.alias("_w"), F.explode(each).alias("_e")).select(*by, "_w", F.col("_e._class"), F.col("_e._is").alias("y"), F.col("_e._p").alias("prob"))
+    one = auc(rows, [*by, "_class"], "_w")
+    whole = F.when(F.count("auc") == len(classes), F.avg("auc"))
+    return one.groupBy(*by).agg(whole.alias("auc"))
+
+
+def specificity_at(df: DataFrame, by: list[str], sensitivity: float, weight: str | None = None, buckets: int = 1024) -> DataFrame:
     """1 - false positive rate at the highest threshold whose sensitivity reaches
     the target (all thresholds are looked at, none is merged)."""
-    sums = df.select(*by, "prob", (F.col("y") == 1).cast("long").alias("_pos"), (F.col("y") == 0).cast("long").alias("_neg"))
-    cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, descending=True)
+    w = F.lit(1).cast("long") if weight is None else F.col(weight)
+    sums = df.select(*by, "prob", F.when(F.col("y") == 1, w).otherwise(0).alias("_pos"), F.when(F.col("y") == 0, w).otherwise(0).alias("_neg"))
+    cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, buckets, descending=True)
     tpr = F.try_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total"))
     fpr = F.try_divide(F.col("neg_before") + F.col("neg"), F.col("neg_total"))
     return cells.filter(tpr >= sensitivity).withColumn("_s", 1 - fpr).groupBy(*by).agg(F.max_by("_s", "prob").alias("specificity"), F.max("prob").alias("threshold"))
@@ -47,17 +60,18 @@ def log_likelihood() -> Column:
     return F.sum(F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
 
 
-def bootstrap(df: DataFrame, key: str, metric, replicates: int, seed: int) -> DataFrame:
-    """2.5 and 97.5 % linear quantiles of `metric(rows, by, weight)` over replicates;
-    replicates with one class are rejected. One job for all replicates."""
-    n = df.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([], "low double, high double, n_replicates long")
-    order = F.lpad(F.col(key).cast("string"), 20, "0")
-    placed = with_rank(df.withColumn("_order", order), [], "_order", "_position", prefix=17).withColumn("position", F.col("_position") - 1)
-    drawn = placed.select("position", "y", "prob").join(bootstrap_weights(df.sparkSession, n, replicates, seed), "position")
-    values = metric(drawn.withColumn("times", F.col("times").cast("double")), ["rep"], "times").toDF("rep", "value").filter("value is not null")
-    return values.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count(F.lit(1)).alias("n_replicates"))
+def bootstrap(df: DataFrame, by: list[str], metric, replicates: int, seed: int, weight: str | None = None, resolution: int = 1000) -> DataFrame:
+    """Per slice `by`: 2.5 and 97.5 % linear quantiles of `metric(rows, by, weight, buckets)`
+    over replicates; replicates with one class are rejected. One job for all slices
+    and replicates. Rows are counted once by score (to 1 / resolution) and label;
+    replicates then draw from at most 2 x (resolution + 1) cells a slice."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    bin_ = F.floor(F.col("prob") * resolution + 0.5).cast("long")
+    cells = df.groupBy(*by, bin_.alias("_bin"), "y", w.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = cell_draws(cells, [*by, "_bin", "y", *(["_w"] if weight else [])], "_n", replicates, seed)
+    rows = drawn.select(*by, "rep", "y", (F.col("_bin") / resolution).alias("prob"), (F.col("times") * F.col("_w")).alias("times"))
+    values = metric(rows, [*by, "rep"], "times", 0).toDF(*by, "rep", "value").filter("value is not null")
+    return values.groupBy(*by).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count(F.lit(1)).alias("n_replicates"))
 
 
 def interval_text(value: Column, low: Column, high: Column) -> Column:

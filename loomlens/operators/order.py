@@ -32,9 +32,14 @@ def with_rank(df: DataFrame, by: list[str], order: str, name: str = "rank", pref
 
 def running(df: DataFrame, by: list[str], score: str, sums: dict[str, str], buckets: int = 1024, descending: bool = False) -> DataFrame:
     """Sums per distinct score in [0, 1], and for each `x` of sums also `{x}_before`
-    (all rows that come earlier) and `{x}_total` (the whole group)."""
+    (all rows that come earlier) and `{x}_total` (the whole group). buckets = 0: one
+    window for each group, where the number of its distinct scores is bounded."""
     sign = -1 if descending else 1
     cells = df.groupBy(*by, score).agg(*(F.sum(F.col(c)).alias(n) for n, c in sums.items()))
+    if not buckets:
+        own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        earlier = own.orderBy(F.col(score).desc() if descending else F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
+        return cells.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in sums} | {f"{n}_total": F.sum(n).over(own) for n in sums})
     cells = cells.withColumn("_bucket", F.floor(F.col(score) * buckets) * sign)
     totals = cells.groupBy(*by, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in sums))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -1,5 +1,6 @@
-"""Evaluation of predictions: slices, intervals, prevalences. One scored table serves
-every slice; nothing is annotated again."""
+"""Evaluation of predictions: slices, intervals, prevalences. The scored rows are
+kept once (memory or disk) and serve every slice; slices are group keys, so nothing is
+annotated again and no job runs for a slice of its own."""
 
 from __future__ import annotations
 
@@ -24,26 +25,17 @@ def evaluate(rows: DataFrame, sensitivity: float = 0.98, domain: str | None = No
         labels.append(F.col(domain).cast("string"))
     if age and cutoff is not None:
         labels.append(F.when(F.col(age) < cutoff, F.lit(f"age_below_{cutoff:g}")).otherwise(F.lit(f"age_above_{cutoff:g}")))
-    sliced = rows.withColumn("domain_slice", F.explode(F.array(*labels)))
-    out = metrics.metric_rows(sliced, ["domain_slice"], sensitivity, weight)
-    names = [r[0] for r in out.select("domain_slice").collect()]  # a row per slice
-    bounds = None
-    for name in names:
-        own = sliced.filter(F.col("domain_slice").eqNullSafe(F.lit(name)))
-        a = metrics.bootstrap(own, key, metrics.auc, replicates, seed).select(F.col("low").alias("auc_low"), F.col("high").alias("auc_high"))
-        s = metrics.bootstrap(own, key, lambda d, by, w: specificity_weighted(d, by, w, sensitivity), replicates, seed).select(F.col("low").alias("spec_low"), F.col("high").alias("spec_high"))
-        one = a.withColumn("domain_slice", F.lit(name)).join(s.withColumn("domain_slice", F.lit(name)), "domain_slice")  # one row each
-        bounds = one if bounds is None else bounds.unionByName(one)
-    joined = out.join(bounds, "domain_slice", "left")
+    columns = [key, "y", "prob", *([weight] if weight else [])]
+    sliced = rows.withColumn("domain_slice", F.explode(F.array(*labels))).select("domain_slice", *dict.fromkeys(columns)).persist()
+    by = ["domain_slice"]
+    out = metrics.metric_rows(sliced, by, sensitivity, weight)
+    a = metrics.bootstrap(sliced, by, metrics.auc, replicates, seed, weight).select(*by, F.col("low").alias("auc_low"), F.col("high").alias("auc_high"))
+    spec = lambda d, keys, times, buckets: metrics.specificity_at(d, keys, sensitivity, times, buckets).select(*keys, "specificity")
+    s = metrics.bootstrap(sliced, by, spec, replicates, seed).select(*by, F.col("low").alias("spec_low"), F.col("high").alias("spec_high"))
+    joined = out.join(a, by, "left").join(s, by, "left")
     return joined.withColumns({"auc_str": metrics.interval_text(F.col("auc"), F.col("auc_low"), F.col("auc_high")), "specificity_str": metrics.interval_text(F.col("specificity"), F.col("spec_low"), F.col("spec_high"))})
 
 
-def specificity_weighted(df: DataFrame, by: list[str], times: str, sensitivity: float) -> DataFrame:
-    """Specificity at a sensitivity of resampled rows: each counts `times` times."""
-    repeated = df.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop("_one")
-    return metrics.specificity_at(repeated, by, sensitivity).select(*by, "specificity")
-
-
 def predictions(notes: DataFrame, predicted: DataFrame, training: DataFrame | None = None, key: str = "obs_id") -> DataFrame:
     """Notes that training did not see, with prob_0 and prob_1 by key."""
     rows = without_overlap(notes, training, key) if training is not None else notes

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,9 @@ class State:
 
 
 class Checkpoints:
-    """Folder: v<N>/ with tables, and `current`, which names the last whole version."""
+    """Folder: v<N>/ with tables and state.json. That file is renamed into place when
+    all else of its version is written, so the highest version that has it is whole:
+    no pointer is ever replaced, and a crash at any time leaves the last one."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -60,10 +63,13 @@ class Checkpoints:
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def current(self) -> int | None:
-        at = self._path(f"{self.folder}/current")
-        if not self._fs.exists(at):
-            return None
-        return int(self.spark.read.text(f"{self.folder}/current", wholetext=True).first()["value"].strip())
+        whole = [v for v in self._versions() if self._fs.exists(self._path(f"{self.folder}/v{v}/state.json"))]
+        return max(whole, default=None)
+
+    def _versions(self) -> list[int]:
+        at = self._path(self.folder)
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)]
 
     def _write(self, path: str, text: str) -> None:
         stream = self._fs.create(self._path(path), True)
@@ -71,16 +77,14 @@ class Checkpoints:
         stream.close()
 
     def save(self, state: State, config: EnsembleConfig, tables: dict[str, DataFrame]) -> int:
-        version = (self.current() or 0) + 1
+        version = max(self._versions(), default=0) + 1
         base = f"{self.folder}/v{version}"
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{base}/{name}")
         state.tables = {name: f"{base}/{name}" for name in tables}
         self._fs.mkdirs(self._path(base))
-        self._write(f"{base}/state.json", json.dumps({"state": json.loads(state.dump()), "config": config.to_dict()}))
-        self._write(f"{self.folder}/current.tmp", str(version))
-        self._fs.delete(self._path(f"{self.folder}/current"), False)
-        self._fs.rename(self._path(f"{self.folder}/current.tmp"), self._path(f"{self.folder}/current"))
+        self._write(f"{base}/state.tmp", json.dumps({"state": json.loads(state.dump()), "config": config.to_dict()}))
+        self._fs.rename(self._path(f"{base}/state.tmp"), self._path(f"{base}/state.json"))
         return version
 
     def load(self) -> tuple[State, EnsembleConfig, dict[str, DataFrame]] | None:

@@ -9,6 +9,7 @@ from ..functions import responses
 from ..functions import text as T
 from ..operators import annotate, cluster, context, ensemble, linear, metrics, residual, select, split, viewer
 from ..operators.order import seeded_key
+from ..operators.split import poisson_tables
 from ..sources import tables
 from . import setting as S
 
@@ -283,18 +284,35 @@ def q26_specificity_at_sensitivity(spark, sf_dir):
     return metrics.specificity_at(scored(spark, sf_dir), [], S.SENSITIVITY).select(r6(F.col("specificity")).alias("specificity"), "threshold")
 
 
-BOOT_SQL = f"""WITH s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS position FROM {S.SCORED_SQL}),
-n AS (SELECT count(*) AS n FROM s),
-d AS MATERIALIZED (SELECT rep, ('0x' || substr(md5('{S.SEED}:' || rep || ':' || draw), 1, 8))::BIGINT % n AS position FROM n, range(0, {S.REPLICATES}) a(rep), range(0, (SELECT n FROM n)) b(draw)),
-c AS (SELECT d.rep, s.prob, sum((s.y = 1)::INT)::DOUBLE AS p, sum((s.y = 0)::INT)::DOUBLE AS n FROM d JOIN s USING (position) GROUP BY ALL),
-w AS (SELECT rep, p, n, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+def boot_sql(resolution: int = 1000) -> str:
+    cdf = ", ".join(f"({n}, {row})" for n, row in enumerate(poisson_tables()))
+    return f"""WITH k AS MATERIALIZED (SELECT floor(prob * {resolution} + 0.5)::BIGINT AS bin, y, count(*) AS n FROM {S.SCORED_SQL} GROUP BY ALL),
+t AS (SELECT * FROM (VALUES {cdf}) t(mean, cdf)),
+h AS (SELECT k.*, cdf, rep, md5('{S.SEED}:' || rep || ':' || bin || ':' || y) AS h FROM k LEFT JOIN t ON k.n = t.mean, range(0, {S.REPLICATES}) r(rep)),
+u AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1, (('0x' || substr(h, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2 FROM h),
+d AS MATERIALIZED (SELECT rep, bin, y, CASE WHEN cdf IS NULL THEN greatest(floor(n + sqrt(n::DOUBLE) * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) + 0.5), 0) ELSE len(list_filter(cdf, lambda c: c <= u1)) END AS times FROM u),
+c AS (SELECT rep, bin, sum(CASE WHEN y = 1 THEN times ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN times ELSE 0 END)::DOUBLE AS n FROM d GROUP BY ALL),
+w AS (SELECT rep, p, n, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
 v AS (SELECT rep, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM w GROUP BY rep)
 SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS n_replicates FROM v"""
 
 
-@query(BOOT_SQL)
+FLAGS = {"A": "least(1.0, l_discount * 10)", "N": "least(1.0, l_tax * 12)", "R": "l_quantity / 50"}
+
+
+@query(
+    "WITH r AS (SELECT c AS k, l_linestatus AS slice, (l_returnflag = c)::INT AS y, l_linenumber::DOUBLE AS w, round(CASE c "
+    + " ".join(f"WHEN '{c}' THEN {e}" for c, e in FLAGS.items())
+    + f" END, 6) AS prob FROM lineitem, (VALUES ('A'), ('N'), ('R')) t(c)) SELECT slice, CASE WHEN count(auc) = 3 THEN round(avg(auc), 6) END AS auc FROM {auc_sql('r', 'slice, k', 'w')} GROUP BY slice"
+)
+def q44_multiclass_auc(spark, sf_dir):
+    rows = S.load(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("slice"), F.col("l_returnflag").alias("y"), F.col("l_linenumber").cast("double").alias("w"), *(F.round(F.expr(e), 6).alias(f"p{c}") for c, e in FLAGS.items()))
+    return metrics.multiclass_auc(rows, ["slice"], {c: f"p{c}" for c in FLAGS}, "w").select("slice", r6(F.col("auc")).alias("auc"))
+
+
+@query(boot_sql())
 def q27_bootstrap_ci(spark, sf_dir):
-    out = metrics.bootstrap(scored(spark, sf_dir), "obs_id", metrics.auc, S.REPLICATES, S.SEED)
+    out = metrics.bootstrap(scored(spark, sf_dir), [], metrics.auc, S.REPLICATES, S.SEED)
     return out.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "n_replicates")
 
 
@@ -399,16 +417,20 @@ def q40_group_turns(spark, sf_dir):
     return annotate.join_sections(S.load(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-def nested_replace(x: str) -> str:
-    for old, new in T.QUESTION_PARTS:
-        x = f"replace({x}, '{old}', '{new}')"
-    return f"trim({x})"
+#: Questions with the phrasings that names are cleaned of.
+QUESTIONS = [c["concept"] for c in S.CONCEPTS] + [
+    "Does the note mention that the patient is experiencing pain?", "Does the note mention the patient having a fall?", "Does the note mention the patient having fever?", "Does the note mention that the patient is undergoing dialysis?",
+    "Does the note mention the patient requiring oxygen?", "Does the note mention the patient needing help?", "Does the note mention the patient engaging in exercise?", "Does the patient have pain?", "Is the stay > 3 days?", "Is the dose ≥ 5?", "Is it a yes?",
+]
+CLEAN_SQL = """replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(concept,
+'Does the note mention that the patient', 'Does the note mention the patient'), 'Does the note mention ', ''), 'that the patient ', ''), 'the patient ', ''),
+'engaging in ', ''), 'experiencing ', ''), 'having a ', ''), 'having ', ''), 'undergoing ', ''), 'requiring ', ''), 'needing ', ''), '?', '')"""
 
 
-@query(f"SELECT concept_id::INT AS concept_id, {nested_replace('concept')} AS clean, trim(regexp_replace(lower(concept), '[^a-z0-9]+', ' ', 'g')) AS normal FROM {S.CONCEPT_SQL}")
+@query(f"SELECT concept_id::INT AS concept_id, {CLEAN_SQL} AS clean, trim(regexp_replace(lower(concept), '[^a-z0-9]+', ' ', 'g')) AS normal, CASE WHEN concept LIKE '%>%' OR concept LIKE '%≥%' THEN CASE WHEN concept LIKE '%h%' OR concept LIKE '%d%' THEN 'duration_days' ELSE 'count' END ELSE 'binary' END AS kind FROM {S.values(list(enumerate(QUESTIONS)), 'concept_id, concept')}")
 def q41_clean_names(spark, sf_dir):
-    rows = spark.createDataFrame([(c["concept_id"], c["concept"]) for c in S.CONCEPTS], "concept_id int, concept string")
-    return rows.select("concept_id", T.clean_concept(F.col("concept")).alias("clean"), T.normalized_concept(F.col("concept")).alias("normal"))
+    rows = spark.createDataFrame(list(enumerate(QUESTIONS)), "concept_id int, concept string")
+    return rows.select("concept_id", T.clean_concept(F.col("concept")).alias("clean"), T.normalized_concept(F.col("concept")).alias("normal"), T.value_type(F.col("concept")).alias("kind"))
 
 
 @query("SELECT event_id, q::INT AS question, CASE WHEN q = event_id % 5 THEN value WHEN q = 1 AND event_id % 7 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS answer FROM (SELECT event_id, value, unnest([1, 2, 3]) AS q FROM events)")
@@ -447,8 +469,20 @@ def x02_residual_words(spark, sf_dir):
     return residual.fit_residual(notes.join(answers, "obs_id"), ["insult"], "text", weight="sample_weight")
 
 
-@query()
+LINKAGE_SQL = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT concept_id, row_number() OVER (ORDER BY concept_id) - 1 AS leaf FROM (SELECT concept_id FROM {S.ANNOTATIONS_SQL} GROUP BY concept_id HAVING max(abs(answer)) > 0)),
+d AS MATERIALIZED (SELECT x.concept_id AS a, y.concept_id AS b, covar_pop(x.answer, y.answer) / nullif(stddev_pop(x.answer) * stddev_pop(y.answer), 0) AS r, max(abs(x.answer - y.answer)) AS gap FROM {S.ANNOTATIONS_SQL} x JOIN {S.ANNOTATIONS_SQL} y ON x.obs_id = y.obs_id AND x.concept_id < y.concept_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT p.leaf AS a, q.leaf AS b, CASE WHEN r IS NULL THEN CASE WHEN gap = 0 THEN 0.0 ELSE 1.0 END ELSE greatest(0.0, 1 - abs(r)) END AS dist FROM d JOIN v p ON p.concept_id = d.a JOIN v q ON q.concept_id = d.b),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY dist, a, b) AS k FROM e),
+g(k, side, node) AS (SELECT k, 0, a FROM o UNION SELECT k, 1, b FROM o UNION SELECT g.k, g.side, CASE WHEN f.a = g.node THEN f.b ELSE f.a END FROM g JOIN o f ON f.k < g.k AND (f.a = g.node OR f.b = g.node)),
+m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) - 1 AS step FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = o.k AND g.side = 0 AND g.node = o.b)),
+c AS (SELECT m.step, m.dist, g.side, count(*) AS n, min(g.node) AS leaf, (SELECT max(w.step) FROM m w WHERE w.k < m.k AND w.a IN (SELECT node FROM g h WHERE h.k = m.k AND h.side = g.side)) AS made FROM m JOIN g USING (k) GROUP BY m.step, m.dist, m.k, g.side),
+i AS (SELECT step, dist, n, CASE WHEN n = 1 THEN leaf ELSE made + (SELECT count(*) FROM v) END AS node FROM c)
+SELECT step::INT AS step, min(node)::INT AS "left", max(node)::INT AS "right", round(max(dist), 6) AS distance, sum(n)::INT AS size FROM i GROUP BY step"""
+
+
+@query(LINKAGE_SQL)
 def x03_concept_linkage(spark, sf_dir):
     """Single linkage of the concepts."""
     _, merges = cluster.hierarchy(annotated(spark, sf_dir))
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step int, left int, right int, distance double, size int")
+    rows = spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step int, left int, right int, distance double, size int")
+    return rows.withColumn("distance", r6(F.col("distance")))
