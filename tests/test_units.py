@@ -41,7 +41,7 @@ def test_text_functions(spark):
     assert row.fill == "x-x-x"
     assert row.numbered == "1 - p\n2 - q\n" and row.starred == "* X0 = p \n"
     assert row.lines == "feature,coef\nw,-1.000\nv,0.500"
-    assert row.clean == "pain" and row.kind == "duration_days" and row.kind2 == "count"
+    assert row.clean == "Does have pain" and row.kind == "duration_days" and row.kind2 == "count"
     assert row.inject == "top new\nANCHOR end"
 
 
@@ -319,7 +319,7 @@ def test_features(spark):
     assert ranked[0].concept == "a" and ranked[0].coef > 0
 
 
-def test_keyphrases(spark):
+def test_keyphrases(spark, tmp_path):
     from loomlens.operators import keyphrases
 
     def ask(prompts):
@@ -334,8 +334,17 @@ def test_keyphrases(spark):
     assert (row.llm_summary, row.llm_output, row.evidence) == ("s", "a, b", {"a": "e", "b": "e"})
     calls = spark.createDataFrame([(1, "q:x"), (2, "q:x"), (3, "q:y")], "id long, prompt string")
     cache = spark.createDataFrame([], "prompt_key string, response string")
-    answered, fresh = keyphrases.ask_cached(calls, cache, ask, "prompt", "said")
+    marks = f"{tmp_path}/asked"
+
+    def counting(prompts):
+        with open(marks, "a") as f:
+            f.write("x" * len(prompts))
+        return ask(prompts)
+
+    answered, fresh = keyphrases.ask_cached(calls, cache, counting, "prompt", "said", f"file://{tmp_path}/fresh")
     assert fresh.count() == 2 and {r.id: r.said for r in answered.collect()} == {1: "x!", 2: "x!", 3: "y!"}
+    with open(marks) as f:
+        assert f.read() == "xx"  # each prompt once, however often the results are read
 
 
 def test_evaluate(spark):

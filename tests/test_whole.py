@@ -1,6 +1,5 @@
 """Whole results where queries or operators once gave a part."""
 
-import itertools
 import math
 
 import duckdb
@@ -8,7 +7,6 @@ import pytest
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
-from loomlens.llm import contamination, html_text
 from loomlens.operators import annotate, context, residual
 from loomlens.plans.config import EnsembleConfig
 from loomlens.plans.trainer import Trainer
@@ -57,17 +55,6 @@ def test_all_stated_vectors_are_searched(spark, sf_dir):
     assert len({r[0] for r in got}) > 3
 
 
-@pytest.mark.parametrize("declaration", ["<![foo[x]]>", "<![ endif]>", "<![1]>", "<![]>", "<![if !IE]>", "<![endif]>"])
-def test_text_behind_marked_sections(declaration):
-    html = f"<article><p>Before it there are words.</p>{declaration}<p>Behind it there are more words.</p></article>"
-    assert html_text.extract(html) == "Before it there are words. Behind it there are more words."
-
-
-@pytest.mark.parametrize("tail", ["<![foo[x", "<![", "<![1", "<![ "])
-def test_unclosed_marked_sections(tail):
-    assert html_text.extract(f"<article><p>Before it there are words.</p>{tail}").startswith("Before it there are words.")
-
-
 def test_partition_load_is_whole(spark, sf_dir):
     got = sorted((r.obs_id, r.partition, r.sample_weight, r.control) for r in QUERIES["q06_partition_load"](spark, sf_dir).collect())
     sql = f"""SELECT doc_id, 'train', 1.0::DOUBLE, n_chars FROM '{sf_dir}/documents.parquet' WHERE text IS NOT NULL AND substr(md5('7:' || doc_id), 1, 1) < '8' ORDER BY ALL"""
@@ -83,22 +70,6 @@ def test_first_rows_of_a_partition(spark):
     assert tables.load_partition(notes, index, "train").count() == 8
 
 
-@pytest.mark.parametrize("limit", [contamination.BROADCAST_TOKENS, 0])
-def test_part_of_a_long_item_at_every_placement(spark, limit):
-    """13 copied tokens with 2 substitutions: found wherever a seed hits."""
-    item = [f"w{i}" for i in range(60)]
-    rows, want = [], {}
-    for n, odd in enumerate(itertools.combinations(range(13), 2)):
-        part = [f"x{i}" if i in odd else w for i, w in enumerate(item[20:33])]
-        rows.append((n, " ".join([*(f"a{i}" for i in range(40)), *part, *(f"b{i}" for i in range(40))])))
-        want[n] = any(all(at + i not in odd for i, bit in enumerate(m) if bit == "1") for m in contamination.MASKS for at in range(4))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    got = {r.doc_id: r.contaminated for r in contamination.mark(spark, docs, bench, broadcast_tokens=limit).collect()}
-    assert got == want
-    assert got[[*itertools.combinations(range(13), 2)].index((1, 3))]
-
-
 def test_trainer_asks_about_new_notes(spark, tmp_path):
     """Notes that the cache lacks are answered for cached concepts too, each pair once."""
     asked = []
