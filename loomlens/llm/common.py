@@ -145,7 +145,7 @@ except (OSError, AttributeError):  # not the GNU C library
 
 def slices(batch: pa.RecordBatch, rows: int = 256, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch of at most `rows` rows and about `size` bytes of text
-    (one row at least); memory that the C library or Arrow keeps goes back after each."""
+    (one row at least); memory that the C library or Arrow keeps goes back after the batch."""
     weight = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -156,7 +156,7 @@ def slices(batch: pa.RecordBatch, rows: int = 256, size: int = SLICE_BYTES) -> I
         j = max(i + 1, min(i + rows, int(np.searchsorted(total, before + size, "right"))))
         yield batch.slice(i, j - i)
         i = j
-        _trim(0)
+    _trim(0)
     pa.default_memory_pool().release_unused()
 
 

@@ -5,7 +5,8 @@ ids of a text are the ids of its space-led chunks one after another, unless whit
 space, a space and white space (or the end) follow each other; such texts are
 encoded whole. Chunks are told apart by a 64-bit hash and their length; those seen
 before are looked up in a NumPy hash table, new ones are encoded by the library,
-many in one call, and cut before each token that starts with a space.
+many in one call, and cut before each token that starts with a space. A full memo
+keeps what was met again.
 """
 
 from __future__ import annotations
@@ -51,6 +52,17 @@ class Memo:
     def clear(self) -> None:
         self.keys, self.starts, self.sizes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.pool, self.used, self.n = np.zeros(1 << 20, self.dtype), 0, 0
+        self.met = np.zeros(SLOTS, bool)  # looked up again since it was added or last kept
+
+    def renew(self) -> None:
+        """Makes room: what was met again stays, what was not goes (all goes if too much was)."""
+        slot = np.flatnonzero(self.met)
+        hashes, sizes, starts = self.keys[slot], self.sizes[slot].astype(np.int64), self.starts[slot]
+        after = np.cumsum(sizes)
+        ids = self.pool[np.repeat(starts - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+        self.clear()
+        if len(hashes) <= SLOTS // 4:
+            self.add(hashes, ids, sizes)
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, or of the free place it would take."""
@@ -149,13 +161,15 @@ class Encoder:
         h ^= h >> np.uint64(29)
         h = np.where(h == 0, np.where(heads, np.uint64(2), np.uint64(1)), h)
         slot = self.memo.slots(h)
-        missing = np.flatnonzero(self.memo.keys[slot] != h)
-        if len(missing):
+        known = self.memo.keys[slot] == h
+        self.memo.met[slot[known]] = True
+        if not known.all():
+            missing = np.flatnonzero(~known)
             new, at = np.unique(h[missing], return_index=True)
             if self.memo.n + len(new) > SLOTS // 2:
-                self.memo.clear()
-                new, at = np.unique(h, return_index=True)
-                missing = np.arange(len(h))
+                self.memo.renew()
+                missing = np.flatnonzero(self.memo.keys[self.memo.slots(h)] != h)
+                new, at = np.unique(h[missing], return_index=True)
             at = missing[at]
             self._learn([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], new, heads[at])
             slot = self.memo.slots(h)
