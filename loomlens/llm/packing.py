@@ -132,11 +132,11 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]
     return segments, sequence
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, grid: int = GRID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, grid: int = GRID, with_ids: bool = False, slots: int | None = None) -> DataFrame:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _nr long" + (", ids array<long>" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, nr = Encoder.of(tokenizer_path), 0
+        encoder, nr = Encoder.of(tokenizer_path, slots), 0
         for batch in batches:
             for part in slices(batch):
                 rows = [[] for _ in range(7)]
@@ -190,7 +190,7 @@ def place(scratch: Scratch, cut: DataFrame, capacity: int, salts: int = SALTS, g
     return ranked.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, grid: int = GRID, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with_ids adds the ids themselves."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, grid: int = GRID, with_ids: bool = False, slots: int | None = None) -> DataFrame:
+    """One row per piece; with_ids adds the ids themselves; slots: see Encoder.of."""
     scratch = Scratch(spark, "packing")
-    return place(scratch, scratch.save(pieces(docs, tokenizer_path, end_id, capacity, grid, with_ids), "pieces"), capacity, grid=grid)
+    return place(scratch, scratch.save(pieces(docs, tokenizer_path, end_id, capacity, grid, with_ids, slots), "pieces"), capacity, grid=grid)

@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import resident
 
-SLOTS = 1 << 20
-GROUP_BYTES = 1 << 18
+SLOTS = 1 << 22  # places of the memo, 17 bytes each
+GROUP_BYTES = 1 << 19
 _UNSAFE = re.compile(r"\s (?:\s|$)")
 _EDGE = re.compile(r"^\s|\s$|^$")
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -45,14 +45,14 @@ class Powers:
 class Memo:
     """Open-addressing table from hashes to runs of ids in one pool."""
 
-    def __init__(self, dtype: np.dtype):
-        self.dtype = dtype
+    def __init__(self, dtype: np.dtype, places: int):
+        self.dtype, self.places = dtype, places
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.keys, self.starts, self.sizes = np.zeros(self.places, np.uint64), np.zeros(self.places, np.int32), np.zeros(self.places, np.int32)
         self.pool, self.used, self.n = np.zeros(1 << 20, self.dtype), 0, 0
-        self.met = np.zeros(SLOTS, bool)  # looked up again since it was added or last kept
+        self.met = np.zeros(self.places, bool)  # looked up again since it was added or last kept
 
     def renew(self) -> None:
         """Makes room: what was met again stays, what was not goes (all goes if too much was)."""
@@ -61,17 +61,17 @@ class Memo:
         after = np.cumsum(sizes)
         ids = self.pool[np.repeat(starts - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
         self.clear()
-        if len(hashes) <= SLOTS // 4:
+        if len(hashes) <= self.places // 4:
             self.add(hashes, ids, sizes)
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, or of the free place it would take."""
-        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (hashes & np.uint64(self.places - 1)).astype(np.int64)
         open_ = np.arange(len(hashes))
         while len(open_):
             held = self.keys[slot[open_]]
             open_ = open_[(held != 0) & (held != hashes[open_])]
-            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            slot[open_] = (slot[open_] + 1) & (self.places - 1)
         return slot
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -92,7 +92,7 @@ class Memo:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,12 +105,13 @@ class Encoder:
             self.leads[i] = token.startswith("Ġ")
         kind = str(self.tokenizer.pre_tokenizer)
         self.chunked = "ByteLevel" in kind and "add_prefix_space=False" in kind and self.tokenizer.normalizer is None
-        self.memo, self.powers = Memo(self.dtype), Powers()
+        self.memo, self.powers = Memo(self.dtype, slots or SLOTS), Powers()
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        """One encoder per worker process."""
-        return resident(("encoder", path), lambda: cls(path))
+    def of(cls, path: str, slots: int | None = None) -> "Encoder":
+        """One encoder per worker process. slots: places of its memo (a power of two);
+        a smaller memo takes more time and gives the same ids."""
+        return resident(("encoder", path, slots), lambda: cls(path, slots))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,7 +167,7 @@ class Encoder:
         if not known.all():
             missing = np.flatnonzero(~known)
             new, at = np.unique(h[missing], return_index=True)
-            if self.memo.n + len(new) > SLOTS // 2:
+            if self.memo.n + len(new) > self.memo.places // 2:
                 self.memo.renew()
                 missing = np.flatnonzero(self.memo.keys[self.memo.slots(h)] != h)
                 new, at = np.unique(h[missing], return_index=True)
