@@ -17,6 +17,7 @@ from loomlens.llm.queries import SEQUENCE, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.35
+MEMO = 1 << 20  # places of the tokenizer's memo: its workers hold what earlier stages left, too
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs.select("doc_id", "text"), tokenizer_path(), end_id=1, capacity=SEQUENCE)
+    return packing.pack(spark, docs.select("doc_id", "text"), tokenizer_path(), end_id=1, capacity=SEQUENCE, slots=MEMO)
 
 
 STAGES = [
