@@ -92,7 +92,7 @@ def index(spark, sf_dir) -> DataFrame:
     return S.documents(spark, sf_dir).select("obs_id", F.when(first < "8", "train").otherwise("test").alias("partition"))
 
 
-@query(f"SELECT n.obs_id, i.partition, n.sample_weight, n.control FROM (SELECT d.doc_id AS obs_id, 1.0::DOUBLE AS sample_weight, d.text, d.n_chars AS control FROM documents d) n JOIN {INDEX_SQL} i USING (obs_id) WHERE i.partition = 'train' AND n.text IS NOT NULL ORDER BY obs_id LIMIT 50")
+@query(f"SELECT n.obs_id, i.partition, n.sample_weight, n.control FROM (SELECT d.doc_id AS obs_id, 1.0::DOUBLE AS sample_weight, d.text, d.n_chars AS control FROM documents d) n JOIN {INDEX_SQL} i USING (obs_id) WHERE i.partition = 'train' AND n.text IS NOT NULL")
 def q06_partition_load(spark, sf_dir):
     return tables.load_partition(S.documents(spark, sf_dir), index(spark, sf_dir), "train").select("obs_id", "partition", "sample_weight", "control")
 
@@ -367,11 +367,10 @@ def q34_first_owner(spark, sf_dir):
     return split.first_owner(S.history(spark)[1], F.col("concept"), ["seed", "iter", "concept_id"]).select("seed", "iter", "concept_id")
 
 
-QUERY_VECTORS = 3  # of the twin
 QUERY_STEP = 100  # every row whose id is divisible by it is a query
 
 
-@query(f"SELECT query_id, rank, vec_id, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < {QUERY_VECTORS}) WHERE rank <= 3 AND s >= 0.4")
+@query(f"SELECT query_id, rank, vec_id, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % {QUERY_STEP} = 0) WHERE rank <= 3 AND s >= 0.4")
 def q35_similar_vectors(spark, sf_dir):
     items = S.load(spark, sf_dir, "embeddings")
     stated = items.filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
