@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import sigmoid
+from ..functions.text import section_array, sigmoid
 
 
-def score_stream(notes: DataFrame, concepts: list[dict], models: list[dict], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score_stream(notes: DataFrame, concepts: list[dict], models: list[dict], text: str = "text", keep: list[str] | None = None, limit: int | None = 1000) -> DataFrame:
     """Stateless per row, so it runs in append mode without a watermark: answers are
-    expressions, and each model ({coefs: {concept_id: b}, intercept}) is one too."""
-    answers = {c["concept_id"]: F.regexp_like(F.lower(text), F.lit(c["pattern"])).cast("double") for c in concepts}
+    expressions, and each model ({coefs: {concept_id: b}, intercept}) is one too.
+    As in batches, a pattern is looked for within sections of `limit` code points,
+    and notes without a text are left out."""
+    notes = notes.filter(F.col(text).isNotNull())
+    cut = section_array(F.col(text), limit)
+    held = lambda pattern: F.exists(cut, lambda s: F.regexp_like(F.lower(s), F.lit(pattern)))
+    answers = {c["concept_id"]: held(c["pattern"]).cast("double") for c in concepts}
     probs = []
     for m in models:
         z = F.lit(float(m["intercept"]))

@@ -375,3 +375,12 @@ def test_sources_sets(spark):
     assert sorted(r.obs_id for r in tables.common_keys(a, b).collect()) == [2, 3]
     said = spark.createDataFrame([(0, True), (1, None)], "obs_id long, exclude boolean")
     assert sorted(r.obs_id for r in tables.without_excluded(a, said).collect()) == [1, 2, 3]
+
+
+def test_stream_scores_like_batches(spark):
+    from loomlens.streaming.scoring import score_stream
+
+    notes = spark.createDataFrame([(1, "xx ab"), (2, None), (3, "ab"), (4, "")], "obs_id long, text string")
+    concept = [{"concept_id": 0, "pattern": "ab"}]
+    rows = score_stream(notes, concept, [{"intercept": 0.0, "coefs": {0: 100.0}}], limit=4).collect()
+    assert {r.obs_id: r.prob_1 > 0.9 for r in rows} == {1: False, 3: True, 4: False}  # "ab" of note 1 lies across two sections
