@@ -1,8 +1,8 @@
-"""SQL twins (DuckDB) of the queries that SQL can express: op6, op7, op9, op10."""
+"""SQL twins (DuckDB) of the queries that SQL can express: op6, op7 and op9 to op13."""
 
 from __future__ import annotations
 
-from . import contamination, rules
+from . import contamination, rules, vector_codes
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -76,4 +76,52 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = w.doc_id
 """
 
-ORACLES = {"op6_warc": OP6, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_near_duplicates": OP10}
+_V = vector_codes
+
+
+def _rounds(n: int) -> str:
+    """CTEs e0 .. en: (p, e, v) entries of the codebooks after each round, by all distances."""
+    out = [f"e0 AS (SELECT p, e, part AS v FROM (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS e FROM x) WHERE e < {_V.ENTRIES})"]
+    for k in range(n):
+        out.append(f"a{k} AS MATERIALIZED ({_nearest(k)})")
+        out.append(f"m{k} AS (SELECT p, e, i, floor(sum(part[i]) / count(*))::BIGINT AS c FROM (SELECT *, unnest(range(1, len(part) + 1)) AS i FROM a{k}) GROUP BY ALL)")
+        out.append(f"e{k + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(any_value(n.v), any_value(o.v)) AS v FROM e{k} o LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM m{k} GROUP BY ALL) n ON n.p = o.p AND n.e = o.e GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def _nearest(k: int) -> str:
+    return f"SELECT vec_id, label, p, part, b.e AS e, b.d AS d FROM (SELECT vec_id, label, x.p, part, min({{'d': list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - v[i]) * (part[i] - v[i]))), 'e': e}}) AS b FROM x JOIN e{k} USING (p) GROUP BY ALL)"
+
+
+OP11 = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * {_V.SCALE})::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {_V.PARTS}) + 1 : (p + 1) * (len(v) // {_V.PARTS})] AS part FROM (SELECT *, unnest(range(0, {_V.PARTS})) AS p FROM k)),
+{_rounds(_V.ROUNDS)},
+f AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM ({_nearest(_V.ROUNDS)}) GROUP BY vec_id),
+s AS (SELECT label, sum(error)::BIGINT AS label_error FROM f GROUP BY label),
+b AS (SELECT sha256(string_agg(v[i]::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM e{_V.ROUNDS}))
+SELECT f.vec_id, f.code, f.error, s.label_error, b.codebooks_sha256 FROM f JOIN s ON s.label IS NOT DISTINCT FROM f.label, b
+"""
+
+#: (backslashes and control strings count one more character; a run of turns of one role has one header)
+_ESCAPES = "(" + " + ".join(f"(length({{0}}) - length(replace({{0}}, '{s}', ''))) // {len(s)}" for s in ("\\", "[INST]", "[/INST]", "<s>", "</s>")) + ")"
+OP12 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) r(t))),
+r AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS goes_on FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(length(text) + {_ESCAPES.format('text')} + 7 + CASE WHEN goes_on THEN 0 ELSE 13 + length(role) + {_ESCAPES.format('role')} END)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, text, u, len(u) AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, (8 * i + 1)::BIGINT, 8))::BIGINT) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, n, form, text, array_to_string(u[1:low], '') AS a, array_to_string(u[low + 1:high], '') AS m, array_to_string(u[high + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op6_warc": OP6, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op10_near_duplicates": OP10, "op11_vector_codes": OP11, "op12_chat_format": OP12, "op13_infill": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, html_text, language, neardup, packing, quality, records, rules, urls, warc
+from . import chat, contamination, html_text, infill, language, neardup, packing, quality, records, rules, urls, vector_codes, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -69,8 +69,31 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents", "doc_id", "text"), words=2, num=80, den=100)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(spark, table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+#: A conversation that the query formats beside those of the table: its texts are control strings of other templates and of this one.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own = [F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    added = spark.range(1).select(F.inline(F.array(*own)))
+    return chat.digests(chat.format_chats(turns.unionByName(added)))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    every = (op1_url_filter, op2_token_records, op3_html_text, op4_language, op5_quality, op6_warc, op7_quality_rules, op8_packing, op9_decontamination, op10_near_duplicates)
+    every = (op1_url_filter, op2_token_records, op3_html_text, op4_language, op5_quality, op6_warc, op7_quality_rules, op8_packing, op9_decontamination, op10_near_duplicates, op11_vector_codes, op12_chat_format, op13_infill)
     return {f.__name__: f for f in every}
 
 
