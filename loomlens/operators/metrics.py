@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip
 from .order import running
-from .split import cell_draws
+
+
+def whole(weight: str | None = None) -> Column:
+    """Whether a row has a score, a label and a weight; others take no part in a metric."""
+    out = F.col("prob").isNotNull() & F.col("y").isNotNull()
+    return out if weight is None else out & F.col(weight).isNotNull()
 
 
 def auc(df: DataFrame, by: list[str], weight: str | None = None, buckets: int = 1024) -> DataFrame:
     """Weighted area under the ROC curve: pairs of a positive and a negative, ties
     half. Null where a slice has one class only."""
+    df = df.filter(whole(weight))
     w = F.lit(1.0) if weight is None else F.col(weight)
     sums = df.select(*by, "prob", F.when(F.col("y") == 1, w).otherwise(0.0).alias("_pos"), F.when(F.col("y") == 0, w).otherwise(0.0).alias("_neg"))
     cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, buckets)
@@ -35,6 +41,7 @@ def multiclass_auc(df: DataFrame, by: list[str], classes: dict, weight: str | No
 def specificity_at(df: DataFrame, by: list[str], sensitivity: float, weight: str | None = None, buckets: int = 1024) -> DataFrame:
     """1 - false positive rate at the highest threshold whose sensitivity reaches
     the target (all thresholds are looked at, none is merged)."""
+    df = df.filter(whole(weight))
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     sums = df.select(*by, "prob", F.when(F.col("y") == 1, w).otherwise(0).alias("_pos"), F.when(F.col("y") == 0, w).otherwise(0).alias("_neg"))
     cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, buckets, descending=True)
@@ -44,6 +51,7 @@ def specificity_at(df: DataFrame, by: list[str], sensitivity: float, weight: str
 
 
 def roc_points(df: DataFrame, by: list[str]) -> DataFrame:
+    df = df.filter(whole())
     sums = df.select(*by, "prob", (F.col("y") == 1).cast("long").alias("_pos"), (F.col("y") == 0).cast("long").alias("_neg"))
     cells = running(sums, by, "prob", {"pos": "_pos", "neg": "_neg"}, descending=True)
     return cells.select(*by, F.col("prob").alias("threshold"), F.try_divide(F.col("neg_before") + F.col("neg"), F.col("neg_total")).alias("fpr"), F.try_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total")).alias("tpr"))
@@ -52,26 +60,12 @@ def roc_points(df: DataFrame, by: list[str]) -> DataFrame:
 def accuracy(threshold: float = 0.5, weight: str | None = None) -> Column:
     w = F.lit(1.0) if weight is None else F.col(weight)
     right = (F.col("prob") > threshold).cast("int") == F.col("y")
-    return F.sum(F.when(right, w).otherwise(0.0)) / F.sum(w)
+    return F.sum(F.when(whole(weight) & right, w).when(whole(weight), 0.0)) / F.sum(F.when(whole(weight), w))
 
 
 def log_likelihood() -> Column:
     p = clip(F.col("prob"))
-    return F.sum(F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
-
-
-def bootstrap(df: DataFrame, by: list[str], metric, replicates: int, seed: int, weight: str | None = None, resolution: int = 1000) -> DataFrame:
-    """Per slice `by`: 2.5 and 97.5 % linear quantiles of `metric(rows, by, weight, buckets)`
-    over replicates; replicates with one class are rejected. One job for all slices
-    and replicates. Rows are counted once by score (to 1 / resolution) and label;
-    replicates then draw from at most 2 x (resolution + 1) cells a slice."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    bin_ = F.floor(F.col("prob") * resolution + 0.5).cast("long")
-    cells = df.groupBy(*by, bin_.alias("_bin"), "y", w.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = cell_draws(cells, [*by, "_bin", "y", *(["_w"] if weight else [])], "_n", replicates, seed)
-    rows = drawn.select(*by, "rep", "y", (F.col("_bin") / resolution).alias("prob"), (F.col("times") * F.col("_w")).alias("times"))
-    values = metric(rows, [*by, "rep"], "times", 0).toDF(*by, "rep", "value").filter("value is not null")
-    return values.groupBy(*by).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count(F.lit(1)).alias("n_replicates"))
+    return F.sum(F.when(F.col("prob").isNull(), None).when(F.col("y") == 1, F.ln(p)).when(F.col("y").isNotNull(), F.ln(1 - p)))
 
 
 def interval_text(value: Column, low: Column, high: Column) -> Column:
@@ -101,7 +95,9 @@ def with_slices(df: DataFrame, domain: str, control: str, cutoff: float) -> Data
 
 
 def metric_rows(df: DataFrame, by: list[str], sensitivity: float, weight: str | None = None) -> DataFrame:
-    """auc (weighted), specificity (unweighted), n_samples and positive_rate."""
-    clipped = df.withColumn("prob", clip(F.col("prob")))
-    base = clipped.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("y").alias("positive_rate"))
-    return base.join(auc(clipped, by, weight), by).join(specificity_at(clipped, by, sensitivity).drop("threshold"), by, "left")
+    """auc (weighted), specificity (unweighted), n_samples and positive_rate of the rows
+    that have a score, a label and a weight; n_left_out counts the others."""
+    ok = whole(weight)
+    clipped = df.filter(ok).withColumn("prob", clip(F.col("prob")))
+    base = df.groupBy(*by).agg(F.count_if(ok).alias("n_samples"), F.avg(F.when(ok, F.col("y"))).alias("positive_rate"), F.count_if(~ok).alias("n_left_out"))
+    return base.join(auc(clipped, by, weight), by, "left").join(specificity_at(clipped, by, sensitivity).drop("threshold"), by, "left")

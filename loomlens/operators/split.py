@@ -1,9 +1,7 @@
-"""Splits, folds and bootstrap draws by seeded hashes of keys."""
+"""Splits and folds by seeded hashes of keys."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,40 +47,6 @@ def global_split(df: DataFrame, key: str, test_share: float, seed: int) -> DataF
     return ranked.withColumn("partition", F.when(F.col("_rank") <= train, "train").otherwise("test")).drop("_order", "_rank", "_rank_of")
 
 
-def poisson_tables(most: int = 32) -> list[list[float]]:
-    """Row n: the distribution function of a Poisson variable of mean n, up to 1 - 1e-9."""
-    out = []
-    for n in range(most + 1):
-        p, k, total, row = math.exp(-n), 0, 0.0, []
-        while total < 1 - 1e-9:
-            total += p
-            row.append(round(total, 12))
-            k += 1
-            p *= n / k
-        out.append(row)
-    return out
-
-
-def cell_draws(cells: DataFrame, keys: list[str], n: str, replicates: int, seed: int) -> DataFrame:
-    """Bootstrap draws of counted cells: for each replicate, `times` is how often the
-    cell's n rows are drawn, a Poisson variable of mean n by a hash of (seed,
-    replicate, keys); over 32 rows its normal approximation. Work and rows follow
-    cells x replicates, whatever the number of rows that were counted."""
-    tables = cells.sparkSession.createDataFrame(list(enumerate(poisson_tables())), "_mean long, _cdf array<double>")
-    each = cells.join(F.broadcast(tables), F.col(n) == F.col("_mean"), "left")
-    # few cells, many replicates: blocks of replicates are dealt over tasks, then opened
-    blocks = min(replicates, 256)
-    tasks = max(1, min(blocks, 2 * cells.sparkSession.sparkContext.defaultParallelism))
-    each = each.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, "_block")
-    each = each.withColumn("rep", F.explode(F.sequence(F.col("_block"), F.lit(replicates - 1), F.lit(blocks)))).drop("_block")
-    each = each.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", *(F.col(k).cast("string") for k in keys)).cast("binary")))
-    u = [(F.conv(F.substring("_hash", i, 8), 16, 10).cast("long") + 0.5) / 4294967296.0 for i in (1, 9)]
-    normal = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
-    large = F.greatest(F.floor(F.col(n) + F.sqrt(F.col(n).cast("double")) * normal + 0.5), F.lit(0))
-    times = F.when(F.col("_cdf").isNull(), large).otherwise(F.size(F.filter("_cdf", lambda c: c <= u[0])))
-    return each.withColumn("times", times.cast("long")).drop("_cdf", "_mean", "_hash").filter("times > 0")
-
-
 def first_owner(rows: DataFrame, concept: Column, order: list[str]) -> DataFrame:
     """The first row of each concept in the given order (min over a struct: the sum
     is combined map-side, no window)."""

@@ -1,5 +1,5 @@
 """Evaluation of predictions: slices, intervals, prevalences. The scored rows are
-kept once (memory or disk) and serve every slice; slices are group keys, so nothing is
+written once to the shared folder and serve every slice; slices are group keys, so nothing is
 annotated again and no job runs for a slice of its own."""
 
 from __future__ import annotations
@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotate, metrics
+from ..operators import annotate, metrics, resample
+from ..shared import Shelf
 from ..sources.tables import without_overlap
 
 
@@ -26,12 +27,12 @@ def evaluate(rows: DataFrame, sensitivity: float = 0.98, domain: str | None = No
     if age and cutoff is not None:
         labels.append(F.when(F.col(age) < cutoff, F.lit(f"age_below_{cutoff:g}")).otherwise(F.lit(f"age_above_{cutoff:g}")))
     columns = [key, "y", "prob", *([weight] if weight else [])]
-    sliced = rows.withColumn("domain_slice", F.explode(F.array(*labels))).select("domain_slice", *dict.fromkeys(columns)).persist()
+    sliced = rows.withColumn("domain_slice", F.explode(F.array(*labels))).select("domain_slice", *dict.fromkeys(columns))
+    sliced = Shelf(rows.sparkSession, "evaluate").keep(sliced, "sliced")
     by = ["domain_slice"]
     out = metrics.metric_rows(sliced, by, sensitivity, weight)
-    a = metrics.bootstrap(sliced, by, metrics.auc, replicates, seed, weight).select(*by, F.col("low").alias("auc_low"), F.col("high").alias("auc_high"))
-    spec = lambda d, keys, times, buckets: metrics.specificity_at(d, keys, sensitivity, times, buckets).select(*keys, "specificity")
-    s = metrics.bootstrap(sliced, by, spec, replicates, seed).select(*by, F.col("low").alias("spec_low"), F.col("high").alias("spec_high"))
+    a = resample.bootstrap(sliced, by, replicates, seed, weight, key=key).select(*by, F.col("low").alias("auc_low"), F.col("high").alias("auc_high"))
+    s = resample.bootstrap(sliced.filter(metrics.whole(weight)), by, replicates, seed, sensitivity=sensitivity, key=key).select(*by, F.col("low").alias("spec_low"), F.col("high").alias("spec_high"))
     joined = out.join(a, by, "left").join(s, by, "left")
     return joined.withColumns({"auc_str": metrics.interval_text(F.col("auc"), F.col("auc_low"), F.col("auc_high")), "specificity_str": metrics.interval_text(F.col("specificity"), F.col("spec_low"), F.col("spec_high"))})
 

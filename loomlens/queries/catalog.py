@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import responses
 from ..functions import text as T
-from ..operators import annotate, cluster, context, ensemble, linear, metrics, residual, select, split, viewer
+from ..operators import annotate, cluster, context, ensemble, linear, metrics, resample, residual, select, split, viewer
 from ..operators.order import seeded_key
-from ..operators.split import poisson_tables
+from ..shared import Shelf
 from ..sources import tables
 from . import setting as S
 
@@ -284,17 +284,23 @@ def q26_specificity_at_sensitivity(spark, sf_dir):
     return metrics.specificity_at(scored(spark, sf_dir), [], S.SENSITIVITY).select(r6(F.col("specificity")).alias("specificity"), "threshold")
 
 
-def boot_sql(resolution: int = 1000) -> str:
-    cdf = ", ".join(f"({n}, {row})" for n, row in enumerate(poisson_tables()))
-    return f"""WITH k AS MATERIALIZED (SELECT floor(prob * {resolution} + 0.5)::BIGINT AS bin, y, count(*) AS n FROM {S.SCORED_SQL} GROUP BY ALL),
-t AS (SELECT * FROM (VALUES {cdf}) t(mean, cdf)),
-h AS (SELECT k.*, cdf, rep, md5('{S.SEED}:' || rep || ':' || bin || ':' || y) AS h FROM k LEFT JOIN t ON k.n = t.mean, range(0, {S.REPLICATES}) r(rep)),
-u AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1, (('0x' || substr(h, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2 FROM h),
-d AS MATERIALIZED (SELECT rep, bin, y, CASE WHEN cdf IS NULL THEN greatest(floor(n + sqrt(n::DOUBLE) * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) + 0.5), 0) ELSE len(list_filter(cdf, lambda c: c <= u1)) END AS times FROM u),
-c AS (SELECT rep, bin, sum(CASE WHEN y = 1 THEN times ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN times ELSE 0 END)::DOUBLE AS n FROM d GROUP BY ALL),
-w AS (SELECT rep, p, n, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
-v AS (SELECT rep, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM w GROUP BY rep)
-SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS n_replicates FROM v"""
+def boot_sql(by: str, weight: str, value: str) -> str:
+    """Replicates of cells of equal (slice, score, label, weight), drawn by the smallest key's hash; value: a query over d."""
+    mul, step, low = resample.MULTIPLIER, resample.STEP, resample.LOW
+    half = f"((xor(h >> 16, h) * {mul}) & {low})"
+    mixing = lambda name, source: f"{name}1 AS (SELECT * REPLACE ({half} AS h) FROM {source}), {name}2 AS (SELECT * REPLACE ({half} AS h) FROM {name}1), {name} AS MATERIALIZED (SELECT * REPLACE (xor(h >> 16, h) AS h) FROM {name}2)"
+    tables = ", ".join(f"({n}, {list(resample.limits(n))})" for n in range(1, resample.TABLED + 1))
+    return f"""WITH k AS (SELECT {by} AS slice, prob, y, {weight}::DOUBLE AS w, count(*) AS n, md5('{S.SEED}:' || min(obs_id)) AS m FROM {S.SCORED_SQL} GROUP BY ALL),
+r AS (SELECT slice, prob, y, w, n, rep, ('0x' || substr(m, 1, 8))::BIGINT AS a, xor(('0x' || substr(m, 9, 8))::BIGINT, (rep * {step}) & {low}) AS h FROM k, range(0, {S.REPLICATES}) r(rep)),
+{mixing('x', 'r')}, o AS (SELECT * REPLACE (xor(h, a) AS h) FROM x), {mixing('z', 'o')},
+t AS (SELECT * FROM (VALUES {tables}) t(n, limits)),
+d AS MATERIALIZED (SELECT slice, rep, prob, sum(CASE WHEN y = 1 THEN w * times ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN w * times ELSE 0 END)::DOUBLE AS n FROM (SELECT z.*, len(list_filter(limits, lambda c: c <= h)) AS times FROM z JOIN t USING (n)) GROUP BY ALL),
+v AS ({value})
+SELECT slice, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS n_replicates FROM v GROUP BY slice"""
+
+
+AREA_VALUE = "SELECT slice, rep, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS value FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY slice, rep ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) GROUP BY slice, rep"
+SPEC_VALUE = f"SELECT slice, rep, max_by(1 - fpr, prob) AS value FROM (SELECT slice, rep, prob, sum(p) OVER (PARTITION BY slice, rep ORDER BY prob DESC) / nullif(sum(p) OVER (PARTITION BY slice, rep), 0) AS tpr, sum(n) OVER (PARTITION BY slice, rep ORDER BY prob DESC) / nullif(sum(n) OVER (PARTITION BY slice, rep), 0) AS fpr FROM d) WHERE tpr >= {S.SENSITIVITY}::DOUBLE AND fpr IS NOT NULL GROUP BY slice, rep"
 
 
 FLAGS = {"A": "least(1.0, l_discount * 10)", "N": "least(1.0, l_tax * 12)", "R": "l_quantity / 50"}
@@ -310,10 +316,28 @@ def q44_multiclass_auc(spark, sf_dir):
     return metrics.multiclass_auc(rows, ["slice"], {c: f"p{c}" for c in FLAGS}, "w").select("slice", r6(F.col("auc")).alias("auc"))
 
 
-@query(boot_sql())
+def intervals(out):
+    return out.select("slice", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "n_replicates")
+
+
+@query(f"SELECT b.*, round(p.auc, 6) AS auc FROM ({boot_sql(repr('all'), '1', AREA_VALUE)}) b, {auc_sql(S.SCORED_SQL, '', '1')} p")
 def q27_bootstrap_ci(spark, sf_dir):
-    out = metrics.bootstrap(scored(spark, sf_dir), [], metrics.auc, S.REPLICATES, S.SEED)
-    return out.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "n_replicates")
+    """The area with its interval, from exact scores."""
+    rows = Shelf(spark, "q27").keep(scored(spark, sf_dir).withColumn("slice", F.lit("all")), "scored")
+    found = intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED))
+    return found.join(metrics.auc(rows, ["slice"]).withColumn("auc", r6(F.col("auc"))), "slice")
+
+
+@query(boot_sql("domain", "sample_weight", AREA_VALUE))
+def q61_weighted_area_ci(spark, sf_dir):
+    rows = Shelf(spark, "q61").keep(scored(spark, sf_dir).withColumn("slice", F.col("domain")), "scored")
+    return intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED, "sample_weight"))
+
+
+@query(boot_sql("domain", "1", SPEC_VALUE))
+def q62_specificity_ci(spark, sf_dir):
+    rows = Shelf(spark, "q62").keep(scored(spark, sf_dir).withColumn("slice", F.col("domain")), "scored")
+    return intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED, sensitivity=S.SENSITIVITY))
 
 
 @query(f"SELECT round(avg(((prob > 0.5)::INT = y)::INT), 6) AS accuracy, round(sum(sample_weight * ((prob > 0.5)::INT = y)::INT) / sum(sample_weight), 6) AS weighted_accuracy, round(sum(CASE WHEN y = 1 THEN ln(prob) ELSE ln(1 - prob) END), 4) AS log_lik FROM {S.SCORED_SQL}")
