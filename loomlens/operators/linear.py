@@ -151,11 +151,11 @@ def fit_grid(x: np.ndarray, y: np.ndarray, w: np.ndarray, fold: np.ndarray, pena
     return beta, b, chosen
 
 
-def fit_sparse(x: np.ndarray, y: np.ndarray, w: np.ndarray, most: int, path: np.ndarray = C_PATH) -> tuple[np.ndarray, float, float]:
-    """The first (largest) C on the path whose L1 fit has at most `most` features."""
+def fit_sparse(x: np.ndarray, y: np.ndarray, w: np.ndarray, most: int, path: np.ndarray = C_PATH, counted: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+    """The first (largest) C on the path whose L1 fit has at most `most` features (of the counted ones)."""
     for c in path:
         beta, b = lasso(x, y, w, c)
-        if (beta != 0).sum() <= most:
+        if ((beta != 0) & (True if counted is None else counted)).sum() <= most:
             return beta, b, float(c)
     raise ValueError(f"no fit with at most {most} features")
 
