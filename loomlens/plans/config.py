@@ -46,7 +46,7 @@ class DataConfig:
 
 @dataclass
 class TrainingConfig:
-    num_epochs: int = 2
+    num_epochs: int | None = None  # None: num_greedy_epochs
     num_greedy_epochs: int = 2
     batch_concept_size: int = 20
     train_frac: float = 0.5
@@ -55,6 +55,10 @@ class TrainingConfig:
     cv: int = 5
     do_coef_check: bool = False
 
+    @property
+    def epochs(self) -> int:
+        return self.num_greedy_epochs if self.num_epochs is None else self.num_epochs
+
 
 @dataclass
 class ConceptConfig:

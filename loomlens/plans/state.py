@@ -23,6 +23,9 @@ class State:
     max_meta_concepts: int = 20
     num_greedy_holdout: int = 1
     tables: dict[str, str] = field(default_factory=dict)
+    answers: list[str] = field(default_factory=list)  # parts of the answers, appended and never rewritten
+    seen: list[str] = field(default_factory=list)  # parts of (obs_id, text_key): the texts that were answered
+    scaler: str | None = None
 
     def validate(self) -> "State":
         if self.phase != Phase.COMPLETE:
@@ -40,7 +43,7 @@ class State:
             raise ValueError("the checkpoint has other seeds")
         if config.concept.max_meta_concepts != self.max_meta_concepts:
             raise ValueError("the checkpoint has another max_meta_concepts")
-        return ["num_epochs differs"] if config.training.num_greedy_epochs != self.num_epochs else []
+        return [f"the checkpoint has {self.num_epochs} epochs, the settings {config.training.epochs}"] if config.training.epochs != self.num_epochs else []
 
     def dump(self) -> str:
         return json.dumps(asdict(self) | {"phase": self.phase.value})
