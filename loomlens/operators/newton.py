@@ -19,19 +19,24 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import linear, metrics
+from .resample import draws
 
 FREE = 1e-8  # ridge of fits without penalty, as in the fits on patterns
 
 
 @dataclass(frozen=True)
 class Problem:
-    """Rows of `group` with fold > 0 other than `fold` are trained on (fold 0: all of them)."""
+    """Rows of `group` with fold > 0 other than `fold` are trained on (fold 0: all of them).
+    With `flat` the intercept is penalised as the others are (l2). With a replicate, a row
+    weighs as often as it is drawn there (`resample.draws`); rows then have numbers a and b."""
 
     group: int
     columns: tuple[int, ...]
     penalty: str | None
     c: float = 1.0
     fold: int = 0
+    flat: bool = False
+    replicate: int | None = None
 
     def __post_init__(self):
         if self.penalty not in (None, "l2", "l1", "l1_sklearn"):
@@ -50,10 +55,10 @@ class Problem:
         return {None: FREE, "l2": 1.0}.get(self.penalty, 0.0)
 
 
-def table(df: DataFrame, features: list[str], group: str | None = None) -> DataFrame:
+def table(df: DataFrame, features: list[str], group: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """group, fold (0: not trained on), y, w and the features as one array; null features are 0."""
     x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features)).cast("array<double>")
-    return df.select((F.col(group) if group else F.lit(0)).cast("int").alias("group"), F.col("fold").cast("int").alias("fold"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), x.alias("x"))
+    return df.select((F.col(group) if group else F.lit(0)).cast("int").alias("group"), F.col("fold").cast("int").alias("fold"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), x.alias("x"), *keep)
 
 
 def _designs(frame: pd.DataFrame, by_columns: dict) -> list:
@@ -64,7 +69,8 @@ def _designs(frame: pd.DataFrame, by_columns: dict) -> list:
         if wanted:
             x = np.stack(own["x"].to_numpy())
             y, w, fold = (own[c].to_numpy() for c in ("y", "w", "fold"))
-            out += [(ids, np.hstack([x[:, list(columns)], np.ones((len(x), 1))]), y, w, fold) for columns, ids in wanted.items()]
+            numbers = tuple(own[c].to_numpy() for c in ("a", "b")) if "a" in own else None
+            out += [(ids, np.hstack([x[:, list(columns)], np.ones((len(x), 1))]), y, w, fold, numbers) for columns, ids in wanted.items()]
     return out
 
 
@@ -78,14 +84,16 @@ def _by_columns(problems: list[Problem], which) -> dict:
 def _sums(rows: DataFrame, problems: list[Problem], theta: list[np.ndarray], which: list[int]) -> dict[int, np.ndarray]:
     """For each of the problems (loss, gradient, Hessian) at its coefficients, flat."""
     wanted, at = _by_columns(problems, which), {i: theta[i] for i in which}
-    folds = {i: problems[i].fold for i in which}
+    folds, reps = {i: problems[i].fold for i in which}, {i: problems[i].replicate for i in which}
 
     def run(frames):
         total: dict[int, np.ndarray] = {}
         for frame in frames:
-            for ids, a, y, w, fold in _designs(frame, wanted):
+            for ids, a, y, w, fold, numbers in _designs(frame, wanted):
                 z = a @ np.stack([at[i] for i in ids], 1)
                 weight = w[:, None] * ((fold[:, None] > 0) & (fold[:, None] != np.array([folds[i] for i in ids])))
+                if numbers is not None:
+                    weight = weight * draws(*numbers, np.ones(len(y), int), np.array([reps[i] for i in ids]))
                 p = linear.sigmoid(z)
                 loss = (weight * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
                 slope, curve = a.T @ (weight * (p - y[:, None])), weight * p * (1 - p)
@@ -136,9 +144,9 @@ def fit_all(rows: DataFrame, problems: list[Problem], steps: int = 60, tolerance
                 open_.discard(i)
                 continue
             p, size = problems[i], len(trial[i])
-            weights = np.array([1.0] * (size - 1) + [0.0])
+            weights = np.array([1.0] * (size - 1) + [float(p.flat)])
             loss, gradient, hessian = p.scale * got[i][0], p.scale * got[i][1 : size + 1], p.scale * got[i][size + 1 :].reshape(size, size)
-            penalty = np.abs(trial[i][:-1]).sum() if p.absolute else 0.5 * p.ridge * (trial[i][:-1] ** 2).sum()
+            penalty = np.abs(trial[i][:-1]).sum() if p.absolute else 0.5 * p.ridge * (weights * trial[i] ** 2).sum()
             value = loss + penalty
             if value > best[i] + 1e-12 * (1 + abs(best[i])):
                 scale[i] /= 2
@@ -165,7 +173,7 @@ def scores(rows: DataFrame, problems: list[Problem], fits: list[tuple[np.ndarray
 
     def run(frames):
         for frame in frames:
-            for ids, a, y, w, fold in _designs(frame, wanted):
+            for ids, a, y, w, fold, _ in _designs(frame, wanted):
                 for i in ids:
                     own = fold == folds[i] if held_out else np.ones(len(y), bool)
                     if own.any():

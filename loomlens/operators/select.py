@@ -94,22 +94,11 @@ def score_candidates(matrix: DataFrame, kept: dict[int, list[str]], candidates:
     compressed per (seed, candidate) before they are grouped, so a group holds
     answer patterns, not notes. If a group had more than MOST_PATTERNS of them, all
     fits add up gradients and Hessians over the rows."""
-    spark, parts = matrix.sparkSession, []
-    most = max(len(v) for v in kept.values())
-    for seed, pool in candidates.items():
-        own = matrix.filter(F.col("seed") == seed)
-        base = [F.col(c).cast("double") for c in kept[seed]]
-        padded = F.array(*base, *([F.lit(0.0)] * (most - len(base)))).cast("array<double>")
-        options = F.array(*(F.struct(F.lit(c).alias("candidate"), F.col(c).cast("double").alias("value")) for c in pool))
-        rows = own.select("seed", "part", "fold", "y", "sample_weight", padded.alias("base"), F.inline(options))
-        parts.append(rows.groupBy("seed", "candidate", "part", "fold", "y", "base", "value").agg(F.sum("sample_weight").alias("w")))
-    if not parts:
+    spark = matrix.sparkSession
+    patterns = candidate_patterns(matrix, kept, candidates, ["part", "fold"])
+    if patterns is None:
         return spark.createDataFrame([], "seed int, candidate string, score double, coef double")
-    patterns = parts[0]
-    for p in parts[1:]:
-        patterns = patterns.unionByName(p)
-    patterns = Shelf(spark, "candidates").keep(patterns, "patterns")
-    if patterns.groupBy("seed", "candidate").count().agg(F.max("count")).first()[0] > MOST_PATTERNS:
+    if too_many(patterns):
         return _scored_by_rows(matrix, kept, candidates, risk, penalty, use_accuracy, check_sign)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +116,32 @@ def score_candidates(matrix: DataFrame, kept: dict[int, list[str]], candidates:
     return patterns.groupBy("seed", "candidate").applyInPandas(run, "seed int, candidate string, score double, coef double")
 
 
+def candidate_patterns(matrix: DataFrame, kept: dict[int, list[str]], candidates: dict[int, list[str]], by: list[str]) -> DataFrame | None:
+    """(seed, candidate, *by, y, base, value, w): counted patterns of [kept, candidate] for
+    every candidate of every seed, written; None without candidates."""
+    parts, most = [], max((len(v) for v in kept.values()), default=0)
+    for seed, pool in candidates.items():
+        if not pool:
+            continue
+        own = matrix.filter(F.col("seed") == seed)
+        base = [F.col(c).cast("double") for c in kept[seed]]
+        padded = F.array(*base, *([F.lit(0.0)] * (most - len(base)))).cast("array<double>")
+        options = F.array(*(F.struct(F.lit(c).alias("candidate"), F.col(c).cast("double").alias("value")) for c in pool))
+        rows = own.select("seed", *by, "y", "sample_weight", padded.alias("base"), F.inline(options))
+        parts.append(rows.groupBy("seed", "candidate", *by, "y", "base", "value").agg(F.sum("sample_weight").alias("w")))
+    if not parts:
+        return None
+    patterns = parts[0]
+    for p in parts[1:]:
+        patterns = patterns.unionByName(p)
+    return Shelf(matrix.sparkSession, "candidates").keep(patterns, "patterns")
+
+
+def too_many(patterns: DataFrame) -> bool:
+    """Whether a candidate has more patterns than one task should take."""
+    return (patterns.groupBy("seed", "candidate").count().agg(F.max("count")).first()[0] or 0) > MOST_PATTERNS
+
+
 def _scored_by_rows(matrix: DataFrame, kept: dict[int, list[str]], candidates: dict[int, list[str]], risk: dict[str, bool | None], penalty: str | None, use_accuracy: bool, check_sign: bool) -> DataFrame:
     names = sorted({n for v in (*kept.values(), *candidates.values()) for n in v})
     at = {n: i for i, n in enumerate(names)}

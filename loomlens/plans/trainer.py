@@ -274,10 +274,13 @@ class Trainer:
 
     # ---- checkpoints
 
-    def _save(self) -> None:
+    def _tables(self) -> dict[str, DataFrame]:
         rows = [(n, c["concept_id"], c["pattern"], list(c.get("words") or []), c.get("is_risk_factor"), c.get("prior")) for n, c in self.concepts.items()]
         concepts = self.spark.createDataFrame(rows, "concept string, concept_id int, pattern string, words array<string>, is_risk_factor boolean, prior double")
-        self.checkpoints.save(self.state, self.config, self.history.tables(self.spark) | {"concepts": concepts})
+        return self.history.tables(self.spark) | {"concepts": concepts}
+
+    def _save(self) -> None:
+        self.checkpoints.save(self.state, self.config, self._tables())
 
     def _restore(self, state: State, config: EnsembleConfig, tables: dict[str, DataFrame]) -> None:
         for message in state.compatible(self.config):
