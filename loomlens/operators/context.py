@@ -108,16 +108,32 @@ def nearest(items: DataFrame, queries: DataFrame | list[tuple[int, list[float]]]
                 q, i, s = best_of_block(unit_rows(data.as_py(), dim), ids, codes, unit_rows(q_data.as_py(), dim), k, least)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[i]), pa.array(s), near.values.take(pa.array(i))], names=["query_id", item, "similarity", "_near"])
 
-    hits = pairs.mapInArrow(run, f"query_id long, `{item}` long, similarity double, _near string")
-    if near_key:
+    return ranked(pairs.mapInArrow(run, f"query_id long, `{item}` long, similarity double, _near string"), k, item, near_key is not None)
+
+
+def ranked(hits: DataFrame, k: int, item: str, near: bool) -> DataFrame:
+    """(query_id, rank, item, similarity) of the k best hits of each query; of hits
+    with one _near the best. At most k rows of each of 64 parts are gathered for a query."""
+    if near:
         best = F.max_by(F.struct(item, "similarity"), F.struct("similarity", -F.col(item))).alias("_b")
         hits = hits.groupBy("query_id", "_near").agg(best).select("query_id", "_b.*")
     top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("_m"), F.col(item).alias(item)))), 1, k)
-    # at most k rows of each of 64 parts are gathered for a query
     local = Window.partitionBy("query_id", F.pmod(F.hash(item), F.lit(64))).orderBy(F.col("similarity").desc(), item)
     few = hits.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
-    ranked = few.groupBy("query_id").agg(top.alias("_top")).select("query_id", F.posexplode("_top").alias("_p", "_t"))
-    return ranked.select("query_id", (F.col("_p") + 1).cast("long").alias("rank"), F.col(f"_t.{item}").alias(item), (-F.col("_t._m")).alias("similarity"))
+    found = few.groupBy("query_id").agg(top.alias("_top")).select("query_id", F.posexplode("_top").alias("_p", "_t"))
+    return found.select("query_id", (F.col("_p") + 1).cast("long").alias("rank"), F.col(f"_t.{item}").alias(item), (-F.col("_t._m")).alias("similarity"))
+
+
+PARTS = 64  # parts of a phrase's hits of which the first ones are taken before they meet
+
+
+def first_of(hits: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """(by, found): the first k hits of each `by`, as an array of (order, rest) structs. A phrase may be
+    in nearly every note: a part of its hits keeps k before they meet in one task."""
+    local = Window.partitionBy(by, F.pmod(F.hash(*order), F.lit(PARTS))).orderBy(*order)
+    few = hits.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
+    rest = [c for c in hits.columns if c not in (by, *order)]
+    return few.groupBy(by).agg(F.slice(F.sort_array(F.collect_list(F.struct(*order, *rest))), 1, k).alias("found"))
 
 
 def lookup(notes: DataFrame, phrases: list[str], text: str = "text", key: str = "obs_id", most: int = 2, regex: bool = False) -> DataFrame:
@@ -128,8 +144,7 @@ def lookup(notes: DataFrame, phrases: list[str], text: str = "text", key: str =
     hits = [F.struct(F.lit(p).alias("phrase"), (F.regexp_like(low, F.lit(p.lower())) if regex else low.contains(p.lower())).alias("hit")) for p in phrases]
     found = rows.select(key, "position", "sentence", F.inline(F.array(*hits))).filter("hit")
     first = found.groupBy("phrase", key).agg(F.min_by("sentence", "position").alias("sentence"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct(key, "sentence"))), 1, most)
-    return first.groupBy("phrase").agg(top.alias("_top")).select("phrase", F.inline("_top"))
+    return first_of(first, "phrase", [key], most).select("phrase", F.inline("found"))
 
 
 def contexts(phrases: DataFrame, evidence: DataFrame, exact: DataFrame, similar: DataFrame, quota: int) -> DataFrame:
@@ -137,9 +152,8 @@ def contexts(phrases: DataFrame, evidence: DataFrame, exact: DataFrame, similar:
     quota, and a tag: evidence or exact (the quota is full by then), semantic (its
     hits added some), partial (some, none semantic), none.
     Each source: (phrase, obs_id, context)."""
-    ranked = evidence.withColumn("source", F.lit(1)).unionByName(exact.withColumn("source", F.lit(2))).unionByName(similar.withColumn("source", F.lit(3)))
-    top = F.slice(F.sort_array(F.collect_list(F.struct("source", "obs_id", "context"))), 1, quota)
-    best = ranked.groupBy("phrase").agg(top.alias("found"))
+    every = evidence.withColumn("source", F.lit(1)).unionByName(exact.withColumn("source", F.lit(2))).unionByName(similar.withColumn("source", F.lit(3)))
+    best = first_of(every, "phrase", ["source", "obs_id", "context"], quota)
     out = phrases.select("phrase").join(best, "phrase", "left")
     count = lambda s: F.size(F.filter("found", lambda f: f["source"] <= s))
     tag = F.when(F.col("found").isNull(), "none").when(count(1) >= quota, "evidence").when(count(2) >= quota, "exact").when(count(3) > count(2), "semantic").otherwise("partial")

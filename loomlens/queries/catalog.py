@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import responses
 from ..functions import text as T
-from ..operators import annotate, cluster, context, ensemble, linear, metrics, resample, residual, select, split, viewer
+from ..operators import annotate, cluster, context, ensemble, linear, metrics, resample, residual, select, split, vector_index, viewer
 from ..operators.order import seeded_key
 from ..shared import Shelf
 from ..sources import tables
@@ -401,6 +401,15 @@ def q35_similar_vectors(spark, sf_dir):
     return context.nearest(items, stated).withColumn("similarity", F.round("similarity", 5))
 
 
+@query()
+def x06_index_search(spark, sf_dir):
+    """q35 through an inverted file; recall is measured against the exact search."""
+    items = S.load(spark, sf_dir, "embeddings")
+    stated = items.filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found, share, _ = vector_index.nearest(items, stated)
+    return found.withColumn("similarity", F.round("similarity", 5)).withColumn("recall", F.lit(share))
+
+
 LOOKUPS = ["stupid", "licensed under", "the"]
 
 
