@@ -154,9 +154,11 @@ def fit_residual(df: DataFrame, concepts: list[str], phrases: str, label: str =
     stratified folds over the grid, or as given."""
     own = [*concepts, *(controls or [])]
     rows = df.select(F.col(key).alias("obs_id"), F.col(label).alias("y"), (F.col(weight) if weight else F.lit(1.0)).alias("sample_weight"), F.col(phrases).alias("_phrases"), *own).filter("y is not null")
+    rows = Shelf(df.sparkSession, "residual-rows").keep(rows, "rows")  # what made them runs once
     if c is None and penalty:
         smallest = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
-        rows = folds_of(rows, "obs_id", "y", fold_count(smallest, folds), "residual")
+        cut = folds_of(rows.select("obs_id", "y"), "obs_id", "y", fold_count(smallest, folds), "residual")
+        rows = rows.join(cut.select("obs_id", "fold").dropDuplicates(["obs_id"]), "obs_id")
     else:
         rows = rows.withColumn("fold", F.lit(1))
     side = Side(tuple(concepts), tuple(controls or ()), tuple(synonyms or ()))

@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from ..shared import Shelf
 from ..shipping import ship
 
-ROW_BLOCK = 20_000
+ROW_BLOCK = 10_000
 STATE_BYTES = 64 << 20  # of a block of features, over all problems
+CHUNK = 1 << 20  # products that a task holds at a time
 PAIRS = 4
 FAN = 64  # blocks of rows whose gradients are added up by one task
 FIRST_STEP = 0.25
@@ -207,8 +208,13 @@ class Part:
     def _sums(self, side: int, values: np.ndarray, size: int, square: bool = False) -> np.ndarray:
         out = np.zeros((size, values.shape[1]))
         at, starts, other, x = self.by[side]
-        if len(at):
-            out[at] = np.add.reduceat((x * x if square else x)[:, None] * values[other], starts, axis=0)
+        bounds, i = np.append(starts, len(x)), 0
+        while i < len(at):  # at most CHUNK products at a time, or those of one row or column
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK // values.shape[1], "right")) - 1)
+            a, b = bounds[i], bounds[j]
+            own = x[a:b]
+            out[at[i:j]] = np.add.reduceat((own * own if square else own)[:, None] * values[other[a:b]], bounds[i:j] - a, axis=0)
+            i = j
         return out
 
     def margins(self, beta: np.ndarray, rows: int) -> np.ndarray:

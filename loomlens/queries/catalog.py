@@ -36,17 +36,16 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the labelled notes; unlabelled texts are dropped before annotation."""
-    notes = S.notes(spark, sf_dir)
-    answers = annotate.annotate_notes(notes.select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION, one_row=True)
-    return ensemble.scores(answers, *S.history(spark))
+    """Scores of the labelled notes. Texts are answered where they are read: answers, not texts, meet the labels."""
+    answers = annotate.annotate_notes(S.documents(spark, sf_dir).select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION, one_row=True)
+    return ensemble.scores(answers.join(S.labels(spark, sf_dir).select("obs_id"), "obs_id", "left_semi"), *S.history(spark))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = labelled_scores(spark, sf_dir).groupBy("obs_id").agg(F.avg("prob").alias("_p"))
     spread = F.least(F.lit(0.999), F.col("_p") + F.least(F.col("control"), F.lit(50000)) / 1000000.0)
-    notes = S.notes(spark, sf_dir).select("obs_id", "y", "sample_weight", "domain", "control")
-    return means.join(notes, "obs_id").withColumn("prob", r6(spread)).drop("_p")
+    about = S.documents(spark, sf_dir).select("obs_id", "domain", "control").join(S.labels(spark, sf_dir), "obs_id")
+    return means.join(about, "obs_id").withColumn("prob", r6(spread)).drop("_p")
 
 
 # ---- sections and annotations
