@@ -15,8 +15,10 @@ lines are.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are
 closed as browsers do for blocks; marked sections that the parser does not know are
-skipped up to `>`; an article or main element ends boilerplate that
-was left open; repeated rows are each extracted; an empty table gives an empty
+skipped up to `>`, a comment that is not closed runs to the end; an article or main
+element ends boilerplate that is never closed, and is a part of boilerplate that is; an
+article whose class names a reader's comment or an advert is none; time is in
+proportion to the page's length; repeated rows are each extracted; an empty table gives an empty
 result; null ids are kept; other columns are not read.
 
 Plan: one narrow pass, no exchange; a worker holds one slice of pages, bounded by
@@ -26,6 +28,7 @@ bytes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -58,6 +61,8 @@ P_ENDS = BLOCK - {"br", "body", "html", "head", "option", "tbody", "td", "tfoot"
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_STOPS = set("ul ol menu dl table".split())
 MAIN = {"main": 1, "article": 2}
+#: Words behind the first one in class names of single comments and adverts.
+PIECES = set("body box card content entry item list post reply text thread".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -65,6 +70,8 @@ def boilerplate(tag: str, attrs: dict[str, str | None]) -> int:
     """1: boilerplate; 2: suspect by a class of several words; 0: neither."""
     if tag in DROPPED or (attrs.get("role") or "").lower() in DROPPED_ROLES or "hidden" in attrs:
         return 1
+    if tag == "article":  # often with classes about its page (`comments-open`)
+        return int(any(_names_piece([w.lower() for w in _WORD.findall(t)]) for t in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()))
     if tag in MAIN or tag in ("body", "html"):
         return 0
     suspect = 0
@@ -79,6 +86,14 @@ def boilerplate(tag: str, attrs: dict[str, str | None]) -> int:
     return suspect
 
 
+def _names_piece(words: list[str]) -> bool:
+    """Whether a class name is that of one comment, advert and the like."""
+    if not words or words[0] in NOT_ITSELF:
+        return False
+    behind = all(w in PIECES or w.isdigit() for w in words[1:])
+    return words[-1].startswith(NEVER_CONTENT) or (words[0].startswith(NEVER_CONTENT) and behind)
+
+
 class Line(NamedTuple):
     text: str
     tags: int
@@ -88,15 +103,67 @@ class Line(NamedTuple):
     suspect: int = 0  # number of the innermost suspect block it lies in
 
 
-TOP = ("", False, 0, 0, False, 0)
+class Open(NamedTuple):
+    """An element on the stack, with what its content inherits."""
+
+    tag: str = ""
+    dropped: int = -1  # position of the outermost boilerplate element around it
+    region: int = 0
+    main: int = 0  # within main (1) or an article (2)
+    link: bool = False
+    suspect: int = 0
+    paragraph: int = -1  # position of the paragraph that the next block would end
+
+
+TOP = Open()
+_COMMENT_END = re.compile(r"--!?>")
+
 
+class Comments(HTMLParser):
+    """A comment runs to its end, or to that of the page; it is read once."""
 
-class Lines(HTMLParser):
-    """Events to lines: texts, tags, region of each line, and where it lies."""
+    def parse_comment(self, i, report=True):
+        raw = self.rawdata
+        if raw.startswith(("<!-->", "<!--->"), i):
+            return raw.index(">", i) + 1
+        end = _COMMENT_END.search(raw, i + 4)
+        return end.end() if end else len(raw)
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind is a bogus comment up to `>`
+            return self.parse_bogus_comment(i)
+
+
+class Ends(Comments):
+    """How many start and end tags of each name a page has."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int, bool, int]] = []  # tag, dropped, region, within main (1) or an article (2), within a link, suspect
+        self.starts, self.ends = Counter(), Counter()
+
+    def handle_starttag(self, tag, attrs):
+        self.starts[tag] += 1
+
+    def handle_endtag(self, tag):
+        self.ends[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in BLOCK:
+            self.starts[tag] += 1
+
+
+class Lines(Comments):
+    """Events to lines: texts, tags, region of each line, and where it lies. Only
+    elements that matter to their content are put on the stack; each step looks at
+    elements that it takes off, or at one, so that the time is linear."""
+
+    def __init__(self, ends: Ends | None = None):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[Open] = []
+        self.count: Counter = Counter()  # of open elements by name
+        self.starts, self.ends = (ends.starts, ends.ends) if ends else (Counter(), Counter())  # still to come
         self.suspects = [0]  # of each suspect block, the one around it
         self.lines: list[Line] = []
         self.parts: list[str] = []
@@ -106,49 +173,54 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, main, _, suspect = self.stack[-1] if self.stack else TOP
-                self.lines.append(Line(text, self.tags, region, main, self.linked / len(text), suspect))
+                top = self.stack[-1] if self.stack else TOP
+                self.lines.append(Line(text, self.tags, top.region, top.main, min(1.0, self.linked / len(text)), top.suspect))
                 self.tags = 0
             self.parts, self.linked = [], 0
 
     def pop_to(self, i: int) -> None:
+        for x in self.stack[i:]:
+            self.count[x.tag] -= 1
         del self.stack[i:]
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self.starts[tag] -= 1
         block = tag in BLOCK
         if block:
             self.end_line()
         if tag in VOID:
             return
-        if tag in MAIN:
-            for i, (name, dropped, *_) in enumerate(self.stack):
-                if dropped and name not in ("script", "style", "template", "noscript"):
-                    self.pop_to(i)
-                    break
-        if tag in P_ENDS:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
-                    self.pop_to(i)
-                    break
-                if self.stack[i][0] in SECTION or self.stack[i][0] in LIST_STOPS:
-                    break
-        if tag in SAME_ENDS:
+        top = self.stack[-1] if self.stack else TOP
+        if tag in MAIN and top.dropped >= 0:
+            name = self.stack[top.dropped].tag
+            # left open: the end tags to come are not enough for this element
+            if name not in ("script", "style", "template", "noscript") and self.ends[name] - max(0, self.starts[name]) < 1:
+                self.pop_to(top.dropped)
+        if tag in P_ENDS and self.stack and self.stack[-1].paragraph >= 0:
+            self.pop_to(self.stack[-1].paragraph)
+        if tag in SAME_ENDS and any(self.count[n] for n in SAME_ENDS[tag]):
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in SAME_ENDS[tag]:
+                if self.stack[i].tag in SAME_ENDS[tag]:
                     self.pop_to(i)
                     break
-                if self.stack[i][0] in LIST_STOPS:
+                if self.stack[i].tag in LIST_STOPS:
                     break
-        _, dropped, region, main, link, suspect = self.stack[-1] if self.stack else TOP
+        kind = boilerplate(tag, dict(attrs))
+        if not (block or kind or tag == "a"):
+            return
+        top = self.stack[-1] if self.stack else TOP
+        region, suspect, at = top.region, top.suspect, len(self.stack)
         if tag in SECTION:
             self.regions += 1
             region = self.regions
-        kind = boilerplate(tag, dict(attrs))
         if kind == 2:
             self.suspects.append(suspect)
             suspect = len(self.suspects) - 1
-        self.stack.append((tag, dropped or kind == 1, region, max(main, MAIN.get(tag, 0)), link or tag == "a", suspect))
+        dropped = top.dropped if top.dropped >= 0 else at if kind == 1 else -1
+        paragraph = at if tag == "p" else -1 if tag in SECTION or tag in LIST_STOPS else top.paragraph
+        self.stack.append(Open(tag, dropped, region, max(top.main, MAIN.get(tag, 0)), top.link or tag == "a", suspect, paragraph))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in BLOCK:
@@ -158,28 +230,23 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        self.ends[tag] -= 1
         if tag in BLOCK:
             self.end_line()
-        if tag in VOID:
+        if not self.count[tag]:
             return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self.pop_to(i)
                 break
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
+            if tag not in BLOCK and self.stack[i].tag in BLOCK:
                 break  # an inline end tag does not reach out of its block
 
     def handle_data(self, data):
-        _, dropped, _, _, link, _ = self.stack[-1] if self.stack else TOP
-        if not dropped:
+        top = self.stack[-1] if self.stack else TOP
+        if top.dropped < 0:
             self.parts.append(data)
-            self.linked += len(data.strip()) if link else 0
-
-    def parse_html_declaration(self, i):
-        try:
-            return super().parse_html_declaration(i)
-        except AssertionError:  # a marked section of no known kind is a bogus comment up to `>`
-            return self.parse_bogus_comment(i)
+            self.linked += len(data.strip()) if top.link else 0
 
     def finish(self) -> list[Line]:
         self.close()
@@ -194,38 +261,52 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel, "full")[radius : radius + len(x)] / weight
 
 
-def above_suspicion(lines: list[Line], suspects: list[int], links: float, factor: float = 2.0) -> list[Line]:
+def above_suspicion(lines: list[Line], suspects: list[int], links: float, factor: float = 2.0, near: float = 0.5) -> list[Line]:
     """The lines in no suspect block, and those of suspect blocks (outer ones are
-    judged first) whose own prose is over `factor` times all that is clear so far."""
+    judged first) that are cleared: within articles by a mean line of at least `near` times
+    the clear ones' there, outside links; elsewhere, by prose of over `factor` times all that is clear so far."""
     if len(suspects) == 1:
         return lines
-    prose = np.bincount([x.suspect for x in lines], [len(x.text) * (x.linked < links) for x in lines], len(suspects))
-    clear = [0]
+    owner, size = np.array([x.suspect for x in lines], int), np.array([len(x.text) for x in lines], float)
+    linked, level = np.array([x.linked for x in lines]), np.array([x.level for x in lines], int)
+    prose = np.bincount(owner, size * (linked < links), len(suspects))
+    plain, count = np.bincount(owner, size * (1 - linked), len(suspects)), np.bincount(owner, minlength=len(suspects))
+    inside = np.bincount(owner, level == 2, len(suspects)) > 0
+    article = (owner == 0) & (level == 2)
+    usual = (size * (1 - linked))[article].sum() / max(1, article.sum())
+    clear, total = [True] + [False] * (len(suspects) - 1), prose[0]
     for i, outer in enumerate(suspects):
-        if i and outer in clear and prose[i] > factor * prose[clear].sum():
-            clear.append(i)
-    return [x for x in lines if x.suspect in clear]
+        if i and clear[outer]:
+            dense = inside[i] and usual > 0 and plain[i] / max(1, count[i]) >= near * usual
+            clear[i] = bool(not count[i] or dense or prose[i] > factor * total)  # without lines of its own its inner blocks are judged
+            total += prose[i] * clear[i]
+    return [x for x in lines if clear[x.suspect]]
 
 
-def content_lines(lines: list[Line], sigma: float, factor: float, prior: float, gap: int, links: float) -> np.ndarray:
+def runs(keep: np.ndarray, seeds: np.ndarray, gap: int) -> np.ndarray:
+    """The runs of `keep` (bridging at most `gap` others) that hold a seed, without the bridges."""
+    at = np.flatnonzero(keep)
+    out = np.zeros(len(keep), bool)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > gap + 1) + 1):
+        if len(run) and seeds[run].any():
+            out[run] = True
+    return out
+
+
+def content_lines(lines: list[Line], sigma: float, factor: float, prior: float, gap: int, links: float, low: float = 0.02) -> np.ndarray:
     """Which lines lie in a content region."""
     level = np.array([x.level for x in lines])
     size = np.array([len(x.text) for x in lines])
     article = level == max(1, int(level.max()))  # the articles, or else the main element
     region = np.array([x.region for x in lines])
-    prose = np.array([x.linked < links for x in lines])
+    linked = np.array([x.linked for x in lines])
+    prose = linked < links
     ratio = size / np.array([max(1, x.tags) for x in lines])
-    smoothed = smooth(ratio * np.where(article, prior, np.where(prose, 1.0, 0.0)), sigma)
+    smoothed = smooth(ratio * (1 - linked) * np.where(article, prior, np.where(prose, 1.0, 0.0)), sigma)
     dense = smoothed >= factor * smoothed.mean()
     inside, outside = (size[dense & part].sum() for part in (article, ~article & prose))
     if inside and prior * inside >= outside:
-        # all of an article belongs to its cluster, and nothing outside it
-        first, last = np.flatnonzero(dense & article)[[0, -1]]
-        while first > 0 and article[first - 1]:
-            first -= 1
-        while last + 1 < len(lines) and article[last + 1]:
-            last += 1
-        return article & (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
+        return runs(article & (smoothed >= low * smoothed.mean()), dense, len(lines))
     if inside:  # what is around the articles outweighs them: they count like any other region
         smoothed = smooth(ratio * prose, sigma)
         dense = smoothed >= factor * smoothed.mean()
@@ -237,6 +318,9 @@ def content_lines(lines: list[Line], sigma: float, factor: float, prior: float,
     return keep
 
 
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
+
+
 def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: float = 4.0, gap: int = 2, links: float = 0.8) -> str:
     """factor: the threshold as a multiple of the smoothed ratios' mean; prior:
     weight of ratios within an article or main element; gap: lines between two
@@ -244,7 +328,12 @@ def extract(html: str | None, sigma: float = 1.0, factor: float = 0.5, prior: fl
     share of their text in links are no content (unless all are)."""
     if not html:
         return ""
-    parser = Lines()
+    cut = _UNFINISHED.search(html, html.rfind(">") + 1)
+    html = html[: cut.start()] if cut else html  # a tag that the page's end cuts off is no text
+    ends = Ends()
+    ends.feed(html)
+    ends.close()
+    parser = Lines(ends)
     parser.feed(html)
     lines = above_suspicion(parser.finish(), parser.suspects, links)
     if not lines:
