@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ..shared import Shelf
 from ..shipping import ship
 
-ROW_BLOCK = 10_000
-STATE_BYTES = 64 << 20  # of a block of features, over all problems
+ROW_BLOCK = 5_000
+STATE_BYTES = 16 << 20  # of a block of features, over all problems
 CHUNK = 1 << 20  # products that a task holds at a time
 PAIRS = 4
 FAN = 64  # blocks of rows whose gradients are added up by one task
