@@ -38,7 +38,8 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the labelled notes. Texts are answered where they are read: answers, not texts, meet the labels."""
     answers = annotate.annotate_notes(S.documents(spark, sf_dir).select("obs_id", "text"), S.CONCEPTS, limit=S.SECTION, one_row=True)
-    return ensemble.scores(answers.join(S.labels(spark, sf_dir).select("obs_id"), "obs_id", "left_semi"), *S.history(spark))
+    # an inner join: a semi-join would be pushed below the answers, and meet the texts
+    return ensemble.scores(answers.join(S.labels(spark, sf_dir).select("obs_id").distinct(), "obs_id"), *S.history(spark))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
