@@ -69,3 +69,28 @@ def hierarchy(annotations: DataFrame, concept: str = "concept_id") -> tuple[list
         return leaves, []
     found = distances(annotations.join(F.broadcast(ok), concept, "left_semi"), concept).select("a", "b", "distance").collect()
     return leaves, single_linkage([tuple(r) for r in found], leaves)
+
+
+def fallback_hierarchy(concepts: list) -> dict | None:
+    """A hierarchy where there are no merges: one concept is a leaf, two or three lie
+    under one root, more are paired level by level in their order, an odd last node going up as it is.
+    Concepts are a bounded list."""
+    nodes: list[dict] = [{"name": c} for c in concepts]
+    if len(nodes) < 2:
+        return nodes[0] if nodes else None
+    if len(nodes) <= 3:
+        return {"name": "root", "children": nodes}
+    while len(nodes) > 1:
+        pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]
+        nodes = [p[0] if len(p) == 1 else {"name": f"cluster_{i}", "children": p} for i, p in enumerate(pairs)]
+    return nodes[0]
+
+
+def shown(annotations: DataFrame, names: dict | None = None, concept: str = "concept_id") -> dict | None:
+    """The tree of the valid concepts' linkage, or the fallback where fewer than two have one."""
+    leaves, merges = hierarchy(annotations, concept)
+    called = lambda c: (names or {}).get(c, c)
+    if merges:
+        return tree(merges, [called(c) for c in leaves])
+    every = sorted(r[0] for r in annotations.select(concept).distinct().collect())  # a row for each concept
+    return fallback_hierarchy([called(c) for c in every])

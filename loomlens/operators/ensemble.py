@@ -15,13 +15,13 @@ def window(history: DataFrame, last: int | None = None, baseline: bool = False)
     if last is None:
         return history
     ends = history.groupBy("seed").agg(F.max("iter").alias("_end"))
-    return history.join(F.broadcast(ends), "seed").filter(F.col("iter") > F.col("_end") - last).drop("_end")  # a row per seed
+    return history.join(ends, "seed").filter(F.col("iter") > F.col("_end") - last).drop("_end")
 
 
 def exclude(history_coef: DataFrame, concepts: list[str]) -> DataFrame:
     """Coefficients of the named concepts are 0 in each seed's last iteration."""
     ends = history_coef.groupBy("seed").agg(F.max("iter").alias("_end"))
-    out = history_coef.join(F.broadcast(ends), "seed")  # a row per seed
+    out = history_coef.join(ends, "seed")
     return out.withColumn("coef", F.when(F.col("concept").isin(concepts) & (F.col("iter") == F.col("_end")), 0.0).otherwise(F.col("coef"))).drop("_end")
 
 
@@ -48,5 +48,5 @@ def mean(model_scores: DataFrame) -> DataFrame:
 def inclusion(history_coef: DataFrame, last: int = 5) -> DataFrame:
     """Occurrences of a concept in a seed's last min(last, n) iterations per iteration."""
     sizes = history_coef.groupBy("seed").agg(F.max("iter").alias("_end"), F.countDistinct("iter").alias("_n"))
-    recent = history_coef.join(F.broadcast(sizes), "seed").filter(F.col("iter") > F.col("_end") - F.least(F.lit(last), F.col("_n")))
+    recent = history_coef.join(sizes, "seed").filter(F.col("iter") > F.col("_end") - F.least(F.lit(last), F.col("_n")))
     return recent.groupBy("seed", "concept").agg((F.count(F.lit(1)) / F.max(F.least(F.lit(last), F.col("_n")))).alias("inclusion"))

@@ -58,3 +58,22 @@ def two_step(notes: DataFrame, summary_template: str, phrase_template: str, ask:
         return second.select(key, "llm_summary", F.coalesce("_said", F.lit("")).alias("llm_output"))
     pairs = F.coalesce(F.from_json("_said", "phrases array<struct<phrase string, evidence string>>")["phrases"], F.array().cast("array<struct<phrase string, evidence string>>"))
     return second.select(key, "llm_summary", F.array_join(F.transform(pairs, lambda p: p["phrase"]), ",").alias("llm_output"), evidence_map(pairs).alias("evidence"))
+
+
+def configured(notes: DataFrame, config, template: str) -> DataFrame:
+    """(key, llm_output) of each note by a `KeyphraseConfig`: one prompt a note, answered
+    through the registered client and kept in the folder `cache_file`. An answer is JSON
+    {"keyphrases": [...]} or plain comma phrases; a failed one is empty and is asked again by the next run."""
+    from .client import Answers, Asker, ClientSettings
+
+    key = notes.columns[config.index_col] if config.index_col is not None else "obs_id"
+    missing = sorted({key, "image_path" if config.is_image else config.text_column} - set(notes.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    settings = ClientSettings(config.llm_model_type, max_new_tokens=config.num_new_tokens, batch_size=config.batch_size, seed=config.seed)
+    said = F.col("image_path") if config.is_image else F.col(config.text_column)
+    slot = config.prompt_placeholder.strip("{}")
+    prompts = notes.select(key, F.when(said.isNotNull(), T.fill(F.lit(template), {slot: said})).alias("prompt"))
+    got = Answers(notes.sparkSession, config.cache_file).ask(prompts, Asker(settings))
+    phrases = F.from_json("response", "keyphrases array<string>")["keyphrases"]
+    return got.select(key, F.coalesce(F.array_join(phrases, ","), F.col("response"), F.lit("")).alias("llm_output"))

@@ -67,6 +67,28 @@ class ConceptConfig:
     num_top_residual_words: int = 40
 
 
+@dataclass
+class ClientConfig:
+    """Model clients by registered names: one for both roles, or one for each."""
+
+    llm_model: str | None = None
+    llm_iter_type: str | None = None
+    llm_extraction_type: str | None = None
+    max_new_tokens: int = 5000
+    temperature: float = 0.0
+    max_retries: int = 3
+    batch_size: int = 20
+
+    def roles(self) -> dict | None:
+        """Askers by role; None without a model."""
+        from ..operators.client import clients
+
+        if not (self.llm_model or self.llm_iter_type or self.llm_extraction_type):
+            return None
+        more = {k: getattr(self, k) for k in ("max_new_tokens", "temperature", "max_retries", "batch_size")}
+        return clients(self.llm_model, self.llm_iter_type, self.llm_extraction_type, **more)
+
+
 @dataclass
 class EnsembleConfig:
     init_seeds: list[int] = field(default_factory=lambda: [1, 2, 3])
@@ -75,6 +97,7 @@ class EnsembleConfig:
     training: TrainingConfig = field(default_factory=TrainingConfig)
     concept: ConceptConfig = field(default_factory=ConceptConfig)
     force_keep_columns: list[str] | None = None
+    client: ClientConfig = field(default_factory=ClientConfig)
 
     def __post_init__(self):
         if not self.init_seeds:
@@ -83,7 +106,7 @@ class EnsembleConfig:
     @classmethod
     def from_args(cls, **args) -> "EnsembleConfig":
         """Flat settings sorted into their parts; unknown names raise."""
-        parts = {"model": ModelConfig, "data": DataConfig, "training": TrainingConfig, "concept": ConceptConfig}
+        parts = {"model": ModelConfig, "data": DataConfig, "training": TrainingConfig, "concept": ConceptConfig, "client": ClientConfig}
         given: dict[str, dict] = {k: {} for k in parts}
         own = {}
         for name, value in args.items():
@@ -102,23 +125,35 @@ class EnsembleConfig:
 
     @classmethod
     def from_dict(cls, d: dict) -> "EnsembleConfig":
-        return cls(d["init_seeds"], ModelConfig(**d["model"]), DataConfig(**d["data"]), TrainingConfig(**d["training"]), ConceptConfig(**d["concept"]), d.get("force_keep_columns"))
+        return cls(d["init_seeds"], ModelConfig(**d["model"]), DataConfig(**d["data"]), TrainingConfig(**d["training"]), ConceptConfig(**d["concept"]), d.get("force_keep_columns"), ClientConfig(**d.get("client", {})))
 
 
 @dataclass
 class KeyphraseConfig:
-    """Settings of keyphrase extraction; all are required."""
+    """Settings of keyphrase extraction; a file must name all and no others. (Fixed values: the names.)"""
 
-    model: str
-    prompt: str
-    batch_size: int
-    max_new_tokens: int
+    llm_model_type: str
+    prompt_file: str
+    cache_file: str  # a folder of answers
     seed: int
-    text_column: str = "text"
-    output_column: str = "llm_output"
+    batch_size: int
+    num_new_tokens: int
+    prompt_placeholder: str
+    text_column: str
+    is_image: bool
+    index_col: int | None  # position of the key column; None: obs_id
+    llm_outputs_file: str | None
+    log_file: str
 
     def __post_init__(self):
-        if not self.model or not self.prompt:
-            raise ValueError("model and prompt must not be empty")
-        if self.batch_size <= 0 or self.max_new_tokens <= 0 or self.seed < 0:
-            raise ValueError("batch_size and max_new_tokens must be positive, seed at least 0")
+        if not self.llm_model_type or not self.prompt_file:
+            raise ValueError("llm_model_type and prompt_file must not be empty")
+        if self.batch_size <= 0 or self.num_new_tokens <= 0 or self.seed < 0:
+            raise ValueError("batch_size and num_new_tokens must be positive, seed at least 0")
+
+    @classmethod
+    def from_dict(cls, given: dict) -> "KeyphraseConfig":
+        names = {f.name for f in fields(cls)}
+        if set(given) != names:
+            raise ValueError(f"missing settings: {sorted(names - set(given))}, unknown ones: {sorted(set(given) - names)}")
+        return cls(**given)

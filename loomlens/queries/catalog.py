@@ -245,12 +245,12 @@ def q22_per_seed_mean(spark, sf_dir):
     return ensemble.seed_mean(ensemble.scores(annotated(spark, sf_dir), *S.history(spark))).select("seed", "obs_id", r6(F.col("prob_1")).alias("prob_1"))
 
 
-EXCLUDED = S.CONCEPTS[5]["concept"]
+EXCLUDED = "1-URGENT"
 
 
-@query(f"SELECT h.seed, h.iter, h.concept_id, CASE WHEN h.concept = '{EXCLUDED}' AND h.iter = (SELECT max(iter) FROM {S.COEF_SQL} m WHERE m.seed = h.seed) THEN 0.0 ELSE h.coef::DOUBLE END AS coef FROM {S.COEF_SQL} h")
+@query(f"SELECT seed, iter, concept, CASE WHEN concept = '{EXCLUDED}' AND iter = max(iter) OVER (PARTITION BY seed) THEN 0.0 ELSE coef END AS coef FROM {S.LEDGER_SQL}")
 def q23_excluded_concepts(spark, sf_dir):
-    return ensemble.exclude(S.history(spark)[1], [EXCLUDED]).select("seed", "iter", "concept_id", "coef")
+    return ensemble.exclude(S.ledger(spark, sf_dir), [EXCLUDED]).select("seed", "iter", "concept", "coef")
 
 
 # ---- metrics
@@ -381,14 +381,14 @@ def q32_concept_correlation(spark, sf_dir):
     return cluster.distances(annotated(spark, sf_dir)).select("a", "b", r6(F.col("corr")).alias("corr"), r6(F.col("distance")).alias("distance"))
 
 
-@query(f"SELECT h.seed, h.concept, round(count(*) / max(least(5, m.n))::DOUBLE, 6) AS inclusion FROM {S.COEF_SQL} h JOIN (SELECT seed, max(iter) AS e, count(DISTINCT iter) AS n FROM {S.COEF_SQL} GROUP BY seed) m USING (seed) WHERE h.iter > m.e - least(5, m.n) GROUP BY ALL")
+@query(f"SELECT h.seed, h.concept, round(count(*) / max(least(5, m.n))::DOUBLE, 6) AS inclusion FROM {S.LEDGER_SQL} h JOIN (SELECT seed, max(iter) AS e, count(DISTINCT iter) AS n FROM {S.LEDGER_SQL} GROUP BY seed) m USING (seed) WHERE h.iter > m.e - least(5, m.n) GROUP BY ALL")
 def q33_posterior_inclusion(spark, sf_dir):
-    return ensemble.inclusion(S.history(spark)[1]).select("seed", "concept", r6(F.col("inclusion")).alias("inclusion"))
+    return ensemble.inclusion(S.ledger(spark, sf_dir)).select("seed", "concept", r6(F.col("inclusion")).alias("inclusion"))
 
 
-@query(f"SELECT seed, iter, concept_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY seed, iter, concept_id) AS k FROM {S.COEF_SQL}) WHERE k = 1")
+@query(f"SELECT seed, iter, day FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seed, iter) AS k FROM {S.LEDGER_SQL}) WHERE k = 1")
 def q34_first_owner(spark, sf_dir):
-    return split.first_owner(S.history(spark)[1], F.col("concept"), ["seed", "iter", "concept_id"]).select("seed", "iter", "concept_id")
+    return split.first_owner(S.ledger(spark, sf_dir), F.col("day"), ["seed", "iter"]).select("seed", "iter", "day")
 
 
 QUERY_STEP = 100  # every row whose id is divisible by it is a query
@@ -459,10 +459,15 @@ CLEAN_SQL = """replace(replace(replace(replace(replace(replace(replace(replace(r
 'engaging in ', ''), 'experiencing ', ''), 'having a ', ''), 'having ', ''), 'undergoing ', ''), 'requiring ', ''), 'needing ', ''), '?', '')"""
 
 
-@query(f"SELECT concept_id::INT AS concept_id, {CLEAN_SQL} AS clean, trim(regexp_replace(lower(concept), '[^a-z0-9]+', ' ', 'g')) AS normal, CASE WHEN concept LIKE '%>%' OR concept LIKE '%≥%' THEN CASE WHEN concept LIKE '%h%' OR concept LIKE '%d%' THEN 'duration_days' ELSE 'count' END ELSE 'binary' END AS kind FROM {S.values(list(enumerate(QUESTIONS)), 'concept_id, concept')}")
+ASKED_SQL = f"(SELECT doc_id AS obs_id, ({[*QUESTIONS]})[1 + doc_id % {len(QUESTIONS)}] || ' ' || coalesce(source, '') || '?' AS concept FROM documents)"
+
+
+@query(f"SELECT obs_id, {CLEAN_SQL} AS clean, trim(regexp_replace(lower(concept), '[^a-z0-9]+', ' ', 'g')) AS normal, CASE WHEN concept LIKE '%>%' OR concept LIKE '%≥%' THEN CASE WHEN concept LIKE '%h%' OR concept LIKE '%d%' THEN 'duration_days' ELSE 'count' END ELSE 'binary' END AS kind FROM {ASKED_SQL}")
 def q41_clean_names(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(QUESTIONS)), "concept_id int, concept string")
-    return rows.select("concept_id", T.clean_concept(F.col("concept")).alias("clean"), T.normalized_concept(F.col("concept")).alias("normal"), T.value_type(F.col("concept")).alias("kind"))
+    """Questions about each document's source."""
+    asked = F.concat(F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("obs_id") % len(QUESTIONS)).cast("int")), F.lit(" "), F.coalesce("source", F.lit("")), F.lit("?"))
+    rows = S.documents(spark, sf_dir).select("obs_id", asked.alias("concept"))
+    return rows.select("obs_id", T.clean_concept(F.col("concept")).alias("clean"), T.normalized_concept(F.col("concept")).alias("normal"), T.value_type(F.col("concept")).alias("kind"))
 
 
 @query("SELECT event_id, q::INT AS question, CASE WHEN q = event_id % 5 THEN value WHEN q = 1 AND event_id % 7 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS answer FROM (SELECT event_id, value, unnest([1, 2, 3]) AS q FROM events)")

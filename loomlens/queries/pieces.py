@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import responses
+from ..functions import responses, validate
 from ..functions import text as T
 from ..operators import annotate, ensemble, features, metrics, viewer
 from ..sources import tables
@@ -111,10 +111,10 @@ def q57_event_rates(spark, sf_dir):
     return rates.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query(f"SELECT h.seed, h.iter, h.concept_id, h.coef::DOUBLE AS coef, 'last' AS part FROM {S.COEF_SQL} h WHERE h.iter = (SELECT max(iter) FROM {S.COEF_SQL} m WHERE m.seed = h.seed) UNION ALL SELECT seed, iter, concept_id, coef::DOUBLE, 'baseline' FROM {S.COEF_SQL} WHERE iter = 0")
+@query(f"SELECT seed, iter, concept, coef, 'last' AS part FROM (SELECT *, max(iter) OVER (PARTITION BY seed) AS e FROM {S.LEDGER_SQL}) WHERE iter > e - 2 UNION ALL SELECT seed, iter, concept, coef, 'baseline' FROM {S.LEDGER_SQL} WHERE iter = 0")
 def q58_iteration_window(spark, sf_dir):
-    coefs = S.history(spark)[1].select("seed", "iter", "concept_id", "coef")
-    last = ensemble.window(coefs, 1).withColumn("part", F.lit("last"))
+    coefs = S.ledger(spark, sf_dir).select("seed", "iter", "concept", "coef")
+    last = ensemble.window(coefs, 2).withColumn("part", F.lit("last"))
     return last.unionByName(ensemble.window(coefs, baseline=True).withColumn("part", F.lit("baseline")))
 
 
@@ -130,3 +130,20 @@ def q60_stream_scores(spark, sf_dir):
     """The streaming scorer over the whole table: the batch ensemble's means."""
     models = [{"intercept": b, "coefs": coefs} for _, _, b, coefs in S.MODELS]
     return scoring.score_stream(S.documents(spark, sf_dir), S.CONCEPTS, models, limit=S.SECTION).select("obs_id", r6(F.col("prob_1")).alias("prob_1"))
+
+
+RAW_SQL = """CASE turn % 6 WHEN 0 THEN '{"question": ' || (turn + 1) || ', "answer": 0.5} // {"answer": 9}' WHEN 1 THEN 'first {"question": "' || (turn + 1) || '", "who": {"role": "' || role || '"}} then {"answer": 1}' WHEN 2 THEN '{"question": 2.0, "answer": ' || length(role) || '}' WHEN 3 THEN '{"question": "many", "answer": "0.25"}' WHEN 4 THEN 'nothing here' ELSE '{"question": 99, "answer": 0, "text": "a } brace // and no comment"}' END"""
+
+
+@query(
+    "SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN turn + 1 WHEN 1 THEN turn + 1 WHEN 2 THEN 2 WHEN 5 THEN 99 END::INT AS question, CASE turn % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 1 WHEN 2 THEN length(role) WHEN 3 THEN 0.25 WHEN 5 THEN 0 END::DOUBLE AS answer, "
+    "CASE turn % 6 WHEN 2 THEN 'answer' WHEN 3 THEN 'question' WHEN 4 THEN 'no_object,question,answer' WHEN 5 THEN 'question' ELSE '' END AS reasons FROM conversations"
+)
+def q63_validated_answers(spark, sf_dir):
+    """Answers of each turn in lenient JSON: accepted ones, and rejected ones with their reasons."""
+    said = S.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(RAW_SQL).alias("raw"))
+    turns = validate.merged(said, F.col("raw"), "fields").select("conv_id", "turn", "fields")
+    fields = F.col("fields")
+    accepted, rejected, _ = validate.quarantine(turns, validate.answer_rules(fields, 10))
+    both = accepted.withColumn("reasons", F.array().cast("array<string>")).unionByName(rejected)
+    return both.select("conv_id", "turn", validate.as_int(fields["question"]).alias("question"), validate.as_double(fields["answer"]).alias("answer"), F.array_join("reasons", ",").alias("reasons"))

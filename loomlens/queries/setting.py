@@ -4,7 +4,7 @@ column is the length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -57,6 +57,14 @@ def history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return iters, coefs
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of many chains: each customer's orders in turn are iterations, with the
+    priority as the concept and the price as its coefficient."""
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = load(spark, sf_dir, "orders")
+    return rows.select(F.col("o_custkey").cast("int").alias("seed"), (F.row_number().over(turn) - 1).alias("iter"), F.col("o_orderpriority").alias("concept"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").cast("double").alias("coef"))
+
+
 # ---- the same in SQL
 
 
@@ -68,6 +76,7 @@ def values(rows: list[tuple], names: str) -> str:
 CONCEPT_SQL = values([(c["concept_id"], c["name"], c["concept"], c["pattern"]) for c in CONCEPTS], "concept_id, name, concept, pattern")
 ITER_SQL = values([(s, i, b) for s, i, b, _ in MODELS], "seed, iter, intercept")
 COEF_SQL = values([(s, i, c, CONCEPTS[c]["concept"], b) for s, i, _, coef in MODELS for c, b in coef.items()], "seed, iter, concept_id, concept, coef")
+LEDGER_SQL = "(SELECT o_custkey::INT AS seed, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS iter, o_orderpriority AS concept, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice::DOUBLE AS coef FROM orders)"
 NOTES_SQL = "(SELECT d.doc_id AS obs_id, d.text, d.lang AS domain, d.source, d.n_chars AS control, l.toxic AS y, CASE WHEN l.quality = 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS sample_weight FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 SECTIONS_SQL = f"(SELECT doc_id AS obs_id, (k // {SECTION})::INT AS section_id, substr(text, k::BIGINT + 1, {SECTION}) AS section FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), {SECTION})) AS k FROM documents))"
 ANNOTATIONS_SQL = f"(SELECT obs_id, concept_id::INT AS concept_id, max(CASE WHEN regexp_matches(lower(section), pattern) THEN 1.0 ELSE 0.0 END::DOUBLE) AS answer FROM {SECTIONS_SQL} s, {CONCEPT_SQL} c GROUP BY ALL)"

@@ -89,10 +89,13 @@ def read_template(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
-def prompt_catalogue(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """(filename, content) of the prompts that exist."""
+def prompt_catalogue(spark: SparkSession, folder: str, steps: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """(step, filename, content) of the prompts of each step, and the names of missing files."""
+    wanted = spark.createDataFrame([(s, n) for s, names in steps.items() for n in names], "step string, filename string")  # a bounded list
     found = spark.read.text(f"{folder}/*", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("content"))
-    return found.filter(F.col("filename").isin(names))
+    both = wanted.join(found, "filename", "left")
+    missing = sorted({r["filename"] for r in both.filter("content is null").select("filename").collect()})
+    return both.filter("content is not null").select("step", "filename", "content"), missing
 
 
 def concept_names(df: DataFrame) -> DataFrame:
@@ -100,11 +103,15 @@ def concept_names(df: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    """Rows with image_path and the file's bytes."""
+    """Rows with image_path (below the folder, or whole) and the file's bytes; null where
+    there is no such file. Equal names in two folders stay apart."""
     if "image_path" not in df.columns:
         raise ValueError("missing columns: ['image_path']")
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content")
-    return df.withColumn("_name", F.element_at(F.split("image_path", "/"), -1)).join(files, "_name", "left").drop("_name")
+    plain = lambda c: F.regexp_replace(c, r"^file:/*", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain(F.col("path")).alias("_path"), "content")
+    base = folder.rstrip("/")
+    whole = F.when(F.col("image_path").rlike("^([a-z0-9]+:)?/"), F.col("image_path")).otherwise(F.concat(F.lit(base + "/"), "image_path"))
+    return df.withColumn("_path", plain(whole)).join(files, "_path", "left").drop("_path")
 
 
 def viewer_export(rows: DataFrame, config: dict, folder: str) -> None:

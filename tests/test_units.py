@@ -231,7 +231,7 @@ def test_config_and_state():
             EnsembleConfig.from_args(**bad)
     assert ModelConfig().final_model_type == "l1"
     with pytest.raises(ValueError):
-        KeyphraseConfig("m", "p", 0, 1, 0)
+        KeyphraseConfig("m", "p", "c", 0, 0, 1, "{note}", "text", False, None, None, "log")
     with pytest.raises(ValueError):
         State([1], 2, Phase.GREEDY_RUNNING, working_epoch=0, completed_epochs=1).validate()
     with pytest.raises(ValueError):
