@@ -15,7 +15,7 @@ def whole(weight: str | None = None) -> Column:
     return out if weight is None else out & F.col(weight).isNotNull()
 
 
-def auc(df: DataFrame, by: list[str], weight: str | None = None, buckets: int = 1024) -> DataFrame:
+def auc(df: DataFrame, by: list[str], weight: str | None = None, buckets: int = 128) -> DataFrame:
     """Weighted area under the ROC curve: pairs of a positive and a negative, ties
     half. Null where a slice has one class only."""
     df = df.filter(whole(weight))
@@ -38,7 +38,7 @@ def multiclass_auc(df: DataFrame, by: list[str], classes: dict, weight: str | No
     return one.groupBy(*by).agg(whole.alias("auc"))
 
 
-def specificity_at(df: DataFrame, by: list[str], sensitivity: float, weight: str | None = None, buckets: int = 1024) -> DataFrame:
+def specificity_at(df: DataFrame, by: list[str], sensitivity: float, weight: str | None = None, buckets: int = 128) -> DataFrame:
     """1 - false positive rate at the highest threshold whose sensitivity reaches
     the target (all thresholds are looked at, none is merged)."""
     df = df.filter(whole(weight))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotate, ensemble, features, residual, select, split
+from ..schema import ANNOTATION
 from ..shared import Shelf
 from ..shipping import ship
 from .config import EnsembleConfig, Phase
@@ -65,7 +66,7 @@ class Trainer:
     def cache(self) -> DataFrame | None:
         if not self.state.answers:
             return None
-        return self.spark.read.schema("obs_id long, concept_id int, answer double").parquet(*self.state.answers)
+        return self.spark.read.schema(ANNOTATION).parquet(*self.state.answers)
 
     # ---- concepts and their answers
 

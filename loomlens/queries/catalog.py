@@ -46,7 +46,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = labelled_scores(spark, sf_dir).groupBy("obs_id").agg(F.avg("prob").alias("_p"))
     spread = F.least(F.lit(0.999), F.col("_p") + F.least(F.col("control"), F.lit(50000)) / 1000000.0)
     about = S.documents(spark, sf_dir).select("obs_id", "domain", "control").join(S.labels(spark, sf_dir), "obs_id")
-    return means.join(about, "obs_id").withColumn("prob", r6(spread)).drop("_p")
+    rows = means.join(about, "obs_id").withColumn("prob", r6(spread)).drop("_p")
+    return Shelf(spark, "scored").keep(rows, "scored")  # a metric reads them several times
 
 
 # ---- sections and annotations
@@ -323,20 +324,20 @@ def intervals(out):
 @query(f"SELECT b.*, round(p.auc, 6) AS auc FROM ({boot_sql(repr('all'), '1', AREA_VALUE)}) b, {auc_sql(S.SCORED_SQL, '', '1')} p")
 def q27_bootstrap_ci(spark, sf_dir):
     """The area with its interval, from exact scores."""
-    rows = Shelf(spark, "q27").keep(scored(spark, sf_dir).withColumn("slice", F.lit("all")), "scored")
+    rows = scored(spark, sf_dir).withColumn("slice", F.lit("all"))
     found = intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED))
     return found.join(metrics.auc(rows, ["slice"]).withColumn("auc", r6(F.col("auc"))), "slice")
 
 
 @query(boot_sql("domain", "sample_weight", AREA_VALUE))
 def q61_weighted_area_ci(spark, sf_dir):
-    rows = Shelf(spark, "q61").keep(scored(spark, sf_dir).withColumn("slice", F.col("domain")), "scored")
+    rows = scored(spark, sf_dir).withColumn("slice", F.col("domain"))
     return intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED, "sample_weight"))
 
 
 @query(boot_sql("domain", "1", SPEC_VALUE))
 def q62_specificity_ci(spark, sf_dir):
-    rows = Shelf(spark, "q62").keep(scored(spark, sf_dir).withColumn("slice", F.col("domain")), "scored")
+    rows = scored(spark, sf_dir).withColumn("slice", F.col("domain"))
     return intervals(resample.bootstrap(rows, ["slice"], S.REPLICATES, S.SEED, sensitivity=S.SENSITIVITY))
 
 
