@@ -5,8 +5,8 @@ the languages of the chosen family, which vote.
 Features: hashed runs of one to three bytes of the whole lower-cased text (ASCII
 characters that are not letters count as spaces), square roots of their counts
 brought to unit length. Machines are fitted
-on at most about 2 x SAMPLE documents of each language, drawn by a hash of doc_id
-from the rows that are not held out; prediction reads the text alone.
+on at most about 2 x SAMPLE documents of each of the MOST_LANGUAGES most frequent
+languages (MOST_ROWS in all), drawn by a hash of doc_id from the rows that are not held out; prediction reads the text alone.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows
 without a language teach nothing; without any teaching row all is `und`; with one
@@ -15,7 +15,7 @@ doc_id is never held out; repeated rows are each predicted; an empty table gives
 empty result; other columns are not read.
 
 Plan: one small aggregate (rows by language), one pass for the sample (8 KB a
-document to the driver, bounded by SAMPLE), one narrow pass to predict; no exchange
+document to the driver, bounded by SAMPLE and MOST_ROWS), one narrow pass to predict; no exchange
 of texts.
 """
 
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, dual_descent, logistic_scale, resident, slices
 
 SAMPLE = 1000  # documents of each language to learn from, on average
+MOST_LANGUAGES = 100  # the most frequent ones are learned; a dirty column may hold any number of values
+MOST_ROWS = 20_000  # documents to learn from in all, on average: with over 20 languages each has fewer
 FEATURES = 2048
 SIZES = (1, 2, 3)
 UNKNOWN = "und"
@@ -138,13 +140,14 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    rows = {r["lang"]: r["n"] for r in counts.collect()}  # a row for each language
     if not rows:
         return Model(np.zeros((0, FEATURES + 1)), [])
+    sample = max(1, min(sample, MOST_ROWS // len(rows)))
     ticket = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for lang, n in rows.items():
-        wanted = wanted | ((F.col("lang") == lang) & (ticket < int(min(1.0, sample / n) * 1_000_000 + 1)))
+    limits = F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, int(min(1.0, sample / n) * 1_000_000 + 1))))
+    wanted = ticket < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
