@@ -94,11 +94,7 @@ def fit_residuals(rows: DataFrame, sides: list[Side], phrases: str, penalty: str
         return rows.sparkSession.createDataFrame([], "side int, feature string, coef double, freq double"), [grid[0]] * len(sides)
 
     phrase = rows.select("obs_id", "folds", F.explode("tokens").alias("token"))
-    hashes = [F.bit_xor(F.xxhash64("obs_id")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "obs_id")).alias("h1")]
-    counted = phrase.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *hashes, *(F.count_if(F.col("folds")[i] > 0).alias(f"d{i}") for i in range(len(sides))))
-    share = [F.col(f"d{i}") / F.lit(float(max(1, n))) for i, n in enumerate(sizes)]
-    stays = [(F.col(f"d{i}") > 0) & (share[i] >= least) & scrubbed(F.col("token"), s.synonyms) for i, s in enumerate(sides)]
-    words = counted.select("token", "df", "h0", "h1", F.array(*stays).alias("active"), F.array(*share).alias("share")).filter(F.exists("active", lambda a: a))
+    words = vocabulary(phrase, sides, sizes, least)
     words = shelf.keep(words, "words")
     # phrases of the same rows (by count and 128 bits of hashes) have one column: their coefficients are equal, the sum stands for them
     same = ["df", "h0", "h1", "active"]
@@ -128,6 +124,17 @@ def fit_residuals(rows: DataFrame, sides: list[Side], phrases: str, penalty: str
     return shelf.keep(out.select("side", F.col("token").alias("feature"), "coef", F.col("share")[F.col("side")].alias("freq")), "coefs"), chosen
 
 
+def vocabulary(phrase: DataFrame, sides: list[Side], sizes: list[int], least: float = 0.0) -> DataFrame:
+    """(token, df, h0, h1, active, share) of the phrases that some side keeps, from distinct (obs_id, folds,
+    token): a side keeps those of at least `least` of its rows that hold none of its words;
+    h0 and h1 are hashes of the rows with the phrase."""
+    hashes = [F.bit_xor(F.xxhash64("obs_id")).alias("h0"), F.bit_xor(F.xxhash64(F.lit(1), "obs_id")).alias("h1")]
+    counted = phrase.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *hashes, *(F.count_if(F.col("folds")[i] > 0).alias(f"d{i}") for i in range(len(sides))))
+    share = [F.col(f"d{i}") / F.lit(float(max(1, n))) for i, n in enumerate(sizes)]
+    stays = [(F.col(f"d{i}") > 0) & (share[i] >= least) & scrubbed(F.col("token"), s.synonyms) for i, s in enumerate(sides)]
+    return counted.select("token", "df", "h0", "h1", F.array(*stays).alias("active"), F.array(*share).alias("share")).filter(F.exists("active", lambda a: a))
+
+
 #: C of a fit without penalty: large enough to count as none, small enough to stay finite where words separate the labels.
 NEARLY_FREE = 1e6
 

@@ -507,6 +507,27 @@ def x02_residual_words(spark, sf_dir):
     return residual.fit_residual(notes.join(answers, "obs_id"), ["insult"], "text", weight="sample_weight")
 
 
+SIDES_SQL = f"(SELECT t.obs_id, token, i.partition = 'train' AS first FROM {TOKENS_SQL} t JOIN labels l ON l.doc_id = t.obs_id JOIN {INDEX_SQL} i ON i.obs_id = t.obs_id)"
+SIZES_SQL = f"(SELECT count(*) FILTER (i.partition = 'train') AS n0, count(*) AS n1 FROM documents d JOIN labels l USING (doc_id) JOIN {INDEX_SQL} i ON i.obs_id = d.doc_id)"
+
+
+@query(
+    f"""WITH c AS (SELECT token, count(*) FILTER (first) AS d0, count(*) AS d1 FROM {SIDES_SQL} GROUP BY token)
+SELECT 0::INT AS side, token AS feature, round(d0 / n0::DOUBLE, 6) AS freq FROM c, {SIZES_SQL} WHERE d0 > 0 AND d0 / n0::DOUBLE >= 0.01 AND token <> ''
+UNION ALL SELECT 1, token, round(d1 / n1::DOUBLE, 6) FROM c, {SIZES_SQL} WHERE d1 / n1::DOUBLE >= 0.01 AND token <> '' AND (starts_with(token, 'tabular feature: ') OR NOT ({' OR '.join(f"contains(token, '{w}')" for w in SYNONYMS if len(w) > 2)}))"""
+)
+def q64_residual_vocabulary(spark, sf_dir):
+    """Phrases and shares of a residual fit with two sides: the train partition, and all labelled notes but for phrases with a kept word."""
+    texts = S.documents(spark, sf_dir).select("obs_id", F.array_distinct(T.comma_tokens(T.fold(F.coalesce("text", F.lit(""))))).alias("t"))
+    first = F.when(F.col("partition") == "train", 1).otherwise(0)
+    about = S.labels(spark, sf_dir).join(index(spark, sf_dir), "obs_id").select("obs_id", F.array(first, F.lit(1)).alias("folds"))
+    n = about.join(S.documents(spark, sf_dir).select("obs_id"), "obs_id").agg(F.sum(F.col("folds")[0]).alias("a"), F.count(F.lit(1)).alias("b")).first()
+    phrase = texts.select("obs_id", F.explode("t").alias("token")).join(about, "obs_id")
+    words = residual.vocabulary(phrase, [residual.Side(), residual.Side(synonyms=tuple(SYNONYMS))], [n["a"] or 0, n["b"] or 0], 0.01)
+    each = words.filter("token <> ''").select("token", F.posexplode(F.arrays_zip("active", "share")).alias("side", "z")).filter("z.active")
+    return each.select("side", F.col("token").alias("feature"), r6(F.col("z.share")).alias("freq"))
+
+
 LINKAGE_SQL = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT concept_id, row_number() OVER (ORDER BY concept_id) - 1 AS leaf FROM (SELECT concept_id FROM {S.ANNOTATIONS_SQL} GROUP BY concept_id HAVING max(abs(answer)) > 0)),
 d AS MATERIALIZED (SELECT x.concept_id AS a, y.concept_id AS b, covar_pop(x.answer, y.answer) / nullif(stddev_pop(x.answer) * stddev_pop(y.answer), 0) AS r, max(abs(x.answer - y.answer)) AS gap FROM {S.ANNOTATIONS_SQL} x JOIN {S.ANNOTATIONS_SQL} y ON x.obs_id = y.obs_id AND x.concept_id < y.concept_id GROUP BY ALL),
 e AS MATERIALIZED (SELECT p.leaf AS a, q.leaf AS b, CASE WHEN r IS NULL THEN CASE WHEN gap = 0 THEN 0.0 ELSE 1.0 END ELSE greatest(0.0, 1 - abs(r)) END AS dist FROM d JOIN v p ON p.concept_id = d.a JOIN v q ON q.concept_id = d.b),
