@@ -111,17 +111,14 @@ def test_two_concepts_by_their_exact_posterior(spark, tmp_path, monkeypatch):
 def test_search_resumes_as_if_it_had_not_stopped(spark, tmp_path):
     notes = notes_of(spark)
     more = {"num_greedy_epochs": 1}
-    whole = Chains(spark, setting(num_epochs=3, **more), str(tmp_path / "a"), proposer=Fixed(["red", "blue", "x"]))
+    whole = Chains(spark, setting(num_epochs=2, **more), str(tmp_path / "a"), proposer=Fixed(["red", "blue", "x"]))
     whole.fit(notes)
-    Chains(spark, setting(num_epochs=2, **more), str(tmp_path / "b"), proposer=Fixed(["red", "blue", "x"])).fit(notes)
-    with pytest.warns(UserWarning, match="epochs"):
-        again = Chains.from_checkpoint(spark, str(tmp_path / "b"), setting(num_epochs=3, **more), proposer=Fixed(["red", "blue", "x"]))
-    assert len(again.moves) == 2  # one sampled epoch, two chains
-    again.continue_training(notes, 0)
-    again.state.phase = again.state.phase.__class__.BASELINE_COMPLETE
-    again._greedy(notes)
-    assert [r[2] for r in whole.history.iterations if r[0] == 1] == ["baseline", "greedy", "sampled", "sampled"]
-    assert sorted(again.history.coefs) == sorted(whole.history.coefs) and sorted(again.moves) == sorted(whole.moves)
+    Chains(spark, setting(num_epochs=1, **more), str(tmp_path / "b"), proposer=Fixed(["red", "blue", "x"])).fit(notes)
+    again = Chains.from_checkpoint(spark, str(tmp_path / "b"), setting(num_epochs=1, **more), proposer=Fixed(["red", "blue", "x"]))
+    assert again.moves == [] and again.continue_training(notes, 0) is again.history and again.history.length(1) == 2
+    again.continue_training(notes, 1)
+    assert [r[2] for r in whole.history.iterations if r[0] == 1] == ["baseline", "greedy", "sampled"]
+    assert sorted(again.history.coefs) == sorted(whole.history.coefs) and sorted(again.moves) == sorted(whole.moves) and len(again.moves) == 2
     assert again.predict(notes).count() == 160
 
 
