@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -386,7 +387,7 @@ class Fit:
         """The first job bounds the curvature, each later one takes a step."""
         setting, k, shelf = self.setting, len(self.setting.problems), self.shelf
         seeds = 1 + max(p.seed for p in setting.problems)
-        matrix = self.matrix.repartition(min(self.row_blocks, 2000), "rb").persist()  # dealt once; a lost part is read again
+        matrix = self.matrix.repartition(min(self.row_blocks, 2000), "rb").persist(StorageLevel.DISK_ONLY)  # dealt once; a lost part is read again
         fields = ", ".join(f"{f} binary" for f in Block.FIELDS)
         state_schema = f"cb int, curve binary, {fields}, dots binary, penalty binary, along binary, loss binary"
         names = [f.split()[0] for f in state_schema.split(", ")]
@@ -448,13 +449,13 @@ class Fit:
             return run
 
         search = Search(setting)
-        state = shelf.keep(self._sent(matrix, None).groupBy("cb").cogroup(self.columns.groupBy("cb")).applyInPandas(begin, state_schema), "state-0")
+        state = shelf.keep(self._sent(matrix, None).groupBy("cb").cogroup(self.columns.groupBy("cb")).applyInPandas(begin, state_schema), "state-0", 2)
         n = 2 * PAIRS + 1
         for i in range(1, setting.steps + 1):
             moved = moving(search)
             own = state.filter("cb >= 0").join(self.columns, "cb")
             sent = self._sent(matrix, betas(own, moved))
-            state = shelf.keep(sent.groupBy("cb").cogroup(own.groupBy("cb")).applyInPandas(received(moved), state_schema), f"state-{i}")
+            state = shelf.keep(sent.groupBy("cb").cogroup(own.groupBy("cb")).applyInPandas(received(moved), state_schema), f"state-{i}", 2)
             shelf.drop(f"state-{i - 1}")
             got = state.select("cb", "dots", "penalty", "along", "loss").collect()  # a row for each block of features
             cols = [r for r in got if r["cb"] >= 0]
@@ -468,7 +469,7 @@ class Fit:
             block.commit(taken)
             return block.beta(block.u)
 
-        out = shelf.keep(betas(state.filter("cb >= 0").join(self.columns, "cb"), last), "beta")
+        out = shelf.keep(betas(state.filter("cb >= 0").join(self.columns, "cb"), last), "beta", 2)
         matrix.unpersist()
         return out
 

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: list[str] = []
 
 
@@ -35,9 +36,17 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.uri = spark, f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
+    def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """batch: rows of an Arrow batch while this table is written, where rows are large;
+        the session's own setting is back when it returns."""
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(_BATCH)
+        if batch:
+            conf.set(_BATCH, str(batch))
+        try:
+            df.write.mode("overwrite").parquet(f"{self.uri}/{name}")
+        finally:
+            conf.set(_BATCH, before)
         return self.spark.read.schema(schema).parquet(f"{self.uri}/{name}")
 
     def drop(self, *names: str) -> None:
