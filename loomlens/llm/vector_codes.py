@@ -13,8 +13,8 @@ Everything is an integer: sums and results don't depend on partitions or their o
 
 Defined cases: vectors that are null, or that hold null or non-finite components, are
 dropped; of the others the width is that of the first one (by id, then by components)
-whose width is a multiple of the number of parts, and vectors of other widths are dropped; a scaled component beyond
-LARGEST raises an error (distances would not fit 64 bits); repeated ids are rows of their own; null ids come
+whose width is a multiple of the number of parts, and vectors of other widths are dropped; scaled components so large that
+a distance might not fit 64 bits raise an error (beyond sqrt(2**61 / width), 190 million at 64 components); repeated ids are rows of their own; null ids come
 last in the order that picks first entries; fewer vectors than entries give smaller codebooks; null labels are one label; an
 empty table gives an empty result; other columns are not read.
 
@@ -39,7 +39,6 @@ from .common import Scratch
 
 SCALE = 4096
 PARTS, ENTRIES, ROUNDS = 8, 16, 6
-LARGEST = 1 << 26
 LEAF = 2  # entries of a leaf
 ROWS = 4096  # vectors searched at once
 
@@ -114,7 +113,8 @@ class Tree:
 def integers(vectors: DataFrame, key: str, vector: str, label: str, scale: int = SCALE) -> DataFrame:
     """vec_id, label and the scaled components of the vectors that count."""
     x = F.col(vector).cast("array<double>")
-    fits = lambda v: F.when(F.abs(v) > LARGEST, F.raise_error(F.lit("a component is too large for exact distances")).cast("long")).otherwise(v)
+    most = F.sqrt(F.lit(2.0**61) / F.greatest(F.size("x"), F.lit(1)))  # two vectors within it are at most 2**63 apart
+    fits = lambda v: F.when(F.abs(v) > most, F.raise_error(F.lit("a component is too large for exact distances")).cast("long")).otherwise(v)
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), x.alias("x")).filter(F.col("x").isNotNull() & finite)
     return rows.select("vec_id", "label", F.transform("x", lambda v: fits(F.floor(F.lit(float(scale)) * v))).alias("v"))

@@ -94,6 +94,10 @@ def test_codes_of_few_and_no_vectors(spark):
     found, books = vector_codes.compress(spark, vectors(spark, few))
     assert {(r.vec_id, r.code, r.error, r.label_error) for r in found.collect()} == {(3, "00" * 8, 0, 0), (7, "01" * 8, 0, 0)}
     assert [b.tolist() for b in books.entries] == [[[-2048], [2048]]] * 8
+    wide = [(1, [40_000.0] * 8, 1), (2, [-40_000.0] * 8, 1)] + [(3 + i, [float(i)] * 8, 1) for i in range(15)]  # 17 vectors, one without an entry of its own
+    found, _ = vector_codes.compress(spark, vectors(spark, wide))
+    codes, errors, _ = brute_codes(wide)
+    assert sorted((r.vec_id, r.code, r.error) for r in found.collect()) == [(i + 1, c, e) for i, (c, e) in enumerate(zip(codes, errors))]
     with pytest.raises(Exception, match="too large"):
         vector_codes.compress(spark, vectors(spark, [(1, [1e9] * 8, 1)]))[0].collect()
 
