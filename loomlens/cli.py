@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import annotate, keyphrases, split
 from .plans import evaluate as E
+from .plans.chains import Chains
 from .plans.config import EnsembleConfig, KeyphraseConfig
 from .plans.proposer import ModelProposer
 from .plans.trainer import Trainer
@@ -32,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
 
     add("split", "data", "out", test_frac=0.1, seed=0, max_obs=0)
     add("extract", "data", "config", plugins="")
-    add("train", "data", "index", "folder", config="", partition="train", text="text", label="y", max_obs=0, concepts="", plugins="", templates="")
+    add("train", "data", "index", "folder", config="", partition="train", text="text", label="y", max_obs=0, concepts="", plugins="", templates="", search="greedy")
     add("predict", "data", "folder", "out", last=0)
     add("evaluate", "data", "folder", "out", last=1, sensitivity=0.9, domain=None, age=None, cutoff=0.0, training=None, exclude="")
     add("frequency", "data", "folder", "out", share=0.5)
@@ -77,7 +78,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if a.concepts:  # the phrase column by the join column
             notes = tables.attach(notes, read(a.concepts), config.data.concept_column, config.data.join_column or "obs_id")
         rows = tables.load_partition(notes, tables.read_csv(spark, a.index), a.partition, a.text, a.max_obs).withColumn("y", F.col(a.label).cast("int"))
-        Trainer(spark, config, a.folder, **models(spark, config, a.plugins, a.templates)).fit(rows)
+        kind = {"greedy": Trainer, "chains": Chains}[a.search]
+        kind(spark, config, a.folder, **models(spark, config, a.plugins, a.templates)).fit(rows)
         return
     trainer = Trainer.from_checkpoint(spark, a.folder)
     if a.command == "predict":
