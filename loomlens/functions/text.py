@@ -66,11 +66,34 @@ def starred(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("* X"), i.cast("string"), F.lit(" = "), x, F.lit(" \n"))), "")
 
 
+def fixed(x: Column, places: int) -> Column:
+    """As Python's '%.{places}f' and C's printf: a double's exact binary value decides, exact ties go to the even
+    digit. `format_string`, which rounds the shortest decimal form and ties away from 0, gives what is small and
+    not near a tie; from 2**53 on and for NaN its text stays."""
+    size, scale = F.abs(x), float(10**places)
+    whole = F.floor(size)
+    part = size - whole
+    near = part * scale
+    # the product's rounding error, exactly: halves of the factor times the scale have no error
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    lost = (high * scale - near) + (part - high) * scale
+    off = near - F.rint(near)
+    up = F.when((off == 0.5) & (lost > 0), 1).when((off == -0.5) & (lost < 0), -1).otherwise(0)
+    units = F.rint(near).cast("long") + up
+    carried = whole + F.when(units == int(scale), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, carried.cast("string"), F.lit("."), F.lpad((units % int(scale)).cast("string"), places, "0"))
+    exactly = (size < 2.0**53) & ((size > 1e9) | (F.abs(near - F.floor(near) - 0.5) < 1e-6))
+    return F.when(x.isNull(), None).when(exactly, text).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def coefficient_lines(rows: Column) -> Column:
-    """CSV text of array<struct<feature, coef>>, scaled by the largest size."""
+    """CSV text of array<struct<feature, coef>>, scaled by the largest size if that is not 0; null with a null in it."""
     top = F.array_max(F.transform(rows, lambda r: F.abs(r["coef"])))
-    lines = F.transform(rows, lambda r: F.concat(r["feature"], F.lit(","), F.format_string("%.3f", r["coef"] / top)))
-    return F.concat(F.lit("feature,coef\n"), F.array_join(lines, "\n"))
+    scale = F.when(top > 0, top).otherwise(1.0)
+    lines = F.transform(rows, lambda r: F.concat(r["feature"], F.lit(","), fixed(r["coef"] / scale, 3)))
+    whole = F.forall(rows, lambda r: r["feature"].isNotNull() & r["coef"].isNotNull())
+    return F.when(whole, F.concat(F.lit("feature,coef\n"), F.array_join(lines, "\n")))
 
 
 def clean_concept(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip
+from ..functions.text import clip, fixed
 from .order import running
 
 
@@ -69,7 +69,8 @@ def log_likelihood() -> Column:
 
 
 def interval_text(value: Column, low: Column, high: Column) -> Column:
-    return F.when(low.isNull(), F.concat(F.format_string("%.3f", value), F.lit(" (CI unavailable)"))).otherwise(F.format_string("%.3f (%.3f, %.3f)", value, low, high))
+    said = lambda x: F.coalesce(fixed(x, 3), F.lit("null"))
+    return F.when(low.isNull(), F.concat(said(value), F.lit(" (CI unavailable)"))).otherwise(F.concat(said(value), F.lit(" ("), said(low), F.lit(", "), said(high), F.lit(")")))
 
 
 def calibration(df: DataFrame, edges: list[float]) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from ..operators import annotate, metrics, resample
 from ..shared import Shelf
 from ..sources.tables import without_overlap
@@ -45,4 +46,5 @@ def predictions(notes: DataFrame, predicted: DataFrame, training: DataFrame | No
 
 def prevalence_table(annotations: DataFrame) -> DataFrame:
     out = annotate.prevalence(annotations)
-    return out.withColumn("text", F.format_string("%.2f (%.2f, %.2f)", "prevalence", "low", "high"))
+    said = lambda c: F.coalesce(fixed(F.col(c), 2), F.lit("null"))
+    return out.withColumn("text", F.concat(said("prevalence"), F.lit(" ("), said("low"), F.lit(", "), said("high"), F.lit(")")))

@@ -45,6 +45,19 @@ def test_text_functions(spark):
     assert row.inject == "top new\nANCHOR end"
 
 
+def test_rounding_as_printf(spark):
+    """Exact ties go to the even digit, what only looks like one does not."""
+    rng = np.random.default_rng(2)
+    values = [n / 2000 for n in range(-2001, 2002)] + [n / 16 for n in range(-99, 100)] + [-500 / n for n in range(500, 9000)] + [-500 / 10**6, -0.0, 0.9995, 1.0005, 9.9996, 1e15 + 0.125, 2.0**53 - 1] + rng.uniform(-2, 2, 2000).tolist()
+    for places in (2, 3):
+        got = spark.createDataFrame([(x,) for x in values], "x double").select("x", T.fixed(F.col("x"), places).alias("t")).collect()
+        assert [(r.x, r.t) for r in got if r.t != f"{r.x:.{places}f}"] == []
+    row = lambda name, x: F.struct(F.lit(name).alias("feature"), F.lit(x).cast("double").alias("coef"))
+    lines = lambda *x: T.coefficient_lines(F.array(*(row(f"f{i}", v) for i, v in enumerate(x))))
+    said = spark.range(1).select(lines(8000.0, -500.0).alias("a"), lines(0.0, 0.0).alias("b"), lines(2.0, None).alias("c"), metrics.interval_text(F.lit(0.0625), F.lit(-0.0625), F.lit(0.3125)).alias("d")).first()
+    assert tuple(said) == ("feature,coef\nf0,1.000\nf1,-0.062", "feature,coef\nf0,0.000\nf1,0.000", None, "0.062 (-0.062, 0.312)")
+
+
 def test_answers_scatter(spark):
     said = json.dumps({"extractions": [{"question": 1, "answer": 0.5}, {"question": 1, "answer": 1}, {"question": 0, "answer": 1}, {"question": 9, "answer": 1}]})
     df = spark.createDataFrame([(1, said), (2, None), (3, "broken")], "id long, json string")
