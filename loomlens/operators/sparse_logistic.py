@@ -16,8 +16,13 @@ The matrix is cut into blocks of rows and blocks of features. In an iteration
   which derives from them the next direction as weights of the kept vectors.
 
 States are tables in the shared folder, one a step; coefficients are a table at the end.
-Where one block of rows and one of features hold everything, its task runs the steps
-one after another by itself: the same functions, without a job for each.
+
+With squared penalties a feature of one single row needs no state: the row's loss, minimised over its own
+features, is again a smooth convex function of the margin of the others (`settled`). Most phrases
+of free text are such ones. Their coefficients are derived from the fit at the end.
+
+Where what is left of the data is small (HELD), problems are dealt over tasks instead, which
+hold it and run a problem's steps by themselves: the same functions, without a job for each.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ ROW_BLOCK = 5_000
 STATE_BYTES = 16 << 20  # of a block of features, over all problems
 CHUNK = 1 << 20  # products that a task holds at a time
 PAIRS = 4
+HELD = 24  # times STATE_BYTES: size of the data up to which a task runs whole problems
+DEALT = 20  # tasks that problems are dealt over
 FAN = 64  # blocks of rows whose gradients are added up by one task
 FIRST_STEP = 0.25
 ARMIJO = 1e-4
@@ -214,7 +221,11 @@ class Part:
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK // values.shape[1], "right")) - 1)
             a, b = bounds[i], bounds[j]
             own = x[a:b]
-            out[at[i:j]] = np.add.reduceat((own * own if square else own)[:, None] * values[other[a:b]], bounds[i:j] - a, axis=0)
+            own = own * own if square else own
+            if values.shape[1] == 1:
+                out[at[i:j], 0] = np.add.reduceat(own * values[other[a:b], 0], bounds[i:j] - a)
+            else:
+                out[at[i:j]] = np.add.reduceat(own[:, None] * values[other[a:b]], bounds[i:j] - a, axis=0)
             i = j
         return out
 
@@ -231,19 +242,46 @@ def row_loss(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndar
     return (weights * (np.logaddexp(0, z) - y[:, None] * z)).sum(0), weights * (p - y[:, None])
 
 
+def settled(u: np.ndarray, room: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """d > 0 with d = room * sigmoid(-(u + d)), for room > 0: how far a row's own features move its margin u (signed
+    by its label). Newton's method for log d, whose equation is convex and rising, from an upper bound or a d that was near."""
+    size = np.log(room)
+    q = np.minimum(size - np.logaddexp(0, u), np.log(np.logaddexp(0, size - u))) if start is None else np.log(start)
+    for _ in range(60):
+        d = np.exp(q)
+        v = u + d
+        e = np.exp(-np.abs(v))
+        step = (q + np.maximum(v, 0) + np.log1p(e) - size) / (1 + d * np.where(v > 0, 1, e) / (1 + e))
+        q -= step
+        if not np.abs(step).max(initial=0) > 1e-13:  # in units of log d
+            break
+    return np.exp(q)
+
+
 class Rows:
-    """One block of rows, rebuilt from its stored frame."""
-
-    def __init__(self, frame: pd.DataFrame, setting: Setting):
-        head = frame.iloc[0]
-        self.y, self.w = (np.asarray(head[c], float) for c in ("y", "w"))
-        folds = np.asarray(head["folds"], int).reshape(len(self.y), -1)
-        self.weights = setting.weights(self.w, folds)
-        self.parts, self.columns = {}, {}
+    """A block of rows: labels, weights, and what their own features allow."""
+
+    def __init__(self, y: np.ndarray, w: np.ndarray, folds: np.ndarray, own: np.ndarray, setting: Setting):
+        self.y, self.weights = y, setting.weights(w, folds)
+        self.w, self.own = w, own[:, [p.seed for p in setting.problems]]
+        # how far the row's own features can move it; 0 where it has none
+        self.room = self.own * self.weights * np.array([p.c for p in setting.problems]) if self.own.any() else None
+        self.parts, self.columns, self.near = {}, {}, {}
+
+    @staticmethod
+    def head(row: pd.Series) -> tuple[np.ndarray, ...]:
+        y, w = (np.asarray(row[c], float) for c in ("y", "w"))
+        return y, w, np.asarray(row["folds"], int).reshape(len(y), -1), np.asarray(row["own"], float).reshape(len(y), -1)
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, setting: Setting) -> "Rows":
+        """Rebuilt from its stored frame."""
+        out = cls(*cls.head(frame.iloc[0]), setting)
         for _, f in frame.iterrows():
             if f["cb"] >= 0:  # columns count from 0 among those that the block of rows has
                 r, c, x, columns = (np.asarray(f[c]) for c in ("r", "c", "x", "columns"))
-                self.parts[int(f["cb"])], self.columns[int(f["cb"])] = Part(r, np.searchsorted(columns, c), x), columns
+                out.parts[int(f["cb"])], out.columns[int(f["cb"])] = Part(r, np.searchsorted(columns, c), x), columns
+        return out
 
     def margins(self, beta: dict[int, np.ndarray], k: int) -> np.ndarray:
         out = np.zeros((len(self.y), k))
@@ -251,6 +289,30 @@ class Rows:
             out += part.margins(beta[cb], len(self.y))
         return out
 
+    def moved(self, z: np.ndarray) -> np.ndarray:
+        """What the rows' own features add to their margins z."""
+        out, side = np.zeros(z.shape), 2 * self.y - 1
+        wide = max(1, CHUNK // 16 // z.shape[1])
+        for i in range(0, len(z) if self.room is not None else 0, wide):  # pieces that stay in the cache
+            own, at = self.room[i : i + wide] > 0, slice(i, i + wide)
+            sides = np.broadcast_to(side[at, None], own.shape)[own]
+            self.near[i] = settled(sides * z[at][own], self.room[at][own], self.near.get(i))
+            out[at][own] = sides * self.near[i]
+        return out
+
+    def loss(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As row_loss, with the rows' own features at their best and their penalties."""
+        if self.room is None:
+            return row_loss(z, self.y, self.weights)
+        b = self.moved(z)
+        loss, slope = row_loss(z + b, self.y, self.weights)
+        return loss + 0.5 * (b * b * np.divide(self.weights, self.room, out=np.zeros(b.shape), where=self.room > 0)).sum(0), slope
+
+    @property
+    def bound(self) -> np.ndarray:
+        """Four times what bounds the loss's curvature by row and problem."""
+        return self.weights if self.room is None else self.weights / (1 + 0.25 * self.room)
+
 
 # ---- jobs
 
@@ -272,66 +334,99 @@ class Fit:
         self.spark = rows.sparkSession
         self.setting = Setting(tuple(problems), absolute, tolerance, steps)
         self.shelf = Shelf(self.spark, "sparse-fit")
-        self._lay(rows, entries, features)
+        self.seeds = 1 + max(p.seed for p in problems)
+        self._lay(rows, *self._parted(entries, features))
+
+    def _parted(self, entries: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sets apart features of one row that are penalised (`own`: feature, obs_id, x, factor, active); -> the others."""
+        entries, self.own = self.shelf.keep(entries.filter("x <> 0"), "entries"), None
+        if self.setting.absolute or not (self.setting.strength > 0).all():
+            return entries, features
+        single = entries.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("obs_id").alias("obs_id"), F.min("x").cast("double").alias("x")).filter("n = 1").drop("n")
+        self.own = self.shelf.keep(single.join(features.filter("factor > 0"), "feature"), "own")
+        names = self.own.select("feature")
+        return entries.join(names, "feature", "left_anti"), self.shelf.keep(features.join(names, "feature", "left_anti"), "shared")
 
     def _lay(self, rows: DataFrame, entries: DataFrame, features: DataFrame) -> None:
         """Blocks: rows by obs_id and features by name, in hashed blocks of bounded size."""
-        n, v = rows.count(), features.count()
+        self.sizes = n, v, _ = rows.count(), features.count(), entries.count()
         wide = max(1, STATE_BYTES // (8 * (4 + PAIRS) * len(self.setting.problems)))
         self.row_blocks, self.feature_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-v // wide))
         place = lambda df, key, blocks, b, i: df.withColumn(b, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(i, (F.row_number().over(Window.partitionBy(b).orderBy(key)) - 1).cast("int"))
-        self.rows = self.shelf.keep(place(rows.select("obs_id", "y", "w", "folds"), "obs_id", self.row_blocks, "rb", "r"), "rows")
+        zeros = F.array(*[F.lit(0.0)] * self.seeds)
+        if self.own is None:
+            rows = rows.withColumn("own", zeros)
+        else:
+            sums = [F.sum(F.when(F.col("active")[i], F.col("x") * F.col("x") / F.col("factor")).otherwise(0.0)) for i in range(self.seeds)]
+            rows = rows.join(self.own.groupBy("obs_id").agg(F.array(*sums).alias("own")), "obs_id", "left").withColumn("own", F.coalesce("own", zeros))
+        self.rows = self.shelf.keep(place(rows.select("obs_id", "y", "w", "folds", "own"), "obs_id", self.row_blocks, "rb", "r"), "rows")
         self.features = self.shelf.keep(place(features.select("feature", "factor", "active"), "feature", self.feature_blocks, "cb", "c"), "features")
         at = entries.join(self.features.select("feature", "cb", "c"), "feature").join(self.rows.select("obs_id", "rb", "r"), "obs_id")
         cells = at.groupBy("rb", "cb").agg(F.collect_list(F.struct("r", "c", "x")).alias("cells"))
         listed = F.array_sort(F.array_distinct(F.transform("cells", lambda e: e["c"])))  # the columns that the block of rows asks for
         parts = cells.select("rb", "cb", F.transform("cells", lambda e: e["r"]).alias("r"), F.transform("cells", lambda e: e["c"]).alias("c"), F.transform("cells", lambda e: e["x"].cast("double")).alias("x"), listed.alias("columns"))
         ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda e: e[c])
-        heads = self.rows.groupBy("rb").agg(ordered("obs_id").alias("obs"), F.transform(ordered("y"), lambda y: y.cast("double")).alias("y"), ordered("w").alias("w"), F.flatten(ordered("folds")).alias("folds"))
+        heads = self.rows.groupBy("rb").agg(ordered("obs_id").alias("obs"), F.transform(ordered("y"), lambda y: y.cast("double")).alias("y"), ordered("w").alias("w"), F.flatten(ordered("folds")).alias("folds"), F.flatten(ordered("own")).alias("own"))
         none = {c: F.array().cast(f"array<{t}>") for c, t in (("r", "int"), ("c", "int"), ("x", "double"), ("columns", "int"))}
-        head_rows = heads.select("rb", F.lit(-1).alias("cb"), *(none[c].alias(c) for c in none), "obs", "y", "w", "folds")
-        kinds = {"obs": "array<long>", "y": "array<double>", "w": "array<double>", "folds": "array<int>"}
+        head_rows = heads.select("rb", F.lit(-1).alias("cb"), *(none[c].alias(c) for c in none), "obs", "y", "w", "folds", "own")
+        kinds = {"obs": "array<long>", "y": "array<double>", "w": "array<double>", "folds": "array<int>", "own": "array<double>"}
         part_rows = parts.select("rb", "cb", "r", "c", "x", "columns", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
         self.matrix = self.shelf.keep(head_rows.unionByName(part_rows), "matrix")
         by_column = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("c", c))), lambda e: e[c]).alias(c)
         wide = self.features.groupBy("cb").agg(by_column("factor"), by_column("active"))
         self.columns = self.shelf.keep(wide.withColumn("active", F.flatten("active")), "columns")
 
-    # one task for everything
+    # tasks that hold all data
 
-    def _run_whole(self) -> DataFrame:
-        setting = self.setting
-        seeds = 1 + max(p.seed for p in setting.problems)
+    @property
+    def small(self) -> bool:
+        rows, features, entries = self.sizes
+        return 100 * (rows + features) + 40 * entries <= HELD * STATE_BYTES
 
-        def run(matrix: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(matrix) and len(columns):
-                rows, head = Rows(matrix.sort_values("cb"), setting), columns.iloc[0]
-                factor = np.asarray(head["factor"], float)
-                width, k = len(factor), len(setting.problems)
-                cols, part = rows.columns.get(0, np.zeros(0, int)), rows.parts.get(0, Part(*np.zeros((3, 0), int)))
-
-                def spread(sums: np.ndarray) -> np.ndarray:
-                    out = np.zeros((width, k))
-                    out[cols] = sums
-                    return out
-
-                block = Block(factor, np.asarray(head["active"], bool).reshape(width, seeds), spread(part.gradient(rows.weights, len(cols), square=True)), setting)
-                search, trial = Search(setting), np.zeros((width, k))
-                for _ in range(setting.steps):
-                    loss, slope = row_loss(part.margins(trial[cols], len(rows.y)), rows.y, rows.weights)
-                    dots, penalty, along = block.receive(spread(part.gradient(slope, len(cols))))
+    def _run_whole(self) -> DataFrame:
+        """A task holds the data, and takes its problems one by one."""
+        setting, seeds, absolute = self.setting, self.seeds, self.setting.absolute
+        deal = min(DEALT, len(setting.problems))
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["rb", "cb"])
+            wide, heads, parts = frame[frame["rb"] < 0], frame[(frame["rb"] >= 0) & (frame["cb"] < 0)], frame[(frame["rb"] >= 0) & (frame["cb"] >= 0)]
+            if not len(wide) or not len(heads):
+                return pd.DataFrame([], columns=["cb", "problem", "beta"])
+            factors = [np.asarray(f, float) for f in wide["factor"]]
+            factor, active = np.concatenate(factors), np.concatenate([np.asarray(a, bool).reshape(-1, seeds) for a in wide["active"]])
+            told = [np.concatenate(x) for x in zip(*(Rows.head(h) for _, h in heads.iterrows()), strict=True)]
+            after = lambda keys, sizes: dict(zip(keys, np.concatenate([[0], np.cumsum(sizes)]), strict=False))
+            top, left = after(heads["rb"], [len(y) for y in heads["y"]]), after(wide["cb"], [len(f) for f in factors])
+            joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(v, kind) for v in parts[c])])
+            moved = lambda c, key, base: joined(c, int) + np.repeat([base[k] for k in parts[key]], [len(v) for v in parts[c]]).astype(int)
+            part = Part(moved("r", "rb", top), moved("c", "cb", left), joined("x", float))
+            out, n, width = [], len(told[0]), len(factor)
+            for i in range(int(frame["g"].iloc[0]), len(setting.problems), deal):
+                one = Setting((setting.problems[i],), absolute, setting.tolerance, setting.steps)
+                rows = Rows(*told, one)
+                block = Block(factor, active, part.gradient(rows.bound, width, square=True), one)
+                search, trial = Search(one), np.zeros((width, 1))
+                for _ in range(one.steps):
+                    loss, slope = rows.loss(part.margins(trial, n))
+                    dots, penalty, along = block.receive(part.gradient(slope, width))
                     search.learn(loss + penalty, dots, along)
                     block.commit(search.taken)
                     if not search.open.any():
                         break
                     trial = block.move(search.weights, search.steps)
-                out.append((0, _bytes(block.beta(block.u))))
-            return pd.DataFrame(out, columns=["cb", "beta"])
+                beta = block.beta(block.u)[:, 0]
+                out += [(cb, i, _bytes(beta[a : a + len(f)])) for (cb, a), f in zip(left.items(), factors, strict=True)]
+            return pd.DataFrame(out, columns=["cb", "problem", "beta"])
+
+        def stacked(frame: pd.DataFrame) -> pd.DataFrame:
+            each = [_array(b, -1) for b in frame.sort_values("problem")["beta"]]
+            return pd.DataFrame([(int(frame["cb"].iloc[0]), _bytes(np.stack(each, 1)))], columns=["cb", "beta"])
 
-        one = F.lit(0).alias("one")
-        both = self.matrix.groupBy(one).cogroup(self.columns.groupBy(one)).applyInPandas(run, "cb int, beta binary")
-        return self.shelf.keep(both, "beta")
+        both = self.matrix.drop("obs", "columns").unionByName(self.columns.withColumn("rb", F.lit(-1)), allowMissingColumns=True)
+        each = both.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).repartitionByRange(deal, "g")
+        fits = self.shelf.keep(each.groupBy("g").applyInPandas(run, "cb int, problem int, beta binary"), "fits")
+        return self.shelf.keep(fits.groupBy("cb").applyInPandas(stacked, "cb int, beta binary"), "beta")
 
     # a job for each step
 
@@ -355,11 +450,11 @@ class Fit:
         def run(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             if not len(frame):
                 return pd.DataFrame([], columns=columns)
-            rb, rows = int(frame["rb"].iloc[0]), Rows(frame.sort_values("cb"), setting)
-            out, slope = [], rows.weights
+            rb, rows = int(frame["rb"].iloc[0]), Rows.of(frame.sort_values("cb"), setting)
+            out, slope = [], rows.bound
             if not bounding:
                 beta = {int(cb): _array(b, -1, k) for cb, b in zip(got["cb"], got["beta"], strict=True)}
-                loss, slope = row_loss(rows.margins(beta, k), rows.y, rows.weights)
+                loss, slope = rows.loss(rows.margins(beta, k))
                 out.append((rb, -1, [], _bytes(loss)))
             for cb, part in rows.parts.items():
                 cols = rows.columns[cb]
@@ -385,8 +480,7 @@ class Fit:
 
     def _run_steps(self) -> DataFrame:
         """The first job bounds the curvature, each later one takes a step."""
-        setting, k, shelf = self.setting, len(self.setting.problems), self.shelf
-        seeds = 1 + max(p.seed for p in setting.problems)
+        setting, k, shelf, seeds = self.setting, len(self.setting.problems), self.shelf, self.seeds
         matrix = self.matrix.repartition(min(self.row_blocks, 2000), "rb").persist(StorageLevel.DISK_ONLY)  # dealt once; a lost part is read again
         fields = ", ".join(f"{f} binary" for f in Block.FIELDS)
         state_schema = f"cb int, curve binary, {fields}, dots binary, penalty binary, along binary, loss binary"
@@ -474,7 +568,7 @@ class Fit:
         return out
 
     def run(self) -> "Fit":
-        self.beta = self._run_whole() if self.row_blocks == self.feature_blocks == 1 else self._run_steps()
+        self.beta = self._run_whole() if self.small else self._run_steps()
         return self
 
     def coefficients(self) -> DataFrame:
@@ -488,7 +582,26 @@ class Fit:
                     yield pd.DataFrame({"cb": int(cb), "c": np.arange(len(beta)), "coefs": list(beta)})
 
         each = self.beta.mapInPandas(split, "cb int, c int, coefs array<double>")
-        return self.features.select("feature", "cb", "c").join(each, ["cb", "c"]).select("feature", "coefs")
+        shared = self.features.select("feature", "cb", "c").join(each, ["cb", "c"]).select("feature", "coefs")
+        if self.own is None:
+            return shared
+        setting = self.setting
+
+        def pulled(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            """What the rows' own features get, by a unit of x / factor."""
+            if not len(frame):
+                return pd.DataFrame([], columns=["obs_id", "pull"])
+            frame = frame.sort_values("cb")
+            rows = Rows.of(frame, setting)
+            b = rows.moved(rows.margins({int(cb): _array(beta, -1, k) for cb, beta in zip(got["cb"], got["beta"], strict=True)}, k))
+            at = np.flatnonzero(rows.own.any(1))
+            pull = np.divide(b[at], rows.own[at], out=np.zeros((len(at), k)), where=rows.own[at] > 0)
+            return pd.DataFrame({"obs_id": np.asarray(frame.iloc[0]["obs"], np.int64)[at], "pull": list(pull)}, columns=["obs_id", "pull"])
+
+        pulls = self.matrix.groupBy("rb").cogroup(self._gathered(self.beta, k).groupBy("rb")).applyInPandas(pulled, "obs_id long, pull array<double>")
+        seed_of = F.array(*(F.lit(p.seed) for p in setting.problems))
+        coefs = F.transform("pull", lambda p, i: F.when(F.get("active", F.get(seed_of, i)), p * F.col("x") / F.col("factor")).otherwise(0.0))
+        return shared.unionByName(self.own.join(pulls, "obs_id").select("feature", coefs.alias("coefs")))
 
     def held_out(self) -> DataFrame:
         """(obs_id, seed, fold, c, y, w, prob) of rows under the problems that hold their fold out."""
@@ -499,7 +612,7 @@ class Fit:
             if not len(frame):
                 return pd.DataFrame([], columns=columns)
             frame = frame.sort_values("cb")
-            rows, head = Rows(frame, setting), frame.iloc[0]
+            rows, head = Rows.of(frame, setting), frame.iloc[0]
             beta = {int(cb): _array(b, -1, k) for cb, b in zip(got["cb"], got["beta"], strict=True)}
             z = rows.margins(beta, k)
             folds, obs = np.asarray(head["folds"], int).reshape(len(rows.y), -1), np.asarray(head["obs"], np.int64)

@@ -111,3 +111,41 @@ def test_defined_cases(spark):
     with pytest.raises(ValueError):
         residual.fit_residual(df, [], "phrases", kind="words")
     assert residual.fit_residual(df, [], "phrases", kind="tfidf", c=1.0).count() >= 2
+
+
+def test_features_of_one_row_need_no_state(spark, monkeypatch):
+    """Phrases of a single note leave the fit and come back: as the dense solver has them, in tasks and by steps."""
+    rows = [(*r[:6], [r[6][0], 1 + i % 3 if i % 2 else 0]) for i, r in enumerate(made(150, 5, 8))]
+    df = spark.createDataFrame(rows, SCHEMA).select("obs_id", "y", F.col("sample_weight").alias("w"), "folds", F.split("phrases", ", ").alias("t"))
+    each = lambda name, x: df.select("obs_id", name.alias("feature"), F.lit(x).alias("x"))
+    alone = each(F.concat(F.lit("own"), "obs_id"), 1.5).unionByName(each(F.concat(F.lit("half"), "obs_id"), 1.0).filter("obs_id % 2 = 0"))
+    entries = df.select("obs_id", F.explode("t").alias("feature"), F.lit(1.0).alias("x")).unionByName(each(F.lit("b"), 1.0)).unionByName(alone)
+    name = F.col("feature")
+    features = entries.select("feature").distinct().select("feature", F.when(name == "b", 0.0).when(name.startswith("half"), 0.5).otherwise(1.0).alias("factor"), F.array(F.lit(True), ~name.startswith("half")).alias("active"))
+    problems = [Problem(0, 0, 50.0), Problem(0, 2, 0.1), Problem(1, 0, 1.0), Problem(1, 1, 3.0)]
+    fit = lambda steps=200: sparse_logistic.Fit(df, entries, features, problems, tolerance=1e-7, steps=steps).run()
+    held = fit()
+    assert held.small
+    monkeypatch.setattr(sparse_logistic, "ROW_BLOCK", 70)
+    monkeypatch.setattr(sparse_logistic, "STATE_BYTES", 8 * (4 + sparse_logistic.PAIRS) * len(problems) * 4)
+    monkeypatch.setattr(sparse_logistic, "HELD", 1e9)
+    blocks = fit(5)  # of which a task holds all
+    assert blocks.small
+    monkeypatch.setattr(sparse_logistic, "HELD", 0)
+    steps = fit(5)
+    assert not steps.small and steps.row_blocks > 1 and steps.feature_blocks > 1
+    shared = {w for r in rows for w in r[1].split(", ")} | {"b"}
+    assert held.sizes[1] == len(shared)
+    a, b, c = ({r.feature: r.coefs for r in f.coefficients().collect()} for f in (held, blocks, steps))
+    assert a.keys() == b.keys() == c.keys() and len(a) == len(shared) + 225
+    assert all(x == pytest.approx(y, abs=1e-4) for f in a for x, y in zip(b[f], c[f]))
+    probs = [{(r.obs_id, r.c): r.prob for r in f.held_out().collect()} for f in (blocks, steps)]
+    assert probs[0] == pytest.approx(probs[1], abs=1e-4)
+    names = sorted(set(a) - {"b"})
+    for k, p in enumerate(problems):
+        factor = np.array([np.sqrt(0.5) if n.startswith("half") else 1.0 for n in names])  # the solver's penalty is 1 for all
+        x = np.array([[1.5 * (n == f"own{r[0]}") + (n == f"half{r[0]}") * (p.seed == 0) + (n in r[1].split(", ")) for n in names] for r in rows]) / factor
+        train = np.array([r[6][p.seed] > 0 and r[6][p.seed] != p.fold for r in rows])
+        beta, free = linear.fit(x[train], np.array([r[4] for r in rows], float)[train], np.array([r[5] for r in rows])[train], "l2", p.c)
+        want = dict(zip(names, beta / factor)) | {"b": free}
+        assert all(a[n][k] == pytest.approx(want[n], abs=2e-3) for n in a)
