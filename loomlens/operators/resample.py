@@ -37,7 +37,8 @@ from .order import seeded_key
 
 BLOCK = 125  # replicates that are merged together
 TABLED = 32  # means up to which draws are looked up; beyond, normal with the skewness put right
-CHUNK = 1 << 21  # draws made at once
+CHUNK = 1 << 18  # draws made and kept at once
+PART, PARTS = 8192, 2000  # cells of a part; beyond so many parts they grow
 #: Fixed values of the mixing function.
 MULTIPLIER, STEP, LOW = 0x45D9F3B, 0x9E3779B1, 0xFFFFFFFF
 
@@ -97,15 +98,12 @@ class _Drawn:
         self.starts = np.flatnonzero(np.concatenate([[True], self.p[1:] != self.p[:-1]]))
         self.scores = self.p[self.starts]
 
-    def weights(self, replicates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positive, negative) of (distinct score, replicate)."""
-        pos, neg = (np.empty((len(self.starts), len(replicates))) for _ in range(2))
+    def weights(self, replicates: np.ndarray):
+        """(where, positive, negative) for pieces of the replicates, of (distinct score, replicate)."""
         wide = max(1, CHUNK // len(self.p))
         for i in range(0, len(replicates), wide):
             drawn = draws(self.a, self.b, self.n, replicates[i : i + wide]) * self.w[:, None]
-            for out, label in ((pos, 1), (neg, 0)):
-                out[:, i : i + wide] = np.add.reduceat(drawn * (self.y == label)[:, None], self.starts, axis=0)
-        return pos, neg
+            yield slice(i, i + wide), *(np.add.reduceat(drawn * (self.y == label)[:, None], self.starts, axis=0) for label in (1, 0))
 
 
 def _slices(frame: pd.DataFrame, by: list[str]):
@@ -130,14 +128,16 @@ def _segments(table: DataFrame, by: list[str], replicates: int) -> DataFrame:
             cells_ = _Drawn(own)
             last = len(cells_.scores) - 1
             for block, at in enumerate(range(0, replicates, BLOCK)):
-                pos, neg = cells_.weights(np.arange(at, min(replicates, at + BLOCK)))
-                row = lambda i, tie, p, n, won: (*name, int(frame["part"].iloc[0]), block, float(cells_.scores[i]), tie, p, n, won)  # noqa: E731, B023
-                for i in {0, last}:
-                    out.append(row(i, True, pos[i], neg[i], np.zeros(pos.shape[1])))
-                if last > 1:
+                names = np.arange(at, min(replicates, at + BLOCK))
+                sums = np.zeros((3, 3, len(names)))  # of the lowest score, the inner ones, the highest: pos, neg, won
+                for where, pos, neg in cells_.weights(names):
                     p, n = pos[1:last], neg[1:last]
-                    before = np.cumsum(n, 0) - n
-                    out.append(row(1, False, p.sum(0), n.sum(0), (p * (before + n / 2)).sum(0)))
+                    sums[:, :2, where] = [(pos[0], neg[0]), (p.sum(0), n.sum(0)), (pos[last], neg[last])]
+                    sums[1, 2, where] = (p * (np.cumsum(n, 0) - n / 2)).sum(0)
+                row = lambda i, tie, own: (*name, int(frame["part"].iloc[0]), block, float(cells_.scores[i]), tie, *own)  # noqa: E731, B023
+                out += [row(i, True, sums[2 if i else 0]) for i in {0, last}]
+                if last > 1:
+                    out.append(row(1, False, sums[1]))
         return pd.DataFrame(out, columns=columns)
 
     schema = f"{_fields(table, by)}part int, block int, score double, tie boolean, pos array<double>, neg array<double>, won array<double>"
@@ -195,12 +195,13 @@ def _specificities(table: DataFrame, segments: DataFrame, by: list[str], sensiti
         out = []
         for name, own in _slices(asked, by):
             drawn = _Drawn(of[name])
-            pos, neg = drawn.weights(own["rep"].to_numpy())
-            # the segment's inner scores, from the highest one on
-            pos, neg = np.cumsum(pos[-2:0:-1], 0) + own["pos"].to_numpy(), np.cumsum(neg[-2:0:-1], 0) + own["neg"].to_numpy()
-            at = np.argmax(pos / own["all_pos"].to_numpy() >= sensitivity, 0)
-            value = 1 - neg[at, np.arange(len(own))] / own["all_neg"].to_numpy()
-            out += [(*name, int(r), float(v)) for r, v in zip(own["rep"], value, strict=True)]
+            for where, pos, neg in drawn.weights(own["rep"].to_numpy()):
+                asked_ = own.iloc[where]
+                # the segment's inner scores, from the highest one on
+                pos, neg = np.cumsum(pos[-2:0:-1], 0) + asked_["pos"].to_numpy(), np.cumsum(neg[-2:0:-1], 0) + asked_["neg"].to_numpy()
+                at = np.argmax(pos / asked_["all_pos"].to_numpy() >= sensitivity, 0)
+                value = 1 - neg[at, np.arange(len(asked_))] / asked_["all_neg"].to_numpy()
+                out += [(*name, int(r), float(v)) for r, v in zip(asked_["rep"], value, strict=True)]
         return pd.DataFrame(out, columns=[*by, "rep", "value"])
 
     head = _fields(segments, by)
@@ -215,7 +216,10 @@ def replicate_values(df: DataFrame, by: list[str], replicates: int, seed: int, w
     with a sensitivity, the specificity there."""
     ship(df.sparkSession)
     shelf = Shelf(df.sparkSession, "bootstrap")
-    dealt = cells(df, by, seed, weight, key).repartitionByRange(*by, "prob", "_key")
+    counted = shelf.keep(cells(df, by, seed, weight, key), "counted")
+    n = counted.count()
+    parts = () if n <= PART else (min(PARTS, -(-n // PART)),)  # a stated number, as small tables would be put into one task
+    dealt = counted.repartitionByRange(*parts, *by, "prob", "_key")
     table = shelf.keep(dealt.withColumn("part", F.spark_partition_id()).drop("_key"), "cells")
     segments = shelf.keep(_segments(table, by, replicates), "segments")
     return _areas(segments, by) if sensitivity is None else _specificities(table, segments, by, sensitivity)

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,29 @@ def test_incomplete_rows_and_empty_tables(spark):
     assert df.agg(metrics.accuracy(weight="w")).first()[0] == 1.0
     assert resample.bootstrap(df.limit(0), ["slice"], 10, 1).collect() == []
     assert resample.bootstrap(df.filter("slice = 'b'"), ["slice"], 10, 1).collect() == []
+
+
+def test_memory_does_not_grow_with_the_part(monkeypatch):
+    """A large part's replicates are drawn and kept in pieces, with the same sums."""
+    rng = np.random.default_rng(4)
+    n, reps = 40_000, np.arange(100)
+    frame = pd.DataFrame({"prob": rng.random(n), "y": rng.integers(0, 2, n), "w": 1.0, "n": 1, "a": rng.integers(0, 2**32, n), "b": rng.integers(0, 2**32, n)})
+    tracemalloc.start()
+    total = np.zeros((2, 100))
+    for where, pos, neg in resample._Drawn(frame).weights(reps):
+        total[:, where] = pos.sum(0), neg.sum(0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 64 MB hold the weights of all replicates
+    times = resample.draws(*(frame[c].to_numpy() for c in "abn"), reps)
+    assert (total[0] == times[frame["y"] == 1].sum(0)).all() and (total[1] == times[frame["y"] == 0].sum(0)).all()
+
+
+def test_parts_follow_the_cells(spark, monkeypatch):
+    """Small pieces and many parts give what one part gives."""
+    rows = some_rows(300, 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    get = lambda: {(r.slice, r.rep): r.value for r in resample.replicate_values(df, ["slice"], 60, 3, sensitivity=0.9).collect()}
+    one = get()
+    monkeypatch.setattr(resample, "PART", 40)
+    assert one and get() == pytest.approx(one, abs=1e-12)
