@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Shelf
+
 
 def valid_concepts(annotations: DataFrame, concept: str = "concept_id") -> DataFrame:
     """Concepts with answers, all finite, not all zero."""
@@ -63,6 +65,7 @@ def tree(merges: list[tuple[int, int, float, int]], leaves: list) -> dict | None
 
 def hierarchy(annotations: DataFrame, concept: str = "concept_id") -> tuple[list, list[tuple[int, int, float, int]]]:
     """Leaves and merges of the valid concepts (a list bounded by the concept set)."""
+    annotations = Shelf(annotations.sparkSession, "hierarchy").keep(annotations.select("obs_id", concept, "answer"), "answers")  # what made them runs once
     ok = valid_concepts(annotations, concept)
     leaves = sorted(r[0] for r in ok.collect())
     if len(leaves) < 2:

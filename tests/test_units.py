@@ -45,6 +45,22 @@ def test_text_functions(spark):
     assert row.inject == "top new\nANCHOR end"
 
 
+def test_linkage_asks_the_annotator_once(spark):
+    """Answers are made once, though validity and distances both read them."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(frames):
+        for f in frames:
+            asked.add(len(f))
+            yield f
+
+    made = [(i, c, float((i * (c + 2)) % 3 == 0)) for i in range(12) for c in range(3)]
+    answers = spark.createDataFrame(made, "obs_id long, concept_id int, answer double")
+    want = cluster.hierarchy(answers)
+    assert cluster.hierarchy(answers.mapInPandas(answer, answers.schema)) == want and len(want[1]) == 2
+    assert asked.value == len(made)
+
+
 def test_rounding_as_printf(spark):
     """Exact ties go to the even digit, what only looks like one does not."""
     rng = np.random.default_rng(2)
